@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, jaccard_join, mixing, packing, quality, substring_dedup, toxicity, warc
+from ledgerloom.llm import exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_top(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of documents, repeated so that sources come near the square root of their shares."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", "text")
@@ -63,6 +71,8 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_exact_topk_search": op8_exact_topk_search,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
@@ -101,6 +111,13 @@ SQL = {
         r AS (SELECT doc_id AS x, doc_id AS z FROM documents UNION SELECT e.x, r.z FROM e JOIN r ON r.x = e.y WHERE r.z < e.x)
         SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(z) AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
+    "op8_exact_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_mixing": """
         WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         r AS (SELECT source, pow(n, 0.5) * ((SELECT sum(n) FROM s)::DOUBLE / (SELECT sum(pow(n, 0.5)) FROM s)) / n AS rate FROM s),
