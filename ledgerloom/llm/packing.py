@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,31 +29,76 @@ from ledgerloom.llm._shared import small_batches, written
 WINDOW = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers at once.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across ASCII white space, so that
-    each word between such spaces is encoded once and remembered."""
+    """Ids of texts by a tokenizer that lower-cases, never joins across ASCII white
+    space and splits letters from the punctuation after them, so that each word
+    between such spaces is encoded once, without trailing marks, and remembered."""
+
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian unsigned 16-bit ids of a text."""
-        words = text.split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, dtype="<u2").tobytes() for e in found), strict=True))
-        known = self.known
-        return b"".join([known[w] for w in words])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_unit[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Words of lower-case letters only are single units whose
+        last id alone ends a unit, so they are encoded side by side in one text."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [t.isalpha() and t.lower() == t and is_normalized("NFC", t) for t in texts]
+        out, apart = {}, []
+        side = [(w, t) for w, t, p in zip(words, texts, plain, strict=True) if p]
+        for k in range(0, len(side), 1000):
+            cut = side[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in cut)], add_special_tokens=False)[0].ids, dtype="<u2")
+            ends = np.flatnonzero(self.ends_unit[ids]) + 1
+            if len(ends) == len(cut) and ends[-1] == len(ids):
+                data, bounds = ids.tobytes(), [0, *(2 * ends).tolist()]
+                out.update((w, data[a:b]) for (w, _), a, b in zip(cut, bounds[:-1], bounds[1:], strict=True))
+            else:
+                apart += cut
+        alone = apart + [(w, t) for w, t, p in zip(words, texts, plain, strict=True) if not p]
+        found = self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)
+        out.update((w, array("H", e.ids).tobytes()) for (w, _), e in zip(alone, found, strict=True))
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words: those of what stands before trailing marks, and of the marks."""
+        if len(self.known) + len(words) > CACHED_WORDS:
+            self.known.clear()
+        known, cut, new = self.known, [], []
+        for w in words:
+            core = w.rstrip(self.MARKS)
+            if core and core != w and core.decode("utf-8", "replace")[-1].isalpha():
+                cut.append((w, core, w[len(core) :]))
+            else:
+                new.append(w)
+        parts = {p for _, *both in cut for p in both if p not in known}
+        known.update(self._encode([*{*new, *parts}]))
+        for w, core, marks in cut:
+            known[w] = known[core] + known[marks]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each text."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words, known = set().union(*split), self.known
+        if new := words.difference(known):
+            self._learn(words if len(known) + 2 * len(new) > CACHED_WORDS else new)
+            known = self.known
+        return [b"".join([known[w] for w in own]) for own in split]
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for the tasks of a worker."""
+    return WordTokenizer(path)
 
 
 def _tokenised(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
@@ -58,9 +106,9 @@ def _tokenised(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFram
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, place, part = WordTokenizer(path), np.array([END_ID], dtype="<u2").tobytes(), 0, TaskContext.get().partitionId()
+        encoder, end, place, part = _tokenizer(path), np.array([END_ID], dtype="<u2").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            ids = [encoder.encode(t or b"") + end for t in batch["text"].to_pylist()]
+            ids = [x + end for x in encoder.encode([t or b"" for t in batch["text"].to_pylist()])]
             n = [len(x) // 2 for x in ids]
             places = list(accumulate(n, initial=place))
             place = places.pop()
