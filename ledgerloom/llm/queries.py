@@ -18,7 +18,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.captures(table(spark, sf_dir, "pages"))
+    found = warc.captures(table(spark, sf_dir, "pages"), payloads=False)
     return found.select(
         warc.metadata_field("captureId").cast("long").alias("page_id"),
         warc.metadata_field("payloadBytes").cast("long").alias("payload_bytes"),

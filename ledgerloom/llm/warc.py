@@ -3,7 +3,7 @@
 A capture is a request, a response (or a revisit of an equal payload) and a metadata
 record; request and metadata name the response's record id in WARC-Concurrent-To.
 Archives are written and read by Spark's own file sources, so any store that Spark
-knows will do. A file holds a bounded number of payload bytes, plus one record.
+knows will do. A file holds a bounded number of records.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm._shared import shared_path, small_batches
 
-#: Payload bytes of an archive file at which the next one begins, on average.
-FILE_BYTES = 16 << 20
+#: Records of an archive file, at most. Its bytes follow the size of the partitions that Spark shuffles.
+FILE_RECORDS = 30_000
 _CRLF = "\r\n"
 #: How a record id is spelt.
 _ID = "urn:x-capture:"
@@ -56,12 +56,10 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, id_col:
     clean = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", " ")
     read = pages.select(F.col(id_col).alias("id"), clean.alias("url"), body.alias("body"), F.octet_length(body).alias("n"), F.sha1(body.cast("binary")).alias("sha"))
     first = read.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"))
-    n_bytes = pages.agg(F.sum(F.octet_length(body_col))).first()[0] or 0
-    files = max(1, -(-n_bytes // FILE_BYTES))
     known = read.join(first, "sha")
     revisit = (F.col("n") >= revisit_bytes) & ~F.col("id").eqNullSafe(F.col("first.id"))
     spread = known.withColumn("revisit", revisit).withColumn("body", F.when(F.col("revisit"), "").otherwise(F.col("body")))
-    placed = spread.repartition(files, F.xxhash64("id", "url", "sha")).withColumn("uid", F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("")), F.monotonically_increasing_id()))
+    placed = spread.withColumn("uid", F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("")), F.monotonically_increasing_id()))
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha")))
     rid = lambda kind: F.concat(F.lit(f"<{_ID}{kind}-"), F.col("uid"), F.lit(">"))
     date = F.lit("1970-01-01T00:00:00Z")
@@ -85,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, id_col:
         ),
         _record({"WARC-Type": F.lit("metadata"), "WARC-Record-ID": rid("metadata"), "WARC-Concurrent-To": rid("capture"), **common, "Content-Type": F.lit("application/warc-fields")}, fields),
     )
-    placed.select(F.explode(records).alias("value")).write.option("lineSep", _CRLF).option("compression", "gzip").text(path)
+    placed.select(F.explode(records).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", _CRLF).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -102,9 +100,10 @@ def parse(data: bytes) -> Iterator[dict]:
         at = end + 4
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each record (``RECORD``). The payload digest of a response is
-    checked against its bytes; a mismatch raises ValueError."""
+    checked against its bytes; a mismatch raises ValueError. Without payloads the body
+    of responses is null and only its size is given."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
@@ -117,7 +116,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     own = r.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
                     if r["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(r["body"]).digest()).decode() != own:
                         raise ValueError(f"payload digest of {r['WARC-Record-ID']} doesn't match")
-                    rows.append([r["WARC-Record-ID"], r["WARC-Type"], r.get("WARC-Concurrent-To"), r.get("WARC-Refers-To-Target-URI"), r.get("WARC-Target-URI"), own, len(r["body"]), r["body"]])
+                    rows.append([r["WARC-Record-ID"], r["WARC-Type"], r.get("WARC-Concurrent-To"), r.get("WARC-Refers-To-Target-URI"), r.get("WARC-Target-URI"), own, len(r["body"]), r["body"] if payloads or r["WARC-Type"] != "response" else None])
                     held += len(r["body"])
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 6 else pa.binary() if k == 7 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names)
@@ -145,8 +144,8 @@ def metadata_field(name: str) -> Column:
     return F.nullif(F.regexp_extract(F.col("metadata.body").cast("string"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
-def captures(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
+def captures(pages: DataFrame, revisit_bytes: int = 0, payloads: bool = True) -> DataFrame:
     """Write archives of pages to the shared folder and return their captures, read back."""
     path = shared_path(pages.sparkSession, "archives")
     write_archives(pages, path, revisit_bytes)
-    return assemble(read_archives(pages.sparkSession, path))
+    return assemble(read_archives(pages.sparkSession, path, payloads))
