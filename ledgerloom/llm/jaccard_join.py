@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import _exchange, count_min
 from ledgerloom.llm._components import components
 from ledgerloom.llm._shared import small_batches, written
+from ledgerloom.llm.exact_dedup import frequent
 from ledgerloom.llm._words import Hasher, U, Words, inside, mix
 
 SHINGLE = 4
@@ -291,7 +292,12 @@ def join_similar(df: DataFrame, n: int = SHINGLE, per_cent: int = SIMILARITY, id
     linked = components(_spanning_links(_ranked(rows, per_cent), per_cent))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rid"))
     classes = classes.join(linked.withColumnRenamed("id", "other"), F.col("rid") == F.col("other"), "left").select("digest", F.coalesce("component", "rid").alias("found"))
-    return rows.drop("live").join(classes, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"))
+    # Classes that hold a large share of the rows are few: they are broadcast, the others are shuffled.
+    own = rows.drop("live")
+    often = frequent(own.select("id", "digest").where("digest IS NOT NULL")).select("digest")
+    large = F.broadcast(written(classes.join(F.broadcast(often), "digest", "left_semi"), "large"))
+    found = own.join(large, "digest", "inner").unionByName(own.join(F.broadcast(often), "digest", "left_anti").join(classes, "digest", "left"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"))
 
 
 def drop_similar(df: DataFrame, n: int = SHINGLE, per_cent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
