@@ -29,7 +29,7 @@ from ledgerloom.llm._shared import small_batches, written
 WINDOW = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers at once.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 class WordTokenizer:
@@ -51,48 +51,59 @@ class WordTokenizer:
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word. Words of lower-case letters only are single units whose
         last id alone ends a unit, so they are encoded side by side in one text."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [t.isalpha() and t.lower() == t and is_normalized("NFC", t) for t in texts]
-        out, apart = {}, []
-        side = [(w, t) for w, t, p in zip(words, texts, plain, strict=True) if p]
+        out, side, alone = {}, [], []
+        for w in words:
+            (side if w.isalpha() and w.islower() or _lower_letters(w) else alone).append(w)
         for k in range(0, len(side), 1000):
             cut = side[k : k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in cut)], add_special_tokens=False)[0].ids, dtype="<u2")
+            ids = np.array(self._batch([b" ".join(cut)])[0].ids, dtype="<u2")
             ends = np.flatnonzero(self.ends_unit[ids]) + 1
             if len(ends) == len(cut) and ends[-1] == len(ids):
-                data, bounds = ids.tobytes(), [0, *(2 * ends).tolist()]
-                out.update((w, data[a:b]) for (w, _), a, b in zip(cut, bounds[:-1], bounds[1:], strict=True))
+                data, bounds = ids.tobytes(), (2 * ends).tolist()
+                out.update(zip(cut, [data[a:b] for a, b in zip([0, *bounds], bounds, strict=False)], strict=True))
             else:
-                apart += cut
-        alone = apart + [(w, t) for w, t, p in zip(words, texts, plain, strict=True) if not p]
-        found = self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)
-        out.update((w, array("H", e.ids).tobytes()) for (w, _), e in zip(alone, found, strict=True))
+                alone += cut
+        out.update(zip(alone, [array("H", e.ids).tobytes() for e in self._batch(alone)], strict=True))
         return out
 
+    def _batch(self, words: list[bytes]) -> list:
+        return self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+
     def _learn(self, words: set[bytes]) -> None:
         """Ids of new words: those of what stands before trailing marks, and of the marks."""
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known.clear()
-        known, cut, new = self.known, [], []
+        known, cut, new = self.known, [], set()
         for w in words:
-            core = w.rstrip(self.MARKS)
-            if core and core != w and core.decode("utf-8", "replace")[-1].isalpha():
-                cut.append((w, core, w[len(core) :]))
+            core = w.rstrip(self.MARKS) if w[-1] in self.MARKS else w
+            if core and core is not w and (core[-1:].isalpha() or core.decode("utf-8", "replace")[-1].isalpha()):
+                marks = w[len(core) :]
+                cut.append((w, core, marks))
+                if core not in known:
+                    new.add(core)
+                if marks not in known:
+                    new.add(marks)
             else:
-                new.append(w)
-        parts = {p for _, *both in cut for p in both if p not in known}
-        known.update(self._encode([*{*new, *parts}]))
-        for w, core, marks in cut:
-            known[w] = known[core] + known[marks]
+                new.add(w)
+        found = self._encode(list(new))
+        known.update((w, found[w]) for w in words if w in found)
+        known.update([(w, (found.get(core) or known[core]) + (found.get(marks) or known[marks])) for w, core, marks in cut])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words, known = set().union(*split), self.known
-        if new := words.difference(known):
-            self._learn(words if len(known) + 2 * len(new) > CACHED_WORDS else new)
-            known = self.known
-        return [b"".join([known[w] for w in own]) for own in split]
+        out = []
+        for k in range(0, len(texts), 32):
+            split = [(t if b"<|" in t else t.lower()).split() for t in texts[k : k + 32]]
+            words, known = set().union(*split), self.known
+            if new := words.difference(known):
+                self._learn(words if len(known) + len(new) > CACHED_WORDS else new)
+            out += [b"".join([known[w] for w in own]) for own in split]
+        return out
+
+
+def _lower_letters(word: bytes) -> bool:
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and text.lower() == text and is_normalized("NFC", text)
 
 
 @lru_cache(maxsize=1)
