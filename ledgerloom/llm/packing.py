@@ -128,9 +128,10 @@ def _tokenised(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFram
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tokenise, schema)
 
 
-def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row for each piece of a document: id, start (its document's ids before it),
-    length, ids (little-endian unsigned 16 bits), doc_tokens, sequence_id, offset.
+    length, ids_crc32 (of its ids as little-endian unsigned 32-bit numbers), doc_tokens,
+    sequence_id, offset and, if asked for, ids (little-endian, unsigned, 16 bits each).
 
     Each document's ids end with ``END_ID``; a null or empty text is that id alone.
     The stream of all documents is cut every ``window`` ids, so that only the last
@@ -142,7 +143,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str =
     totals = sorted(table.groupBy("part").agg(F.sum("n")).collect())
     base = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0)))  # noqa: B905
     bases = df.sparkSession.sparkContext.broadcast(base)
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length")), T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,24 +157,13 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str =
             length = np.minimum(place[row] + n[row], (sequence + 1) * window) - first
             start = first - place[row]
             cuts = [ids[r][2 * s : 2 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch[id_col].take(pa.array(row)), pa.array(start), pa.array(length), pa.array(cuts, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(first - sequence * window)], schema.names)
+            sums = [zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4")) for x in cuts]
+            columns = [batch[id_col].take(pa.array(row)), *map(pa.array, (start, length)), pa.array(sums, pa.int64()), *map(pa.array, (n[row], sequence, first - sequence * window))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, pa.binary())] if with_ids else columns, schema.names)
 
     return table.mapInArrow(cut, schema)
 
 
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """pieces with ids_crc32, of the ids as little-endian unsigned 32-bit numbers, in place of ids."""
-    schema = T.StructType([T.StructField("ids_crc32", T.LongType()) if f.name == "ids" else f for f in pieces.schema])
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4").tobytes()) for x in batch["ids"].to_pylist()]
-            at = batch.schema.get_field_index("ids")
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()) if k == at else c for k, c in enumerate(batch.columns)], schema.names)
-
-    return pieces.mapInArrow(checked, schema)
-
-
 def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each sequence: sequence_id, length, ids, doc_ids. A sequence has at
     most a window of ids, which bounds what is gathered for it."""
