@@ -35,7 +35,7 @@ SHINGLE = 4
 #: Of a hundred: the least intersection for a union of 100.
 SIMILARITY = 85
 #: Shingles of a block of texts that are searched at once, on average.
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 17
 #: Weight of probing against merging in the choice of how many lists are long.
 MU = 0.0085
 #: With more postings than this the short lists are counted in an array instead of on a heap.
@@ -260,7 +260,9 @@ def _spanning_links(ranked: DataFrame, per_cent: int) -> DataFrame:
     placed = own.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     part = placed.withColumn("part", F.explode(F.when(F.col("block") == 0, every).otherwise(F.array("block"))))
-    links = written(_links(part.withColumn("query", F.col("part") == F.col("block")), ["area", "part"], per_cent), "links")
+    # By both keys, so that the blocks of an area don't meet in one task.
+    dealt = part.withColumn("query", F.col("part") == F.col("block")).repartition("area", "part")
+    links = written(_links(dealt, ["area", "part"], per_cent), "links")
     if not blocks.where("blocks > 1").limit(1).count():
         return links
     # Where an area has several blocks, texts outside its largest component still meet every block.
@@ -275,7 +277,7 @@ def _spanning_links(ranked: DataFrame, per_cent: int) -> DataFrame:
     queries = outside.withColumn("block", F.explode(every)).withColumn("query", F.lit(True))
     index = placed.where("blocks > 1").join(asking, "area").withColumn("query", F.lit(False))
     same = ["area", "asking", "block", "rid", "n", "tokens", "query"]
-    more = _links(queries.select(*same).unionByName(index.select(*same)), ["area", "asking", "block"], per_cent)
+    more = _links(queries.select(*same).unionByName(index.select(*same)).repartition("area", "asking", "block"), ["area", "asking", "block"], per_cent)
     return links.unionByName(written(more, "links"))
 
 
