@@ -76,6 +76,14 @@ def _arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """bucket, first and end of each run of equal buckets."""
+    if not len(bucket):
+        return []
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    return [(int(bucket[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets in the order of the keys."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

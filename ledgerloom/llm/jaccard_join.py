@@ -201,9 +201,7 @@ def _ranked(classes: DataFrame, per_cent: int) -> DataFrame:
     def parsed(texts: list[bytes]):
         sets = [np.frombuffer(t, dtype=np.uint64, offset=8) for t in texts]
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        bucket = _exchange.buckets_of(tokens, buckets)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-        return sets, tokens, counts, [(int(bucket[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(tokens)], strict=True)]
+        return sets, tokens, counts, _exchange.runs(_exchange.buckets_of(tokens, buckets))
 
     def send(ids: list, texts: list[bytes]) -> dict[int, bytes]:
         _, tokens, counts, cuts = parsed(texts)

@@ -39,7 +39,7 @@ def poisson(mean: Column, u: Column) -> Column:
 
 
 def rates(df: DataFrame, weights: Mapping[str, float] | None, alpha: float, source_col: str, rows: float | None) -> tuple[DataFrame, int]:
-    """__source, rate (target weight / share of rows, times rows out / rows in) and the number of sources."""
+    """__source, __rate (target weight / share of rows, times rows out / rows in) and the number of sources."""
     counts = written(df.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("n")), "sources")
     if weights is None:
         weight = F.pow("n", F.lit(alpha))
@@ -48,14 +48,14 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None, alpha: float, sour
         weight = F.coalesce(F.create_map(*pairs)[F.col("__source")] if pairs else F.lit(None), F.lit(0.0))
     n, w, sources = counts.agg(F.sum("n"), F.sum(weight), F.count("*")).first()
     scale = (float(n) if rows is None else rows) / w if w else 0.0
-    return counts.select("__source", (weight * scale / F.col("n")).alias("rate")), sources
+    return counts.select("__source", (weight * scale / F.col("n")).alias("__rate")), sources
 
 
 def mix_sources(
     df: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, seed: int = 17, rows: float | None = None, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
     """df's rows, each repeated by its Poisson count, in a global random order, with
-    copy_no (from 0) and mix_key added.
+    copy_no (from 0) and mix_key added, in place of columns so named.
 
     weights: target share of each source (those not named get none); without it the
     shares follow the source's rows to the power alpha. The expected number of rows is
@@ -66,9 +66,10 @@ def mix_sources(
     known, sources = rates(df, weights, alpha, source_col, rows)
     known = F.broadcast(known) if sources <= BROADCAST_SOURCES else known
     joined = df.join(known, df[source_col].eqNullSafe(F.col("__source")), "left")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN).cast("int"))
-    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson(F.col("rate") / parts, uniform(seed, F.col(id_col), i)))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MAX_MEAN).cast("int"))
+    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson(F.col("__rate") / parts, uniform(seed, F.col(id_col), i)))
     counted = joined.withColumn("__copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).where("__copies > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select(*df.columns, "copy_no", "mix_key")
+    own = [c for c in df.columns if c not in ("copy_no", "mix_key")]
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select(*own, "copy_no", "mix_key")

@@ -67,9 +67,7 @@ def dedup_substrings(df: DataFrame, n: int = WORDS, id_col: str = "doc_id", text
 
     def send(ids: list, texts: list[bytes]) -> dict[int, bytes]:
         *_, h, h2, least = candidates(ids, texts)
-        bucket = _exchange.buckets_of(h, buckets)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-        return {int(bucket[a]): h[a:b].tobytes() + h2[a:b].tobytes() + least[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True)}
+        return {k: h[a:b].tobytes() + h2[a:b].tobytes() + least[a:b].tobytes() for k, a, b in _exchange.runs(_exchange.buckets_of(h, buckets))}
 
     def answer(blobs: list[bytes]) -> list[bytes]:
         parts = [np.frombuffer(b, dtype=np.uint64).reshape(3, -1) for b in blobs]
@@ -88,10 +86,8 @@ def dedup_substrings(df: DataFrame, n: int = WORDS, id_col: str = "doc_id", text
     def finish(ids: list, texts: list[bytes], answers: dict[int, bytes]) -> pa.Table:
         words, at, own, key, h, _, least = candidates(ids, texts)
         beaten = np.zeros(len(h), dtype=bool)
-        bucket = _exchange.buckets_of(h, buckets)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-        for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-            beaten[a:b] = np.unpackbits(np.frombuffer(answers[int(bucket[a])], dtype=np.uint8), count=b - a).astype(bool)
+        for k, a, b in _exchange.runs(_exchange.buckets_of(h, buckets)):
+            beaten[a:b] = np.unpackbits(np.frombuffer(answers[k], dtype=np.uint8), count=b - a).astype(bool)
         gone = at[beaten[key] | (own > least[key])] if len(at) else at
         steps = np.zeros(len(words) + n + 1, dtype=np.int64)
         np.add.at(steps, gone, 1)

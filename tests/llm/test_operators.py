@@ -1,0 +1,364 @@
+"""The ten operators and the pipeline on small fixtures, against plain Python."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from ledgerloom.llm import count_min, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
+from ledgerloom.llm._components import components
+from ledgerloom.llm.elias_fano import EliasFano
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    texts = [prose(rng, rng.randint(0, 120)) for _ in range(60)]
+    texts += [f"{prose(rng, 20)} {passage}  {prose(rng, 9)}" for _ in range(8)]
+    base = prose(rng, 80).split()
+    for _ in range(8):
+        own = base[:]
+        own[rng.randrange(80)] = "changed"
+        texts.append(" ".join(own))
+    texts += [texts[0], texts[0].replace(" ", "\n "), texts[61], None, None, "", "   \t", "one two", "One  TWO", passage * 30, "İ ß ñ 12 x's", "<|endoftext|> don't. A—b."]
+    out = [(k, t, rng.choice(["en", None]), "hot" if k % 3 else rng.choice(["a", "b", None]), len(t or "")) for k, t in enumerate(texts)]
+    return out + [(7, texts[7], "en", "a", 1), (None, texts[62], None, None, None), (None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """With more columns, named as the operators name their own."""
+    more = ("id", "text_", "chunk", "bucket", "digest", "score", "label", "rid", "n", "ids", "__id", "rate", "keep_id")
+    return docs.selectExpr("*", *(f"'x' AS {c}" for c in more))
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing_is_a_partition_of_the_stream(docs, rows):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(TOKENIZER)
+    found = packing.pack(docs, TOKENIZER, window=64).collect()
+    want = sorted((-1 if i is None else i, [*known.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, *_ in rows)
+    by_place = sorted(found, key=lambda r: r.sequence_id * 64 + r.offset)
+    at, whole, own = 0, [], []
+    for r in by_place:
+        assert r.sequence_id * 64 + r.offset == at and r.length <= 64
+        ids = np.frombuffer(r.ids, dtype="<u2").tolist()
+        assert zlib.crc32(np.array(ids, dtype="<u4").tobytes()) == r.ids_crc32 and len(ids) == r.length and r.start == len(own)
+        own += ids
+        at += r.length
+        if len(own) == r.doc_tokens:
+            whole.append((-1 if r.doc_id is None else r.doc_id, own))
+            own = []
+    assert sorted(whole) == want
+    joined = packing.sequences(packing.pack(docs, TOKENIZER, window=64)).collect()
+    assert sorted(s.length for s in joined)[1:] == [64] * (len(joined) - 1)
+    assert b"".join(bytes(s.ids) for s in sorted(joined)) == b"".join(bytes(r.ids) for r in by_place)
+
+
+def kept_words(rows, n=13):
+    first = {}
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            first[key] = min(first.get(key, math.inf), math.inf if i is None else i)
+    out = []
+    for i, t, *_ in rows:
+        w, gone = WORD.findall(t or ""), set()
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < (math.inf if i is None else i):
+                gone.update(range(k, k + n))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup_matches_brute_force(clashing, rows):
+    found = substring_dedup.dedup_substrings(clashing).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found), key=repr) == kept_words(rows)
+    assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in found)
+
+
+def test_sketch_never_loses_a_repeated_key(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 5000, dtype=np.int64)
+    df = spark.createDataFrame([(int(k),) for k in [*keys, *keys[:700]]], "k long").repartition(6)
+    width = 2 * count_min.SLICE
+    bits = count_min.repeated(df, lambda b: b["k"].to_numpy().view(np.uint64), width)
+    some = count_min.may_repeat(keys.view(np.uint64), bits, width)
+    assert some[:700].all() and some[700:].mean() < 0.05
+
+
+def test_exact_dedup_matches_brute_force(clashing, rows):
+    def norm(t):
+        return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(norm(t), []).append(i)
+    want = []
+    for i, t, *_ in rows:
+        g = groups[norm(t)]
+        keep = min((x for x in g if x is not None), default=None)
+        want.append((i, keep, len(g), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+    assert sorted(map(tuple, exact_dedup.group_copies(clashing).collect()), key=repr) == sorted(want, key=repr)
+    kept = exact_dedup.drop_copies(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len(groups)
+
+
+def test_exact_dedup_splits_a_heavy_digest(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot  text' ELSE concat('t', id) END AS text")
+    found = exact_dedup.group_copies(df)
+    assert found.where("group_size = 1000 AND keep_id = 0").count() == 1000 and found.where("kept").count() == 2001
+
+
+def linked(rows, n, per_cent):
+    sets = []
+    for _, t, *_ in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t or "")]
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            same = sets[a] == sets[b]
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b]) and (same or (rows[a][0] is not None and rows[b][0] is not None)):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), math.inf), i)
+    return sorted(((i, len(s), least.get(find(k)) if s else i) for k, ((i, *_), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
+
+
+@pytest.mark.parametrize("block", [1 << 17, 300])
+def test_jaccard_join_matches_brute_force(clashing, rows, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    found = jaccard_join.join_similar(clashing)
+    assert sorted(map(tuple, found.collect()), key=repr) == linked(rows, 4, 85)
+
+
+def test_search_finds_the_components_of_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        base = [rng.choice(400, 60, replace=False) for _ in range(4)]
+        sets = []
+        for _ in range(50):
+            own = set(base[rng.integers(4)].tolist())
+            for x in rng.choice(sorted(own), rng.integers(0, 9), replace=False):
+                own -= {x}
+                own |= {int(rng.integers(400))}
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+        sizes = np.array([len(s) for s in sets])
+        links = jaccard_join.search(np.arange(50), sizes, sets, np.arange(50), 85)
+        groups = jaccard_join._Groups(50)
+        for a, b in links:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * both >= 85 * (sizes[a] + sizes[b] - both)
+            groups.join(a, b)
+        for a in range(50):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 85 * (sizes[a] + sizes[b] - both):
+                    assert groups.label[a] == groups.label[b]
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(50)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5, 5), (None, 3)]
+    random.Random(1).shuffle(edges)
+    found = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    assert found == {**{k: 0 for k in range(1, 51)}, **{1000 + k: 1000 for k in range(1, 80)}}
+
+
+def test_lm_scores_match_a_plain_model(clashing, rows):
+    tokens = [[*(x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t or "")), None] for _, t, *_ in rows]
+    trains = [zlib.crc32((b"" if i is None else str(i).encode())) % 10 != 0 for i, *_ in rows]
+    count, pairs, mass = Counter(), Counter(), Counter()
+    for ws, own in zip(tokens, trains, strict=True):
+        if own:
+            count.update(ws)
+            pairs.update(zip(["<s>", *ws[:-1]], ws, strict=True))
+    total, distinct = sum(count.values()), len(count)
+    count["<s>"] = sum(trains)
+    for (v, _), n in pairs.items():
+        mass[v] += n - 0.75 if n >= 2 else 0
+    want = []
+    for (i, *_), ws, own in zip(rows, tokens, trains, strict=True):
+        base = full = 0.0
+        for v, w in zip(["<s>", *ws[:-1]], ws, strict=True):
+            p = (count[w] + 0.1) / (total + 0.1 * (distinct + 1))
+            base += math.log10(p)
+            n = pairs[v, w]
+            full += math.log10(((n - 0.75 if n >= 2 else 0) + (count[v] - mass[v]) * p) / count[v] if count[v] else p)
+        want.append((repr(i), not own, len(ws), sum(count[w] > 0 for w in ws), total, base, full))
+    found = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring.score(clashing).collect())
+    for a, b in zip(found, sorted(want), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-9) and a[6] == pytest.approx(b[6], abs=1e-3 * b[2])
+
+
+@pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (7, 7), (900, 1 << 40), (3000, 3500)])
+def test_elias_fano_gets_and_succeeds(n, universe):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, universe, n).astype(np.uint64))
+    coded = EliasFano.of(values, universe)
+    assert n == 0 or (coded[np.arange(n)] == values).all()
+    asked = np.concatenate([values, rng.integers(0, universe, 300).astype(np.uint64)])
+    at, equal = coded.successor(asked)
+    assert (at == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
+
+
+def test_topk_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(900)]
+    vectors += [(900 + k, vectors[3][1]) for k in range(40)] + [(2000, None), (2100, []), (2200, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2300, [math.nan] * 6), (2400, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (2500, [1.0, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    own = [(k, [math.floor(1024 * x) for x in v]) for k, v in vectors if k is not None and v and len(v) == 6 and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, v in own:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in own if c != q)[:10]
+            want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk_search.search_top(df).collect())) == sorted(want)
+    assert topk_search.search_top(df.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n", "ñ" * 5000, "<p>a</p>"]
+    pages = [(k, f"http://x/{k}\r\nX: y", html[k % 6]) for k in range(40)] + [(3, "u", html[3]), (None, None, "only"), (None, "u", html[0])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = warc.captures(df).select(warc.metadata_field("captureId").cast("long").alias("i"), "response", "request", warc.metadata_field("refersToCapture").cast("long").alias("r"), warc.metadata_field("payloadBytes").cast("long").alias("n")).collect()
+    first = {}
+    for i, _, h in pages:
+        first[h or ""] = min((x for x in (first.get(h or "", i), i) if x is not None), default=None)
+    want = sorted((repr(i), len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if i == first[h or ""] else "revisit", None if i == first[h or ""] else first[h or ""]) for i, _, h in pages)
+    assert sorted((repr(x.i), x.n, x.response.digest, x.response.type, x.r) for x in found) == want
+    bodies = Counter(bytes(x.response.body) for x in found if x.response.type == "response")
+    assert bodies == Counter((h or "").encode() for i, _, h in pages if i == first[h or ""]) and all(bytes(x.request.body).startswith(b"GET ") for x in found)
+
+
+def test_mixing_meets_rates_and_keeps_rows(clashing, rows, spark):
+    mixed = mixing.mix_sources(clashing, {"hot": 1.0, "a": 3.0}, rows=4000.0).collect()
+    counts = Counter(r.source for r in mixed)
+    assert set(counts) == {"hot", "a"} and counts["hot"] == pytest.approx(1000, rel=0.2) and counts["a"] == pytest.approx(3000, rel=0.2)
+    again = mixing.mix_sources(clashing, {"hot": 1.0, "a": 3.0}, rows=4000.0).collect()
+    assert Counter((r.doc_id, r.copy_no) for r in mixed) == Counter((r.doc_id, r.copy_no) for r in again)
+    draws = mixing.mix_sources(spark.range(20000).selectExpr("id AS doc_id", "'s' AS source"), rows=30000.0).groupBy("doc_id").count().groupBy("count").count().collect()
+    for k, n in ((1, 20000 * 1.5 * math.exp(-1.5)), (3, 20000 * 1.5**3 / 6 * math.exp(-1.5))):
+        assert dict(draws)[k] == pytest.approx(n, rel=0.08)
+
+
+def labelled(spark, make):
+    rng = random.Random(4)
+    rows = [(k, *make(rng, k)) for k in range(600)]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t, _ in rows] + [(None, None, None, None, None), (9000, "", None, None, 0)], SCHEMA)
+    return docs, spark.createDataFrame([(k, v, v) for k, _, v in rows] + [(5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"), {k: v for k, _, v in rows}
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels, truth = labelled(spark, lambda rng, k: (prose(rng, 150), 1) if k % 4 else (" ".join([rng.choice(["BUY", "%%%", "win!!"]) for _ in range(150)]), 0))
+    model = quality.fit(docs, labels)
+    found = quality.score(docs, model).collect()
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert len(found) == 602 and sum(r.predicted == truth[r.doc_id] for r in held) > 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in found)
+    assert quality.keep_good(docs, model).columns == docs.columns
+
+
+def test_toxicity_on_held_out_rows(spark):
+    def make(rng, k):
+        bad = k % 3 == 0
+        w = prose(rng, 60).split()
+        for _ in range(3 if bad else 0):
+            w[rng.randrange(60)] = rng.choice(["horridword", "vileterm", "Vileterm!", "horridwurd"])
+        return " ".join(w), int(bad)
+
+    docs, labels, truth = labelled(spark, make)
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert len(found) == 602 and sum(r.predicted == truth[r.doc_id] for r in held) > 0.97 * len(held)
+
+
+def test_fuzzy_lexicon_matches_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+        return row[-1]
+
+    rng = random.Random(6)
+    terms = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 12))) for _ in range(40)]
+    lexicon = toxicity.FuzzyLexicon(terms)
+    for _ in range(1500):
+        token = list(rng.choice(terms)) if rng.random() < 0.7 else [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(token) + 1)
+            token[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["b"]])
+        token = "".join(token)
+        near = [d for t in terms if (d := distance(token, t)) <= toxicity.edits_allowed(len(t))]
+        assert lexicon.edits(token) == min(near, default=-1), token
+
+
+def test_models_without_labels_and_empty_tables(spark, docs, nothing):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, quality.fit(docs, none)).count() == docs.count()
+    assert toxicity.score(docs, toxicity.fit(docs, none)).count() == docs.count()
+    assert packing.pack(nothing, TOKENIZER).count() == 0
+    assert substring_dedup.dedup_substrings(nothing).count() == 0
+    assert exact_dedup.group_copies(nothing).count() == 0
+    assert jaccard_join.join_similar(nothing).count() == 0
+    assert lm_scoring.score(nothing).count() == 0
+    assert mixing.mix_sources(nothing).count() == 0
+    assert warc.captures(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert quality.score(nothing, quality.fit(nothing, none)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    good = [(1000 + k, prose(rng, 100), "en", "s", 1) for k in range(120)]
+    docs = good + [(2000 + k, "%%% !!! " * 60, "en", "s", 1) for k in range(60)] + [(3000, good[0][1], "en", "s", 1), (3001, f"{good[0][1]} more", "en", "s", 1)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 2000 or i >= 3000), 0) for i, *_ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = {i for i, *_ in good}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, str(tmp_path))
+        if k < 4:
+            assert out.columns == df.columns
+        df = spark.createDataFrame(out.collect(), out.schema)
+        left = {r.doc_id for r in df.collect()}
+        assert left == [ids | {3000, 3001}, ids | {3001}, ids, left & ids, left & ids][k]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
