@@ -22,7 +22,7 @@ SLICE = 1 << 20
 #: Of a sketch: 128 MB as one bit a cell.
 MAX_CELLS = 1 << 30
 ROWS = 2
-_FLUSH = 3_000_000
+_FLUSH = 2_000_000
 _PART = "slice int, part binary"
 
 
