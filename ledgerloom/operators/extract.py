@@ -130,7 +130,9 @@ def decree_changes(text: Column) -> Column:
     wanted = F.filter(articles, lambda a: F.contains(a, F.lit("Comisi")) & a.rlike(r"(?i)Des[íi]gn") & a.rlike(r"(?is)en\s+la\s+Comisi[óo]n\s+de\s+"))
     body = lambda a: squash(F.regexp_extract(a, r"(?is)en\s+la\s+Comisi[óo]n\s+de\s+(.+?)(?:,|\.|$)", 1))
     new = lambda a: F.regexp_extract(a, r"(?is)Des[íi]gn[ae]?s?e?\s+(.*?)en\s+la\s+Comisi[óo]n", 1)
-    old = lambda a: F.regexp_extract(a, r"(?is)en\s+reemplazo\s+de\s+(.*?)(?:,?\s*respectivamente|\.|$)", 1)
+    apart = lambda a: F.regexp_replace(a, r"(?i)(en\s+reemplazo\s+de)l\b", "$1 el")
+    until = lambda end: r"(?is)en\s+reemplazo\s+de\s+(.*?)" + end
+    old = lambda a: F.coalesce(found(apart(a), until(r",?\s*respectivamente")), F.regexp_extract(apart(a), until(r"(?:\.|$)"), 1))
     changes = F.transform(wanted, lambda a: F.struct(body(a).alias("body"), person_names(new(a)).alias("designated"), person_names(old(a)).alias("replaced")))
     return F.filter(changes, lambda x: F.size(x["designated"]) > 0)
 

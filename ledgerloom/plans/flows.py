@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import roster_key, surname_key, surname_first
+from ledgerloom.functions.text import roster_key, surname_first
 from ledgerloom.functions.values import meeting_kind
-from ledgerloom.operators import extract, merge, ordered
+from ledgerloom.operators import extract, lookup, merge, ordered
 
 
 def incremental_records(known: DataFrame, found: DataFrame, details: DataFrame, keys: list[str], order: list[str], columns: list[str], as_of) -> DataFrame:
@@ -53,12 +53,29 @@ def outcomes(rows: DataFrame, header, ignored) -> DataFrame:
     return extract.explode_codes(kept.withColumn("text", F.array_join("cells", " ")), "text").withColumn("result", result)
 
 
-def roster_after(rosters: DataFrame, decrees: DataFrame) -> DataFrame:
-    """rosters (body, members) after decrees (number, ord, text), in ord's order; bicameral bodies are left alone."""
-    changes = decrees.select("ord", F.posexplode(extract.decree_changes(F.col("text"))).alias("article", "c"))
-    changes = changes.select("ord", "article", F.col("c.body").alias("body"), F.col("c.designated").alias("new"), F.col("c.replaced").alias("old")).where(~F.contains(F.upper("body"), F.lit("BICAMERAL")))
-    pairs = ordered.paired(changes, "new", "old", ["ord", "article", "body"])
-    one = F.struct("ord", "article", "pair_no", F.struct(surname_first(F.col("designated")).alias("name"), F.lit("").alias("bloc"), surname_key(F.get(F.split(surname_first(F.col("replaced")), ","), F.lit(0))).alias("replaced")).alias("change"))
-    events = pairs.groupBy(roster_key(F.col("body")).alias("__k")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["change"]).alias("changes"))
-    joined = rosters.withColumn("__k", roster_key(F.col("body"))).join(events, "__k", "left")
+def designations(decrees: DataFrame) -> DataFrame:
+    """A row for each person whom decrees (number, ord, text) designate: number, ord, article,
+    pair_no, body, kind ('replace' or 'add'), designated and replaced as SURNAME, Names.
+    Bicameral bodies are left out."""
+    changes = decrees.select("number", "ord", F.posexplode(extract.decree_changes(F.col("text"))).alias("article", "c"))
+    changes = changes.select("number", "ord", "article", F.col("c.body").alias("body"), F.col("c.designated").alias("new"), F.col("c.replaced").alias("old"))
+    pairs = ordered.paired(changes.where(~F.contains(F.upper("body"), F.lit("BICAMERAL"))), "new", "old", ["number", "ord", "article", "body"])
+    replaced = F.when(F.col("replaced").isNotNull(), surname_first(F.col("replaced")))
+    return pairs.select(
+        "number", "ord", "article", "pair_no", "body", F.when(replaced.isNull(), "add").otherwise("replace").alias("kind"),
+        surname_first(F.col("designated")).alias("designated"), replaced.alias("replaced"),
+    )
+
+
+def roster_after(rosters: DataFrame, decrees: DataFrame, order: str = "body") -> DataFrame:
+    """rosters (body, members) after decrees (number, ord, text), in ord's order. A decree's
+    body is the roster of the same key, else the first, by order, whose key contains it
+    or is contained in it; without one its changes have no effect. rosters are a bounded dimension."""
+    log = designations(decrees).withColumn("__d", roster_key(F.col("body"))).where("__d <> ''")
+    keyed = rosters.withColumn("__k", roster_key(F.col("body")))
+    bodies = lookup.containment_match(log.select("__d").distinct(), "__d", "__d", keyed.where("__k <> ''").select("__k", F.col(order).alias("__o")), "__k", "__o")
+    change = F.struct(F.col("designated").alias("name"), F.lit("").alias("bloc"), F.col("replaced").alias("replaced"))
+    one = F.struct("ord", "article", "pair_no", change.alias("change"))
+    events = log.join(bodies, "__d").groupBy(F.col("matched").alias("__k")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["change"]).alias("changes"))
+    joined = keyed.join(events, "__k", "left")
     return joined.select("body", F.when(F.col("changes").isNull(), F.col("members")).otherwise(ordered.fold_roster(F.col("members"), F.col("changes"))).alias("members"))

@@ -51,7 +51,7 @@ def test_sessionize_equals_a_state_machine(spark):
 def test_roster_fold_equals_python(spark):
     rng = random.Random(11)
     names = ["PAZ, A", "PAZ SOL, B", "ROJO, C", "LUNA, D", "MAR, E"]
-    cases = [([(n, "b", f"r{k}") for k, n in enumerate(rng.sample(names, 3))], [(rng.choice(names), "", rng.choice(["PAZ", "SOL", "ROJO", "LUNA", None])) for _ in range(rng.randrange(6))]) for _ in range(150)]
+    cases = [([(n, "b", f"r{k}") for k, n in enumerate(rng.sample(names, 3))], [(rng.choice(names), "", rng.choice(["PAZ", "SOL", "ROJO", "LUNA", "", None])) for _ in range(rng.randrange(6))]) for _ in range(150)]
 
     def fold(members, changes):
         members = list(members)
@@ -59,11 +59,12 @@ def test_roster_fold_equals_python(spark):
             role = ""
             for i, m in enumerate(members):
                 s = m[0].split(",")[0]
-                if gone is not None and (gone in s or s in gone):
+                if gone and (gone in s or s in gone):
                     role = m[2]
                     del members[i]
                     break
-            if name not in [m[0] for m in members]:
+            new = name.split(",")[0]
+            if not any(new in s or s in new for s in (m[0].split(",")[0] for m in members)):
                 members.append((name, bloc, role))
         return members
 
@@ -114,6 +115,12 @@ def test_flows(spark):
     rosters = spark.createDataFrame([("Salud", [("ROJO, Juan", "b", "presidente")])], f"body string, members array<struct<{ROSTER.replace(' ', ':').replace(',:', ',')}>>")
     decrees = spark.createDataFrame([("1/26", 1, "Artículo 1°- Desígnase a la señora Senadora Ana PAZ en la Comisión de Salud, en reemplazo del señor Senador Juan ROJO.")], "number string, ord int, text string")
     assert [tuple(m) for m in flows.roster_after(rosters, decrees).first().members] == [("PAZ, Ana", "", "presidente")]
+    texts = ["Artículo 1°- Desígnase al señor Senador Juan SOL y a la señora Senadora Eva MAR en la Comisión de Salud, en reemplazo de la señora Senadora Ana PAZ.", "Artículo 1°- Desígnase al señor Senador Luis LUNA en la Comisión de Salud Pública."]
+    more = decrees.unionByName(spark.createDataFrame([(f"{k}/26", k, t) for k, t in enumerate(texts, 2)], "number string, ord int, text string"))
+    assert [(r.kind, r.designated, r.replaced) for r in flows.designations(more).orderBy("ord", "pair_no").collect()] == [
+        ("replace", "PAZ, Ana", "ROJO, Juan"), ("replace", "SOL, Juan", "PAZ, Ana"), ("add", "MAR, Eva", None), ("add", "LUNA, Luis", None)]
+    # Who is added without replacing anyone removes nobody; a longer name finds the body that it contains.
+    assert [tuple(m) for m in flows.roster_after(rosters, more).first().members] == [("SOL, Juan", "", "presidente"), ("MAR, Eva", "", ""), ("LUNA, Luis", "", "")]
     rows = spark.createDataFrame([("1", 1, 0, 0, ["SOBRE TABLAS"]), ("1", 2, 0, 0, ["S-1/26", "x", "APROBADO"]), ("1", 2, 0, 1, ["CAMBIO DE GIRO"]), ("1", 2, 0, 2, ["S-2/26", "x", "y"])], "bulletin string, page int, tbl int, row int, cells array<string>")
     first = F.get(F.col("cells"), F.lit(0))
     found = flows.outcomes(rows, F.when(first == "SOBRE TABLAS", "tablas"), first == "CAMBIO DE GIRO").collect()
