@@ -78,7 +78,7 @@ def person_key(c: Column, collapse: bool = True) -> Column:
     white space become one space unless collapse is off."""
     parts = F.split(F.coalesce(c, F.lit("")), ",", 2)
     clean = squash if collapse else strip
-    return F.upper(F.array_join(F.transform(parts, clean), ", "))
+    return F.upper(F.array_join(F.transform(parts, lambda p: clean(p)), ", "))
 
 
 def capitalised(w: Column) -> Column:
