@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, lookup, merge, ordered
+from ledgerloom.plans import flows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -206,16 +207,19 @@ def _(orders, customer):
     return cols(ordered.stalest(open_, "reviewed", ["o_orderkey"], 200), "o_orderkey", "reviewed")
 
 
-@query("w8_role_fold", None, "customer", "orders")
-def _(customer, orders):
-    """Rosters of nations after replacements by orders; compared with a Python model in the tests."""
-    name = F.concat(F.lit("S"), F.col("c_custkey").cast("string"), F.lit(", X"))
-    roster = customer.where("c_custkey % 5 = 0").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), F.col("c_mktsegment").alias("bloc"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("role")))).alias("members"))
-    event = F.struct("o_orderkey", F.struct(F.concat(F.lit("T"), (F.col("o_orderkey") % 50).cast("string"), F.lit(", Y")).alias("name"), F.lit("").alias("bloc"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("replaced")).alias("c"))
-    # A nation's roster takes its first ten changes of the year only in this report.
-    changes = orders.where(F.col("o_custkey") % 5 == 0).join(cols(customer, "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 25 = 0").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(event)), lambda x: x["c"]).alias("changes"))
-    after = roster.join(changes, "c_nationkey", "left").withColumn("members", F.when(F.col("changes").isNull(), F.col("members")).otherwise(ordered.fold_roster(F.col("members"), F.col("changes"))))
-    return after.select("c_nationkey", joined(F.transform("members", lambda m: F.concat_ws(":", m["name"], m["role"]))).alias("members"))
+@query("w8_role_fold", None, "orders", "lineitem")
+def _(orders, lineitem):
+    """Rosters of customers, whose members are their orders, after replacements by their
+    lines; compared with a Python model in the tests."""
+    name = F.concat(F.lit("S"), F.col("o_orderkey").cast("string"), F.lit(", X"))
+    member = F.struct("o_orderkey", F.struct(name.alias("name"), F.col("o_orderpriority").alias("bloc"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("role")).alias("m"))
+    rosters = orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(member)), lambda x: x["m"]).alias("members"))
+    change = F.struct(F.concat(F.lit("T"), (F.col("l_partkey") % 50).cast("string"), F.lit(", Y")).alias("name"), F.lit("").alias("bloc"), F.concat(F.lit("S"), F.col("l_orderkey").cast("string")).alias("replaced"))
+    event = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", change.alias("c"))
+    lines = lineitem.join(cols(orders, "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    changes = lines.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(event)), lambda x: x["c"]).alias("changes"))
+    after = rosters.join(changes, "o_custkey", "left").withColumn("members", F.when(F.col("changes").isNull(), F.col("members")).otherwise(ordered.fold_roster(F.col("members"), F.col("changes"))))
+    return after.select("o_custkey", joined(F.transform("members", lambda m: F.concat_ws(":", m["name"], m["role"]))).alias("members"))
 
 
 # ---- lookups and joins
@@ -383,6 +387,94 @@ def _(orders):
     return found.select("o_orderkey", F.col("l.number").alias("law"), F.col("l.date").alias("law_date"), "n.number", "n.year", "n.kind")
 
 
+@query("n4_roster_key", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'DELA ' ELSE '' END || upper(p_name || ' ' || p_type) AS k FROM part", "part")
+def _(part):
+    lead = F.element_at(F.array(*map(F.lit, ("De ", "de la ", "DE LOS ", "dé las ", "dela "))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return part.select("p_partkey", text.roster_key(F.concat(lead, F.col("p_name"), F.lit("  "), F.col("p_type"))).alias("k"))
+
+
+@query("n5_surname_key", "SELECT p_partkey, 'NANDU ' || upper(p_brand) AS k FROM part", "part")
+def _(part):
+    return part.select("p_partkey", text.surname_key(F.concat(F.lit(" Ñandú  "), F.col("p_brand"))).alias("k"))
+
+
+@query("n11_title_each", """
+    SELECT p_partkey, 'D' || chr(39) || upper(p_brand[1]) || lower(p_brand[2:]) || '-' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS t FROM part""", "part")
+def _(part):
+    return part.select("p_partkey", text.title_each(F.concat(F.lit("d'"), F.lower("p_brand"), F.lit("-"), F.upper("p_name"))).alias("t"))
+
+
+@query("n14_dash_parts", "SELECT o_orderkey, o_orderstatus || '|AP|' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '-' END AS parts FROM orders", "orders")
+def _(orders):
+    k = F.col("o_orderkey")
+    return orders.select("o_orderkey", joined(text.dash_parts(F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit("  AP "), k.cast("string"), F.when(k % 2 == 0, " - ").otherwise("--")))).alias("parts"))
+
+
+@query("n15_author_list", "SELECT c_custkey, upper(c_name) || ', X|' || upper(c_mktsegment) || ', B  B' AS authors FROM customer", "customer")
+def _(customer):
+    return customer.select("c_custkey", joined(text.author_list(F.concat(F.col("c_name"), F.lit(" ,  x - "), F.col("c_mktsegment"), F.lit(",  B  b - - ")))).alias("authors"))
+
+
+@query("n16_after_colon", "SELECT p_partkey, p_name || ': z' AS t FROM part", "part")
+def _(part):
+    return part.select("p_partkey", text.after_colon(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_brand"), F.lit(": "), F.col("p_name"), F.lit(": z"))).otherwise(F.concat(F.lit(" :"), F.col("p_name"), F.lit(": z ")))).alias("t"))
+
+
+@query("n20_signers", "SELECT c_custkey, c_name || '|' || c_mktsegment || '|A-B' AS names FROM customer", "customer")
+def _(customer):
+    return customer.select("c_custkey", joined(text.signers(F.concat(F.lit(" "), F.col("c_name"), F.lit(".. - "), F.col("c_mktsegment"), F.lit(".  –  A-B")))).alias("names"))
+
+
+@query("n21_origin_label", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Executive' WHEN 1 THEN 'Cd' ELSE 'Ov' END AS origin, CASE o_orderkey % 3 WHEN 0 THEN 'AC' ELSE '' END AS kind FROM orders", "orders")
+def _(orders):
+    k = F.col("o_orderkey")
+    code = F.concat(F.when(k % 3 == 0, "p.e-").when(k % 3 == 1, "CD-").otherwise("OV-"), k.cast("string"), F.when(k % 3 == 0, "/25-ac").otherwise("/25"))
+    return orders.select("o_orderkey", text.code_origin(code, {"PE": "Executive"}).alias("origin"), text.code_kind(code).alias("kind"))
+
+
+@query("c3_date_full_match", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '31/02/2026' WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') END AS day FROM orders", "orders")
+def _(orders):
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    return orders.select("o_orderkey", values.date_or_null(F.when(k % 3 == 0, "31/02/2026").when(k % 3 == 1, F.concat(F.lit(" "), day)).otherwise(F.concat(F.lit("el "), day))).alias("day"))
+
+
+@query("c6_numbers", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::INT END AS number, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '/26' END AS bulletin,
+    CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%m') END AS month FROM orders""", "orders")
+def _(orders):
+    k = F.col("o_orderkey")
+    even = lambda a, b: F.when(k % 2 == 0, a).otherwise(b)
+    slashed = F.concat(k.cast("string"), F.lit("/26"))
+    bulletin = even(F.concat(F.lit("Boletín N° "), slashed), F.concat(F.repeat(F.lit("x"), F.lit(200)), F.lit("N° "), slashed))
+    month = F.when(k % 7 == 0, "nada").otherwise(F.element_at(F.array(*(F.lit(m.lower()) for m in values.MONTHS)), F.month("o_orderdate")))
+    return orders.select("o_orderkey", values.leading_int(even(slashed, F.lit("S/T"))).alias("number"), values.bulletin_number(bulletin).alias("bulletin"), values.month_number(month).alias("month"))
+
+
+@query("c8_clock", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%H:%M') WHEN 1 THEN 'A continuación' ELSE 'TARDE' END AS time FROM events", "events")
+def _(events):
+    k = F.col("event_id")
+    return events.select("event_id", values.clock(F.when(k % 3 == 0, F.concat(F.date_format("ts", "HH:mm"), F.lit(" h"))).when(k % 3 == 1, "a continuación").otherwise(" tarde ")).alias("time"))
+
+
+@query("c11_main_authors", """
+    SELECT c_custkey, upper(c_name) || ', A' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '|ZZZ, B' END AS main, CASE WHEN c_custkey % 2 = 0 THEN 'ZZZ, B' ELSE '' END AS others FROM customer""", "customer")
+def _(customer):
+    author = F.concat(F.upper("c_name"), F.lit(", A"))
+    title = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, " y otros: de ley").otherwise(": de ley"))
+    return customer.select("c_custkey", text.main_authors(title, F.array(author, F.lit("ZZZ, B"))).alias("a")).select("c_custkey", joined(F.col("a.main")).alias("main"), joined(F.col("a.others")).alias("others"))
+
+
+@query("c12_flags", """
+    SELECT o_orderkey, o_orderstatus = 'F' OR o_orderkey % 5 = 0 AS archived, o_orderkey % 5 = 0 AS lapsed, o_orderstatus = 'P' AS enacted,
+    o_orderstatus = 'O' AND o_orderkey % 2 = 0 AS approved, CASE WHEN o_orderkey % 3 = 0 THEN 'bicameral' ELSE 'senadores' END AS kind FROM orders""", "orders")
+def _(orders):
+    k, st, day = F.col("o_orderkey"), F.col("o_orderstatus"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    flags = values.status_flags(F.when(st == "F", day), F.when(k % 5 == 0, day), F.when(st == "P", k.cast("string")), F.lit(None).cast("string"))
+    passed = values.approved(F.when(st == "O", "AP/26").otherwise("no"), F.when(k % 2 == 0, "AP"))
+    bodies = F.array(F.lit("Salud"), F.when(k % 3 == 0, "Bicameral de X").otherwise("Y"))
+    return orders.select("o_orderkey", flags.alias("f"), passed.alias("approved"), values.meeting_kind(F.lit("senadores"), bodies).alias("kind")).select("o_orderkey", "f.*", "approved", "kind")
+
+
 # ---- extraction
 
 
@@ -428,6 +520,39 @@ def _(orders):
     return orders.select("o_orderkey", joined(F.transform(extract.free_agenda_items(c), lambda i: F.concat_ws("=", i["number"], i["extract"]))).alias("items"))
 
 
+@query("x4_table_by_summary", "SELECT p_partkey, p_brand || '|' || p_name AS cells FROM part WHERE p_partkey % 2 = 0", "part")
+def _(part):
+    row = F.concat(F.lit("<tr><td>"), F.col("p_brand"), F.lit("</td><td><a href='x'>"), F.col("p_name"), F.lit("</a></td></tr>"))
+    summary = F.when(F.col("p_partkey") % 2 == 0, "Giros del").otherwise("Fechas del")
+    page = F.concat(F.lit("<table summary='otra'><tr><td>a</td><td>b</td></tr></table><table border='1' summary='"), summary, F.lit(" expediente'>"), row, F.lit("</table>"))
+    found = extract.table_rows(part.select("p_partkey", page.alias("html")), "p_partkey", extract.table_by_summary(F.col("html"), "Giros"), 2)
+    return found.select("p_partkey", joined(F.col("cells")).alias("cells"))
+
+
+@query("x7_three_state", """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS known, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS day FROM orders""", "orders")
+def _(orders):
+    k = F.col("o_orderkey")
+    header = F.when(k % 3 == 2, "Otra").otherwise("Fecha Dado Cuenta")
+    page = F.concat(F.lit("<table><tr><th>Nro</th><th>"), header, F.lit("</th></tr><tr><td>1</td><td>"), F.when(k % 3 == 1, "-").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy")), F.lit("</td></tr></table>"))
+    return orders.select("o_orderkey", extract.three_state(page, "DADO CUENTA").alias("s")).select("o_orderkey", "s.known", F.col("s.date").alias("day"))
+
+
+@query("x9_room_and_mode", "SELECT o_orderkey, o_orderstatus || ' A' AS room, CASE WHEN o_orderkey % 2 = 0 THEN 'virtual' ELSE '' END AS mode FROM orders", "orders")
+def _(orders):
+    c = F.concat(F.col("o_orderstatus"), F.lit(" \n\n A"), F.when(F.col("o_orderkey") % 2 == 0, " (virtual)").otherwise(""))
+    return orders.select("o_orderkey", extract.room_and_mode(F.array_join(extract.multi_line_cell(c), " ")).alias("r")).select("o_orderkey", "r.room", "r.mode")
+
+
+@query("x15_designations", """
+    SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'replace' ELSE 'add' END AS kind, 'PAZ, Ana ' || p_partkey AS designated, CASE WHEN p_partkey % 2 = 0 THEN 'ROJO, Juan' END AS replaced FROM part""", "part")
+def _(part):
+    k = F.col("p_partkey")
+    new = F.concat(F.lit("Artículo 1°- Desígnase a la señora Senadora Ana "), k.cast("string"), F.lit(" PAZ en la Comisión de Salud"))
+    decrees = part.select(k.alias("number"), k.alias("ord"), F.concat(new, F.when(k % 2 == 0, ", en reemplazo del señor Senador Juan ROJO.").otherwise(".")).alias("text"))
+    return flows.designations(decrees).select(F.col("number").alias("p_partkey"), "kind", "designated", "replaced")
+
+
 @query("x18_hyperlinks", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'u/' || o_orderkey ELSE '' END AS url, o_orderkey::VARCHAR AS text FROM orders", "orders")
 def _(orders):
     k = F.col("o_orderkey").cast("string")

@@ -42,5 +42,26 @@ def test_query_matches_sql(spark, name):
     assert sorted_rows(df.select(*columns).collect()) == sorted_rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_role_fold_query_equals_python(spark):
+    rows = lambda sql: duckdb.sql(sql.format(d=DATA)).fetchall()
+    surname = lambda m: m[0].split(",")[0]
+    members, changes = {}, {}
+    for c, k in rows("SELECT o_custkey, o_orderkey FROM '{d}/orders.parquet' ORDER BY o_orderkey"):
+        members.setdefault(c, []).append((f"S{k}, X", f"r{k}"))
+    lines = "SELECT o_custkey, l_orderkey, l_partkey FROM '{d}/lineitem.parquet' JOIN '{d}/orders.parquet' ON l_orderkey = o_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    for c, k, p in rows(lines):
+        changes.setdefault(c, []).append((f"T{p % 50}, Y", f"S{k}"))
+    for c, own in members.items():
+        for name, gone in changes.get(c, []):
+            at = next((i for i, m in enumerate(own) if gone in surname(m) or surname(m) in gone), None)
+            role = own.pop(at)[1] if at is not None else ""
+            new = surname((name,))
+            if not any(new in surname(m) or surname(m) in new for m in own):
+                own.append((name, role))
+    found = {r.o_custkey: r.members for r in __spark_entry__.queries()["w8_role_fold"](spark, DATA).collect()}
+    assert found == {c: "|".join(":".join(m) for m in own) for c, own in members.items()}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
