@@ -37,7 +37,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), order=3, discounts=None)
 
 
 def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

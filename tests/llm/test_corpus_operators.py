@@ -226,6 +226,43 @@ def test_lm_scores_match_a_plain_model(clashing, rows):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-9) and a[6] == pytest.approx(b[6], abs=1e-3 * b[2])
 
 
+def test_lm_of_three_words_keeps_what_was_met_once(clashing, rows):
+    tokens = [[*(x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t or "")), None] for _, t, *_ in rows]
+    trains = [zlib.crc32((b"" if i is None else str(i).encode())) % 10 != 0 for i, *_ in rows]
+    count, grams = Counter(), [Counter(), Counter()]
+    for ws, own in zip(tokens, trains, strict=True):
+        if own:
+            count.update(ws)
+            grams[0].update(zip(["<s>", *ws[:-1]], ws, strict=True))
+            grams[1].update(zip(["<s>", *ws[:-2]], ws[:-1], ws[1:], strict=False))
+    total, distinct = sum(count.values()), len(count)
+    taken, seen = Counter(), Counter()
+    discounts = []
+    for level in grams:
+        discounts.append(lm_scoring.chen_goodman(*(sum(n == k for n in level.values()) for k in (1, 2, 3, 4))))
+        for g, n in level.items():
+            taken[g[:-1]] += discounts[-1][min(n, 3) - 1]
+            seen[g[:-1]] += n
+
+    def raised(gram, p):
+        n, d = grams[len(gram) - 2][gram], discounts[len(gram) - 2]
+        return ((n - d[min(n, 3) - 1] if n else 0) + taken[gram[:-1]] * p) / seen[gram[:-1]] if seen[gram[:-1]] else p
+
+    want = []
+    for (i, *_), ws in zip(rows, tokens, strict=True):
+        full = 0.0
+        for k, w in enumerate(ws):
+            before = ["<s>", *ws[:k]]
+            p = raised((before[-1], w), (count[w] + 0.1) / (total + 0.1 * (distinct + 1)))
+            full += math.log10(raised((*before[-2:], w), p) if k else p)
+        want.append((repr(i), len(ws), full))
+    found = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score(clashing, order=3, discounts=None).collect())
+    for a, b in zip(found, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3 * b[1])
+    met = {g for g, n in grams[0].items() if n == 1}
+    assert met and discounts[0][0] < 1
+
+
 @pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (7, 7), (900, 1 << 40), (3000, 3500)])
 def test_elias_fano_gets_and_succeeds(n, universe):
     rng = np.random.default_rng(n)
