@@ -7,8 +7,9 @@
    prefix shingles bound where partners can be; large ones are cut into blocks.
 3. In a block, a T-occurrence search finds partners: DivideSkip sets the longest
    inverted lists aside, merges the short ones on a heap, and probes the long ones by
-   binary search for those that occur often enough. A link inside a component that is
-   known already adds nothing and isn't sought.
+   binary search for those that occur often enough. Every pair of blocks of an area
+   meets once, and every candidate is verified, so that links can be counted. Where
+   components alone are wanted, a link inside a known one adds nothing and isn't sought.
 """
 
 from __future__ import annotations
@@ -165,6 +166,46 @@ def search(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], queries:
     return out
 
 
+def count_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per_cent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that span the components, and for each text the number of all its links to
+    texts before it; between two sides, or on the one that there is.
+
+    sets: without shingles that no other text has.
+    """
+    index, groups, out, n_links = InvertedLists(sets), _Groups(len(ids)), [], np.zeros(len(ids), dtype=np.int64)
+    across = len(ids) > 0 and bool(side.min() != side.max())
+    for x in range(len(ids)):
+        n, own = int(sizes[x]), index.lists[x]
+        least = -(-per_cent * n // 100)
+        if len(own) < least:
+            continue
+        own = own[np.argsort(index.lengths[own], kind="stable")]
+        skip = min(least - 1, int(least / (MU * math.log2(int(index.lengths[own[-1]]) + 1) + 1)))
+        short, long = own[: len(own) - skip], own[len(own) - skip :]
+        tried, seen = merged([index[k] for k in short], x, least - skip, int(index.lengths[short].sum()))
+        m = sizes[tried]
+        fits = (100 * np.minimum(m, n) >= per_cent * np.maximum(m, n)) & (ids[tried] != ids[x])
+        if across:
+            fits &= side[tried] != side[x]
+        tried, seen = tried[fits], seen[fits]
+        need = needed(n, sizes[tried], per_cent)
+        for left, k in zip(range(len(long), 0, -1), long, strict=True):
+            able = seen + left >= need
+            if not able.all():
+                tried, seen, need = tried[able], seen[able], need[able]
+            if not len(tried):
+                break
+            row = index[k]
+            p = np.minimum(np.searchsorted(row, tried), len(row) - 1)
+            seen = seen + (row[p] == tried)
+        tried = tried[seen >= need]
+        n_links[x] = len(tried)
+        while len(tried := tried[groups.label[tried] != groups.label[x]]):
+            groups.join(x, int(tried[0]))
+            out.append((int(ids[x]), int(ids[tried[0]])))
+    return out, n_links
+
+
 def _classes(df: DataFrame, n: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
     """id, n, digest of the set, live (its shingles that others may have; null if it can't have a partner)."""
     spark = df.sparkSession
@@ -248,13 +289,43 @@ def _links(placed: DataFrame, keys: list[str], per_cent: int) -> DataFrame:
     return placed.groupBy(*keys).applyInArrow(found, "u long, v long")
 
 
-def _spanning_links(ranked: DataFrame, per_cent: int) -> DataFrame:
+def _all_links(own: DataFrame, blocks: DataFrame, per_cent: int) -> DataFrame:
+    """u, v: spanning links, n null; and u with the number n of its links, v null. Each two texts of an area meet in one task."""
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = own.join(blocks, "area").withColumn("side", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(every))
+    dealt = placed.select("area", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rid", "n", "tokens")
+
+    def found(table: pa.Table) -> pa.Table:
+        columns = (table[c].to_pylist() for c in ("n", "rid", "side", "tokens"))
+        rows = sorted(zip(*columns, strict=True), key=lambda r: r[:2])
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        # A pair of blocks of which one is empty has no links; both sides alike would be counted again.
+        if low != high and len({r[2] for r in rows}) < 2:
+            rows = []
+        ids = np.array([r[1] for r in rows], dtype=np.int64)
+        links, counts = count_links(ids, np.array([r[0] for r in rows], dtype=np.int64), [np.frombuffer(r[3], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows], dtype=np.int64), per_cent)
+        some = np.flatnonzero(counts)
+        return pa.table({
+            "u": pa.array([a for a, _ in links] + ids[some].tolist(), pa.int64()),
+            "v": pa.array([b for _, b in links] + [None] * len(some), pa.int64()),
+            "n": pa.array([None] * len(links) + counts[some].tolist(), pa.int64()),
+        })
+
+    # By all keys, so that the blocks of an area don't meet in one task.
+    keys = ["area", "low", "high"]
+    return written(dealt.repartition(*keys).groupBy(*keys).applyInArrow(found, "u long, v long, n long"), "links")
+
+
+def _spanning_links(ranked: DataFrame, per_cent: int, count: bool = False) -> DataFrame:
+    """u, v; with count as _all_links."""
     tokens = ranked.select("rid", F.explode("prefix").alias("token"))
     firsts = tokens.groupBy("token").agg(F.min("rid").alias("v"))
     near = components(tokens.join(firsts, "token").select(F.col("rid").alias("u"), "v").where("u <> v"))
     labels = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
     own = written(ranked.drop("prefix").join(labels, ranked["rid"] == labels["id"]).select("rid", "n", "tokens", F.col("component").alias("area")), "areas")
     blocks = own.groupBy("area").agg(F.ceil(F.sum(F.octet_length("tokens")) / 8 / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    if count:
+        return _all_links(own, blocks, per_cent)
     placed = own.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     part = placed.withColumn("part", F.explode(F.when(F.col("block") == 0, every).otherwise(F.array("block"))))
@@ -279,25 +350,36 @@ def _spanning_links(ranked: DataFrame, per_cent: int) -> DataFrame:
     return links.unionByName(written(more, "links"))
 
 
-def join_similar(df: DataFrame, n: int = SHINGLE, per_cent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_similar(df: DataFrame, n: int = SHINGLE, per_cent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row for each row: id, n_shingles, component_id (the smallest id reachable by links).
 
     Two rows link if 100 * intersection >= per_cent * union of their sets. Rows without
     words link with nothing. A row with a null id gets the component of its copies,
     null if they have no id either, and makes no links of its own. Rows of the same id
     are separate rows that share it. Ids are integers; other columns aren't read.
+
+    links: every link is sought, and n_links says how many there are in the row's
+    component between different sets; rows with equal sets count as one, under their
+    smallest id. Different sets under the same smallest id have no link.
     """
     small_batches(df.sparkSession)
     rows = _classes(df.withColumn(id_col, F.col(id_col).cast("long")), n, per_cent, id_col, text_col)
-    linked = components(_spanning_links(_ranked(rows, per_cent), per_cent))
+    found = _spanning_links(_ranked(rows, per_cent), per_cent, links)
+    linked = components(found.select("u", "v").where("v IS NOT NULL"))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rid"))
     classes = classes.join(linked.withColumnRenamed("id", "other"), F.col("rid") == F.col("other"), "left").select("digest", F.coalesce("component", "rid").alias("found"))
+    more = []
+    if links:
+        per_text = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
+        counts = per_text.join(linked, F.col("u") == F.col("id"), "left").groupBy(F.coalesce("component", "u").alias("of")).agg(F.sum("n").alias("n_links"))
+        classes = classes.join(counts, F.col("found") == F.col("of"), "left").select("digest", "found", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     # Classes that hold a large share of the rows are few: they are broadcast, the others are shuffled.
     own = rows.drop("live")
     often = frequent(own.select("id", "digest").where("digest IS NOT NULL")).select("digest")
     large = F.broadcast(written(classes.join(F.broadcast(often), "digest", "left_semi"), "large"))
     found = own.join(large, "digest", "inner").unionByName(own.join(F.broadcast(often), "digest", "left_anti").join(classes, "digest", "left"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"), *more)
 
 
 def drop_similar(df: DataFrame, n: int = SHINGLE, per_cent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -193,6 +193,31 @@ def test_search_finds_the_components_of_all_pairs():
                     assert groups.label[a] == groups.label[b]
 
 
+@pytest.mark.parametrize("block", [1 << 17, 300])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    rng = random.Random(12)
+    bases, texts = [prose(rng, 200).split() for _ in range(3)], []
+    for k in range(60):
+        own = bases[k % 3][:]
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(200)] = rng.choice(["some", "other", "words"])
+        texts.append(" ".join(own))
+    rows = [(k, t) for k, t in enumerate([*texts, texts[0], "", "alone"])]
+    sets = {}
+    for k, t in rows:
+        w = t.split()
+        sets.setdefault(frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else (), k)
+    ids = {k: s for s, k in sets.items() if s}
+    found = jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), links=True).collect()
+    component = {r.doc_id: r.component_id for r in found}
+    want = Counter(component[a] for a in ids for b in ids if a < b and 100 * len(ids[a] & ids[b]) >= 85 * len(ids[a] | ids[b]))
+    assert sum(want.values()) > len(rows)  # more than any spanning forest has
+    assert {r.doc_id: r.n_links for r in found} == {k: want[component[k]] for k, _ in rows}
+    plain = jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in plain.collect()} == component
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(50)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5, 5), (None, 3)]
     random.Random(1).shuffle(edges)
