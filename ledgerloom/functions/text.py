@@ -82,7 +82,7 @@ def person_key(c: Column, collapse: bool = True) -> Column:
 
 
 def capitalised(w: Column) -> Column:
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
 
 
 def title_particles(c: Column) -> Column:

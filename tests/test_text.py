@@ -45,6 +45,12 @@ def test_golden(spark, function, cell, want):
     assert one(spark, function, cell) == want
 
 
+@pytest.mark.parametrize("function", [text.title_particles, text.title_each])
+def test_very_long_words_keep_their_tail(spark, function):
+    df = spark.createDataFrame([("B" * ((1 << 20) + 9),)], "c string")
+    assert df.select(F.length(function(F.col("c"))).alias("n")).first().n == (1 << 20) + 9
+
+
 def test_structs(spark):
     assert tuple(one(spark, values.law_and_date, "27818 - 24/06/2026")) == ("27818", "24/06/2026")
     assert tuple(one(spark, values.law_and_date, " - ")) == (None, None)
