@@ -3,8 +3,9 @@
 Pass 1 tokenises each partition once and writes the ids with their place among the
 partition's tokens; the partitions' totals, one number each, give by a prefix sum the
 global offset of each partition. Pass 2 turns places into global ones and cuts at
-multiples of the window. Windows that lie in one partition are whole there; only the
-boundary records, at most two a partition and those of longer runs, are merged.
+multiples of the window. The result is pieces with their sequence and offset, not
+joined windows: nothing is merged at the boundaries of partitions. ``sequences`` joins
+them by a shuffle of all pieces; no query and no stage of the pipeline calls it.
 """
 
 from __future__ import annotations
