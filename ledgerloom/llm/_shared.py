@@ -1,22 +1,29 @@
-"""Files that driver and executors share, and limits on Arrow batches."""
+"""Files that driver and executors share, limits on Arrow batches, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
+X = TypeVar("X")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder spark.checkpoint.dir. Where that is unset, a temporary one on local
+    masters; elsewhere executors couldn't see it, so that is a ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,3 +45,14 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of a batch that a Python worker gets."""
     for key, value in ARROW_BATCH.items():
         spark.conf.set(key, value)
+
+
+def trimmed(x: X) -> X:
+    """x, after the worker has given memory that is free back to the system: workers
+    live on from stage to stage, and so would what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+    return x

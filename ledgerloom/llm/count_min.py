@@ -1,113 +1,81 @@
-"""Count-min sketches of 64-bit keys, built in partitions and merged.
+"""Count-min sketches of 64-bit keys, made in chunks and merged by owners of slices.
 
-Each task emits the cells that it touched, cut into slices; one task at a time merges
-the parts of a slice as a stream. Only sketches of a bounded number of cells come to
-the driver: ``cells_for`` never exceeds ``MAX_CELLS``. With more keys the sketch lets
-more keys through; it never loses one, as counts are only overestimated.
+A chunk sends the cells that its keys touch, with their counts, to the owners of the
+slices that they lie in. An owner merges the parts of its slice and answers which of a
+chunk's cells have a count of two or more. The sketch is as large as the input asks
+for: it has a slice for each bucket of the exchange, and nobody holds it whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._exchange import Reader, Writer, runs
 from ledgerloom.llm._words import U, mix
 
-SLICE = 1 << 20
-#: Of a sketch: 128 MB as one bit a cell.
-MAX_CELLS = 1 << 30
 ROWS = 2
-_FLUSH = 2_000_000
-_PART = "slice int, part binary"
-
-
-def cells_for(n_bytes: int) -> int:
-    """Cells of each row for texts of so many bytes, about 3.6 for each word and row."""
-    return min(MAX_CELLS, max(2 * SLICE, int(0.6 * n_bytes))) // ROWS // SLICE * SLICE
-
-
-def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    return ((mix(keys ^ U(0x9E3779B97F4A7C15 * (row + 1) % (1 << 64))) >> U(32)) * U(width)) >> U(32)
-
-
-def _packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(cells, prepend=0).astype("<u4")
-    planes = gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype(np.uint8).tobytes()
-    return len(cells).to_bytes(4, "little") + zstandard.compress(planes, 1)
-
-
-def _unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(part[:4], "little")
-    planes = np.frombuffer(zstandard.decompress(part[4:]), dtype=np.uint8)
-    gaps = np.ascontiguousarray(planes[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(gaps, dtype=np.int64), planes[4 * n :]
-
-
-def _parts(keys: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    per_row, slices, parts = width // SLICE, [], []
-    for row in range(ROWS):
-        cells, counts = np.unique(_cells(keys, row, width), return_counts=True)
-        at = np.searchsorted(cells, np.arange(per_row + 1, dtype=np.uint64) * U(SLICE))
-        for k in range(per_row):
-            if at[k] < at[k + 1]:
-                cut = slice(at[k], at[k + 1])
-                slices.append(row * per_row + k)
-                parts.append(_packed(cells[cut].astype(np.int64) - k * SLICE, np.minimum(counts[cut], 255)))
-    yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
-
-
-def repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], width: int) -> bytes:
-    """One bit for each cell, row after row: whether at least two keys of df met there."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(keys_of(batch))
-            n += len(held[-1])
-            if n >= _FLUSH:
-                yield from _parts(np.concatenate(held), width)
-                held, n = [], 0
-        if n:
-            yield from _parts(np.concatenate(held), width)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done():
-            bits = np.packbits(total >= 2).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.compress(bits, 1)], pa.binary())], ["slice", "part"])
-
-        now, total = None, None
-        for batch in batches:
-            for k, part in zip(batch["slice"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                if k != now:
-                    if now is not None:
-                        yield done()
-                    now, total = k, np.zeros(SLICE, dtype=np.uint8)
-                cells, counts = _unpacked(part)
-                total[cells] = np.minimum(total[cells].astype(np.uint16) + counts, 255)
-        if now is not None:
-            yield done()
-
-    slices = ROWS * width // SLICE
-    parts = df.mapInArrow(partial, _PART)
-    merged = parts.repartition(min(slices, 256), "slice").sortWithinPartitions("slice").mapInArrow(merge, _PART)
-    bits = bytearray(slices * SLICE // 8)
-    for k, part in merged.toLocalIterator():
-        bits[k * SLICE // 8 : (k + 1) * SLICE // 8] = zstandard.decompress(bytes(part))
-    return bytes(bits)
-
-
-def may_repeat(keys: np.ndarray, bits: bytes, width: int) -> np.ndarray:
-    """Whether the sketch takes each key to occur twice or more."""
-    packed, out = np.frombuffer(bits, dtype=np.uint8), np.ones(len(keys), dtype=bool)
-    for row in range(ROWS):
-        cell = _cells(keys, row, width) + U(row * width)
-        out &= ((packed[cell >> U(3)] >> (U(7) - (cell & U(7))).astype(np.uint8)) & 1).astype(bool)
-    return out
+#: Cells of each row for a byte of text: about two for each word.
+CELLS = 0.3
+#: Cells of a slice of a row.
+LEAST_CELLS = 1 << 12
+_LOW = U(0xFFFFFFFF)
+
+
+def slice_cells(n_bytes: int, slices: int) -> int:
+    """Cells of a slice of each row for so many bytes of text. A slice follows the size of a chunk, so it stays below 2**32."""
+    return max(LEAST_CELLS, int(CELLS * n_bytes / slices))
+
+
+class Touched:
+    """The cells that a chunk's keys touch, ascending by slice and cell in each row."""
+
+    def __init__(self, keys: np.ndarray, slices: int, width: int):
+        self.rows = []
+        for row in range(ROWS):
+            h = mix(keys ^ U(0x9E3779B97F4A7C15 * (row + 1) % (1 << 64)))
+            place = (((h >> U(32)) * U(slices) >> U(32)) << U(32)) | ((h & _LOW) * U(width) >> U(32))
+            cells, which, counts = np.unique(place, return_inverse=True, return_counts=True)
+            self.rows.append((cells & _LOW, which, counts, {k: (a, b) for k, a, b in runs(cells >> U(32))}))
+
+    def parts(self) -> dict[int, bytes]:
+        """The part of each slice."""
+        out = {}
+        for k in sorted(set().union(*(cuts for *_, cuts in self.rows))):
+            part, sizes = Writer(), []
+            for cells, _, counts, cuts in self.rows:
+                a, b = cuts.get(k, (0, 0))
+                part.steps(cells[a:b], 4).put(np.minimum(counts[a:b], 255), 1)
+                sizes.append(b - a)
+            out[k] = part.done(*sizes)
+        return out
+
+    def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Whether the sketch takes each key to occur twice or more."""
+        out, read = True, {k: np.unpackbits(np.frombuffer(bits, dtype=np.uint8)) for k, bits in answers.items()}
+        before = dict.fromkeys(read, 0)
+        for cells, which, _, cuts in self.rows:
+            flags = np.zeros(len(cells), dtype=bool)
+            for k, (a, b) in cuts.items():
+                flags[a:b] = read[k][before[k] : before[k] + b - a]
+                before[k] += b - a
+            out = out & flags[which]
+        return out
+
+
+def merged(parts: list[bytes], width: int) -> list[bytes]:
+    """Of the parts of a slice, for each the bits of its cells, row after row: whether two keys or more met there."""
+    totals, touched = np.zeros((ROWS, width), dtype=np.uint8), []
+    for part in parts:
+        read = Reader(part, ROWS)
+        cells = []
+        for row, n in enumerate(read.sizes):
+            cells.append(read.steps(n, 4))
+            counts = read.take(n, 1).astype(np.uint16)
+            totals[row, cells[-1]] = np.minimum(totals[row, cells[-1]] + counts, 255)
+        touched.append(cells)
+    return [np.packbits(np.concatenate([totals[row, c] >= 2 for row, c in enumerate(cells)])).tobytes() for cells in touched]
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

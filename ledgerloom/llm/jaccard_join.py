@@ -3,13 +3,16 @@
 1. Copies with equal sets become one class. A count-min sketch finds shingles that no
    other text can have; a text with too many of them has no partner.
 2. The rest learn the frequency of their shingles. Two linked texts share one of their
-   rarest shingles (a prefix of the set in order of frequency), so components over
-   prefix shingles bound where partners can be; large ones are cut into blocks.
+   rarest shingles (a prefix of the set in order of frequency). The texts that have a
+   shingle in their prefix belong to its star, named after the smallest id among them:
+   near copies, which share many shingles, have few stars, and a star holds direct
+   neighbours only. Large stars are cut into blocks.
 3. In a block, a T-occurrence search finds partners: DivideSkip sets the longest
    inverted lists aside, merges the short ones on a heap, and probes the long ones by
-   binary search for those that occur often enough. Every pair of blocks of an area
-   meets once, and every candidate is verified, so that links can be counted. Where
-   components alone are wanted, a link inside a known one adds nothing and isn't sought.
+   binary search for those that occur often enough. Every pair of blocks of a star
+   meets once, and every candidate is verified in the first star that it shares, so
+   that links can be counted. Where components alone are wanted, a link inside a known
+   one adds nothing and isn't sought.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -28,19 +30,18 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm import _exchange, count_min
 from ledgerloom.llm._components import components
-from ledgerloom.llm._shared import small_batches, written
+from ledgerloom.llm._shared import small_batches, trimmed, written
 from ledgerloom.llm.exact_dedup import frequent
 from ledgerloom.llm._words import Hasher, U, Words, inside, mix
 
 SHINGLE = 4
 #: Of a hundred: the least intersection for a union of 100.
 SIMILARITY = 85
-#: Shingles of a block of texts that are searched at once, on average.
+#: Shingles of a block of texts that are searched at once, and texts, on average.
 BLOCK_SHINGLES = 1 << 17
+BLOCK_ROWS = 512
 #: Weight of probing against merging in the choice of how many lists are long.
-MU = 0.0085
-#: With more postings than this the short lists are counted in an array instead of on a heap.
-HEAP_POSTINGS = 256
+MU = 0.001
 _HASHER = Hasher(303)
 
 
@@ -103,15 +104,33 @@ class InvertedLists:
         return self.postings[self.bounds[k] : self.bounds[k + 1]]
 
 
-def merged(lists: list[np.ndarray], below: int, least: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions under ``below`` that occur in at least ``least`` of the lists, and how often."""
-    if total <= HEAP_POSTINGS:
-        found = [(p, sum(1 for _ in same)) for p, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
-        found = [(p, c) for p, c in found if p < below and c >= least]
-        return np.array([p for p, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int64)
-    counts = np.bincount(np.concatenate(lists), minlength=below)[:below]
-    at = np.flatnonzero(counts >= least)
-    return at, counts[at]
+def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that occur in at least ``least`` of the lists, and in how many, by a heap over the lists."""
+    found = [(p, len(list(same))) for p, same in groupby(heapq.merge(*(x.tolist() for x in lists if len(x))))]
+    found = [(p, c) for p, c in found if c >= least]
+    return np.array([p for p, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int64)
+
+
+def divided(index: InvertedLists, x: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts before x that the short ones of its lists hold often enough, how often, and the long lists, the longest last."""
+    own = index.lists[x][np.argsort(index.lengths[index.lists[x]], kind="stable")]
+    skip = min(least - 1, int(least / (MU * math.log2(int(index.lengths[own[-1]]) + 1) + 1)))
+    short = [index[k] for k in own[: len(own) - skip].tolist()]
+    at, counts = merged([row[: np.searchsorted(row, x)] for row in short], least - skip)
+    return at, counts, own[len(own) - skip :]
+
+
+def probed(index: InvertedLists, long: np.ndarray, tried: np.ndarray, seen: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Of the texts tried, seen so often, those that the long lists bring to what they need."""
+    for left, k in zip(range(len(long), 0, -1), long.tolist(), strict=True):
+        able = seen + left >= need
+        if not able.all():
+            tried, seen, need = tried[able], seen[able], need[able]
+        if not len(tried):
+            break
+        row = index[k]
+        seen = seen + (row[np.minimum(np.searchsorted(row, tried), len(row) - 1)] == tried)
+    return tried[seen >= need]
 
 
 def search(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], queries: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
@@ -122,15 +141,11 @@ def search(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], queries:
     """
     index, groups, out = InvertedLists(sets), _Groups(len(ids)), []
     for x in queries.tolist():
-        n, own = int(sizes[x]), index.lists[x]
+        n = int(sizes[x])
         least = -(-per_cent * n // 100)
-        if len(own) < least:
+        if len(index.lists[x]) < least:
             continue
-        own = own[np.argsort(index.lengths[own], kind="stable")]
-        longest = int(index.lengths[own[-1]])
-        skip = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
-        short, long = own[: len(own) - skip], own[len(own) - skip :]
-        at, counts = merged([index[k] for k in short], x, least - skip, int(index.lengths[short].sum()))
+        at, counts, long = divided(index, x, least)
         m = sizes[at]
         fits = (100 * np.minimum(m, n) >= per_cent * np.maximum(m, n)) & (ids[at] != ids[x])
         at, counts = at[fits], counts[fits]
@@ -145,18 +160,7 @@ def search(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], queries:
                 chosen = order[np.flatnonzero(np.append(True, labels[1:] != labels[:-1]))]
             else:
                 chosen = np.arange(len(at))
-            tried, seen = at[chosen], counts[chosen].copy()
-            need = needed(n, sizes[tried], per_cent)
-            for left, k in zip(range(len(long), 0, -1), long, strict=True):
-                able = seen + left >= need
-                if not able.all():
-                    tried, seen, need = tried[able], seen[able], need[able]
-                    if not len(tried):
-                        break
-                if len(row := index[k]):
-                    p = np.minimum(np.searchsorted(row, tried), len(row) - 1)
-                    seen += row[p] == tried
-            for y in tried[seen >= need].tolist():
+            for y in probed(index, long, at[chosen], counts[chosen], needed(n, sizes[at[chosen]], per_cent)).tolist():
                 if groups.label[y] != groups.label[x]:
                     groups.join(x, y)
                     out.append((int(ids[x]), int(ids[y])))
@@ -166,39 +170,34 @@ def search(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], queries:
     return out
 
 
-def count_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per_cent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def count_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, elsewhere: list[list[int]], per_cent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that span the components, and for each text the number of all its links to
     texts before it; between two sides, or on the one that there is.
 
-    sets: without shingles that no other text has.
+    sets: without shingles that no other text has. elsewhere: for each text the stars
+    in which it has met others already; two texts that share one aren't linked again.
     """
     index, groups, out, n_links = InvertedLists(sets), _Groups(len(ids)), [], np.zeros(len(ids), dtype=np.int64)
     across = len(ids) > 0 and bool(side.min() != side.max())
+    stars = {s: k for k, s in enumerate(sorted({s for own in elsewhere for s in own}))}
+    met = np.zeros((len(ids), -(-len(stars) // 8) * 8), dtype=np.uint8)
+    for x, own in enumerate(elsewhere):
+        met[x, [stars[s] for s in own]] = 1
+    met = np.packbits(met, axis=1)
     for x in range(len(ids)):
-        n, own = int(sizes[x]), index.lists[x]
+        n = int(sizes[x])
         least = -(-per_cent * n // 100)
-        if len(own) < least:
+        if len(index.lists[x]) < least:
             continue
-        own = own[np.argsort(index.lengths[own], kind="stable")]
-        skip = min(least - 1, int(least / (MU * math.log2(int(index.lengths[own[-1]]) + 1) + 1)))
-        short, long = own[: len(own) - skip], own[len(own) - skip :]
-        tried, seen = merged([index[k] for k in short], x, least - skip, int(index.lengths[short].sum()))
+        tried, seen, long = divided(index, x, least)
         m = sizes[tried]
         fits = (100 * np.minimum(m, n) >= per_cent * np.maximum(m, n)) & (ids[tried] != ids[x])
         if across:
             fits &= side[tried] != side[x]
-        tried, seen = tried[fits], seen[fits]
-        need = needed(n, sizes[tried], per_cent)
-        for left, k in zip(range(len(long), 0, -1), long, strict=True):
-            able = seen + left >= need
-            if not able.all():
-                tried, seen, need = tried[able], seen[able], need[able]
-            if not len(tried):
-                break
-            row = index[k]
-            p = np.minimum(np.searchsorted(row, tried), len(row) - 1)
-            seen = seen + (row[p] == tried)
-        tried = tried[seen >= need]
+        if len(stars):
+            fits &= ~(met[tried] & met[x]).any(axis=1)
+        tried = tried[fits]
+        tried = probed(index, long, tried, seen[fits], needed(n, sizes[tried], per_cent))
         n_links[x] = len(tried)
         while len(tried := tried[groups.label[tried] != groups.label[x]]):
             groups.join(x, int(tried[0]))
@@ -208,59 +207,63 @@ def count_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side
 
 def _classes(df: DataFrame, n: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
     """id, n, digest of the set, live (its shingles that others may have; null if it can't have a partner)."""
-    spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    width = count_min.cells_for(count_min.text_bytes(df, text_col))
-    bits = count_min.repeated(texts.select("text"), lambda batch: shingle_sets(batch["text"].to_pylist(), n)[0], width)
-    sketch = spark.sparkContext.broadcast(bits)
+    n_bytes = count_min.text_bytes(df, text_col)
+    places = _exchange.chunks_for(n_bytes)
+    width = count_min.slice_cells(n_bytes, places)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("live", T.BinaryType())])
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, bounds = shingle_sets(batch["text"].to_pylist(), n)
-            maybe = count_min.may_repeat(keys, sketch.value, width)
-            digests, live = [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = keys[a:b]
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if b > a else None)
-                kept = own[maybe[a:b]]
-                live.append(kept.tobytes() if b > a and 100 * len(kept) >= per_cent * (b - a) else None)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary()), pa.array(live, pa.binary())], schema.names)
+    def sketch(ids: list, texts: list[bytes], answers: list) -> dict[int, bytes]:
+        return count_min.Touched(shingle_sets(texts, n)[0], places, width).parts()
+
+    def made(ids: list, texts: list[bytes], answers: list[dict[int, bytes]]) -> pa.Table:
+        keys, bounds = shingle_sets(texts, n)
+        maybe = count_min.Touched(keys, places, width).repeated(answers[0])
+        digests, live = [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = keys[a:b]
+            digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if b > a else None)
+            kept = own[maybe[a:b]]
+            live.append(kept.tobytes() if b > a and 100 * len(kept) >= per_cent * (b - a) else None)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary()), pa.array(live, pa.binary())], schema=_exchange.arrow_schema(schema))
 
-    return written(texts.mapInArrow(made, schema), "sets")
+    docs = _exchange.chunked(df, id_col, text_col, places)
+    answers = _exchange.ask(docs, sketch, lambda parts, bucket: count_min.merged(parts, width), places)
+    return written(_exchange.finish(docs, made, schema, [answers]), "sets")
 
 
 def _ranked(classes: DataFrame, per_cent: int) -> DataFrame:
     """rid, n, tokens (rarest first, without those of one class only) and prefix of the classes that can have partners."""
-    own = classes.where("live IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("live").alias("live"))
-    own = written(own.select("rid", "n", "live"), "classes")
-    n_bytes = count_min.text_bytes(own, "live")
-    chunks = buckets = _exchange.chunks_for(n_bytes)
-    docs = own.select(F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int").alias("chunk"), F.struct("rid", "n").alias("id"), F.col("live").alias("text"))
-    docs = docs.select("chunk", F.col("id.rid").alias("id"), F.concat(F.unhex(F.lpad(F.hex("id.n"), 16, "0")), F.col("text")).alias("text"))
+    able = classes.where("live IS NOT NULL AND id IS NOT NULL")
+    places = _exchange.chunks_for(count_min.text_bytes(able, "live"))
+    own = able.groupBy("digest").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("live").alias("live"))
+    sized = F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), F.col("live"))
+    docs = own.select(F.pmod(F.xxhash64("rid", "digest"), F.lit(places)).cast("int").alias("chunk"), F.col("rid").alias("id"), sized.alias("text"))
 
     def parsed(texts: list[bytes]):
         sets = [np.frombuffer(t, dtype=np.uint64, offset=8) for t in texts]
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        return sets, tokens, counts, _exchange.runs(_exchange.buckets_of(tokens, buckets))
+        return sets, tokens, counts, _exchange.runs(_exchange.buckets_of(tokens, places))
 
-    def send(ids: list, texts: list[bytes]) -> dict[int, bytes]:
+    def send(ids: list, texts: list[bytes], answers: list) -> dict[int, bytes]:
         _, tokens, counts, cuts = parsed(texts)
-        return {k: tokens[a:b].tobytes() + counts[a:b].astype("<u4").tobytes() for k, a, b in cuts}
-
-    def answer(blobs: list[bytes]) -> list[bytes]:
-        sizes = [len(b) // 12 for b in blobs]
-        tokens = np.concatenate([np.frombuffer(b, dtype=np.uint64, count=s) for b, s in zip(blobs, sizes, strict=True)])
-        counts = np.concatenate([np.frombuffer(b, dtype="<u4", offset=8 * s) for b, s in zip(blobs, sizes, strict=True)])
-        _, inverse = np.unique(tokens, return_inverse=True)
-        total = np.bincount(inverse, weights=counts)[inverse]
-        return [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]
-
-    def finish(ids: list, texts: list[bytes], answers: dict[int, bytes]) -> pa.Table:
+        return {k: _exchange.Writer().steps(tokens[a:b].view(np.int64), 8).put(counts[a:b], 4).done(b - a) for k, a, b in cuts}
+
+    def answer(blobs: list[bytes], bucket: int) -> list[bytes]:
+        tokens, counts, sizes = [], [], []
+        for blob in blobs:
+            read = _exchange.Reader(blob, 1)
+            sizes += read.sizes
+            tokens.append(read.steps(sizes[-1], 8))
+            counts.append(read.take(sizes[-1], 4))
+        _, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(counts))[inverse]
+        return [_exchange.Writer().put(np.minimum(x, 2**32 - 1).astype(np.int64), 4).done(len(x)) for x in np.split(total, np.cumsum(sizes)[:-1])]
+
+    def done(ids: list, texts: list[bytes], answers: list[dict[int, bytes]]) -> pa.Table:
         sets, tokens, _, cuts = parsed(texts)
         often = np.zeros(len(tokens), dtype=np.int64)
         for k, a, b in cuts:
-            often[a:b] = np.frombuffer(answers[k], dtype="<u4")
+            often[a:b] = _exchange.Reader(answers[0][k], 1).take(b - a, 4)
         rows = []
         for rid, text, own in zip(ids, texts, sets, strict=True):
             n, count = int.from_bytes(text[:8], "big"), often[np.searchsorted(tokens, own)]
@@ -270,10 +273,21 @@ def _ranked(classes: DataFrame, per_cent: int) -> DataFrame:
                 shared = shared[np.lexsort((shared, count[count >= 2]))]
                 rows.append((rid, n, shared.tobytes(), shared[:prefix].view(np.int64).tolist()))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], schema=_exchange._arrow(schema))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], schema=_exchange.arrow_schema(schema))
 
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    return written(_exchange.ask(docs, send, answer, finish, schema), "ranked")
+    return written(_exchange.finish(docs, done, schema, [_exchange.ask(docs, send, answer, places)]), "ranked")
+
+
+def _starred(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rid, n, tokens and stars (ascending) of the texts that share a prefix shingle; star and blocks of each star."""
+    tokens = ranked.select("rid", F.explode("prefix").alias("token"))
+    firsts = tokens.groupBy("token").agg(F.min("rid").alias("star"), F.count("*").alias("c")).where("c > 1")
+    members = written(tokens.join(firsts, "token").select("rid", "star").distinct(), "stars")
+    size = members.join(ranked.select("rid", "n"), "rid").groupBy("star").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    blocks = size.where("rows > 1").select("star", F.ceil(F.greatest(F.col("n") / BLOCK_SHINGLES, F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    stars = members.join(blocks, "star", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_list("star")).alias("stars"))
+    return ranked.drop("prefix").join(stars, "rid"), written(blocks, "blocks")
 
 
 def _links(placed: DataFrame, keys: list[str], per_cent: int) -> DataFrame:
@@ -284,69 +298,66 @@ def _links(placed: DataFrame, keys: list[str], per_cent: int) -> DataFrame:
         sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
         queries = np.flatnonzero([r[0] for r in rows])
         links = search(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), sets, queries, per_cent)
-        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+        return trimmed(pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())}))
 
     return placed.groupBy(*keys).applyInArrow(found, "u long, v long")
 
 
 def _all_links(own: DataFrame, blocks: DataFrame, per_cent: int) -> DataFrame:
-    """u, v: spanning links, n null; and u with the number n of its links, v null. Each two texts of an area meet in one task."""
+    """u, v: spanning links, n null; and u with the number n of its links, v null. Each two texts of a star meet in one task."""
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = own.join(blocks, "area").withColumn("side", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(every))
-    dealt = placed.select("area", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rid", "n", "tokens")
+    placed = own.withColumn("star", F.explode("stars")).join(blocks, "star").withColumn("side", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(every))
+    before = F.filter("stars", lambda s: s < F.col("star")).alias("elsewhere")
+    dealt = placed.select("star", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rid", "n", "tokens", before)
 
     def found(table: pa.Table) -> pa.Table:
-        columns = (table[c].to_pylist() for c in ("n", "rid", "side", "tokens"))
+        columns = (table[c].to_pylist() for c in ("n", "rid", "side", "tokens", "elsewhere"))
         rows = sorted(zip(*columns, strict=True), key=lambda r: r[:2])
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         # A pair of blocks of which one is empty has no links; both sides alike would be counted again.
         if low != high and len({r[2] for r in rows}) < 2:
             rows = []
         ids = np.array([r[1] for r in rows], dtype=np.int64)
-        links, counts = count_links(ids, np.array([r[0] for r in rows], dtype=np.int64), [np.frombuffer(r[3], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows], dtype=np.int64), per_cent)
+        sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+        links, counts = count_links(ids, np.array([r[0] for r in rows], dtype=np.int64), sets, np.array([r[2] for r in rows], dtype=np.int64), [r[4] for r in rows], per_cent)
         some = np.flatnonzero(counts)
-        return pa.table({
+        return trimmed(pa.table({
             "u": pa.array([a for a, _ in links] + ids[some].tolist(), pa.int64()),
             "v": pa.array([b for _, b in links] + [None] * len(some), pa.int64()),
             "n": pa.array([None] * len(links) + counts[some].tolist(), pa.int64()),
-        })
+        }))
 
-    # By all keys, so that the blocks of an area don't meet in one task.
-    keys = ["area", "low", "high"]
+    # By all keys, so that the blocks of a star don't meet in one task.
+    keys = ["star", "low", "high"]
     return written(dealt.repartition(*keys).groupBy(*keys).applyInArrow(found, "u long, v long, n long"), "links")
 
 
 def _spanning_links(ranked: DataFrame, per_cent: int, count: bool = False) -> DataFrame:
     """u, v; with count as _all_links."""
-    tokens = ranked.select("rid", F.explode("prefix").alias("token"))
-    firsts = tokens.groupBy("token").agg(F.min("rid").alias("v"))
-    near = components(tokens.join(firsts, "token").select(F.col("rid").alias("u"), "v").where("u <> v"))
-    labels = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
-    own = written(ranked.drop("prefix").join(labels, ranked["rid"] == labels["id"]).select("rid", "n", "tokens", F.col("component").alias("area")), "areas")
-    blocks = own.groupBy("area").agg(F.ceil(F.sum(F.octet_length("tokens")) / 8 / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    own, blocks = _starred(ranked)
     if count:
         return _all_links(own, blocks, per_cent)
-    placed = own.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = own.withColumn("star", F.explode("stars")).drop("stars").join(blocks, "star").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     part = placed.withColumn("part", F.explode(F.when(F.col("block") == 0, every).otherwise(F.array("block"))))
-    # By both keys, so that the blocks of an area don't meet in one task.
-    dealt = part.withColumn("query", F.col("part") == F.col("block")).repartition("area", "part")
-    links = written(_links(dealt, ["area", "part"], per_cent), "links")
+    # By both keys, so that the blocks of a star don't meet in one task.
+    dealt = part.withColumn("query", F.col("part") == F.col("block")).repartition("star", "part")
+    links = written(_links(dealt, ["star", "part"], per_cent), "links")
     if not blocks.where("blocks > 1").limit(1).count():
         return links
-    # Where an area has several blocks, texts outside its largest component still meet every block.
+    # Where a star has several blocks, texts outside its largest component still meet every block.
     known = components(links)
     known = known.unionByName(known.select(F.col("component").alias("id"), "component").distinct())
     large = placed.where("blocks > 1").join(known, F.col("rid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rid"))
-    sizes = large.groupBy("area", "component").count()
-    most = sizes.groupBy("area").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outside = large.join(most, "area").where("component <> largest").select("area", "blocks", "rid", "n", "tokens", F.pmod(F.xxhash64("rid", F.lit(1)), "blocks").cast("int").alias("asking"))
+    sizes = large.groupBy("star", "component").count()
+    most = sizes.groupBy("star").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    outside = large.join(most, "star").where("component <> largest").select("star", "blocks", "rid", "n", "tokens", F.pmod(F.xxhash64("rid", F.lit(1)), "blocks").cast("int").alias("asking"))
     outside = written(outside, "outside")
-    asking = outside.select("area", "asking").distinct()
+    asking = outside.select("star", "asking").distinct()
     queries = outside.withColumn("block", F.explode(every)).withColumn("query", F.lit(True))
-    index = placed.where("blocks > 1").join(asking, "area").withColumn("query", F.lit(False))
-    same = ["area", "asking", "block", "rid", "n", "tokens", "query"]
-    more = _links(queries.select(*same).unionByName(index.select(*same)).repartition("area", "asking", "block"), ["area", "asking", "block"], per_cent)
+    index = placed.where("blocks > 1").join(asking, "star").withColumn("query", F.lit(False))
+    same = ["star", "asking", "block", "rid", "n", "tokens", "query"]
+    more = _links(queries.select(*same).unionByName(index.select(*same)).repartition("star", "asking", "block"), ["star", "asking", "block"], per_cent)
     return links.unionByName(written(more, "links"))
 
 

@@ -1,10 +1,10 @@
 """Removing passages that a document with a smaller id has too.
 
-Pass 1 merges the partitions' count-min sketches of all windows. Pass 2 groups only
-the windows that the sketch takes for repeated: a chunk of documents sends each such
-window once, with the smallest id it has there, and learns whether any other chunk has
-a smaller one. The sketch only overestimates, so no repeated window is lost; windows
-are told apart by 128-bit fingerprints.
+Pass 1 merges count-min sketches of all windows: a chunk of documents sends its parts to
+the owners of the sketch's slices and learns which of its windows may be repeated. Pass
+2 groups only those: a chunk sends each once, with the smallest id it has there, and
+learns whether any other chunk has a smaller one. The sketch only overestimates, so no
+repeated window is lost; windows are told apart by 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import _exchange, count_min
 from ledgerloom.llm._shared import small_batches
@@ -34,6 +33,46 @@ def _windows(texts: list[bytes], n: int) -> tuple[Words, np.ndarray, np.ndarray]
     return words, h[at], at
 
 
+class _Candidates:
+    """Of a chunk's windows those that may be repeated.
+
+    at, own, key: start, id and number of the key of each; h, h2, least: both
+    fingerprints of each key and the least id it has here, ascending."""
+
+    def __init__(self, ids: list, texts: list[bytes], n: int, touched, bits: dict[int, bytes]):
+        self.words, h, at = _windows(texts, n)
+        some = touched(h).repeated(bits) if len(h) else np.zeros(0, dtype=bool)
+        h, at = h[some], at[some]
+        h2 = _SECOND.windows(self.words.hashed(_SECOND), n)[at] if len(at) else h
+        own = np.array([_NO_ID if i is None else i for i in ids], dtype=np.int64)[self.words.text[at]] if len(at) else np.zeros(0, np.int64)
+        order = np.lexsort((own, h2, h))
+        h, h2, self.own, self.at = h[order], h2[order], own[order], at[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+        self.key, self.h, self.h2, self.least = np.cumsum(new) - 1, h[new], h2[new], self.own[new]
+
+
+def _answer(blobs: list[bytes], bucket: int) -> list[bytes]:
+    """For the keys of each blob, whether another blob has a smaller id for it."""
+    h, h2, least, ends = [], [], [], [0]
+    for blob in blobs:
+        read = _exchange.Reader(blob, 1)
+        n = read.sizes[0]
+        h.append(read.steps(n, 8).view(np.uint64))
+        h2.append(np.frombuffer(read.raw(8 * n), dtype=np.uint64))
+        least.append(read.take(n, 8).view(np.int64))
+        ends.append(ends[-1] + n)
+    h, h2, least = np.concatenate(h), np.concatenate(h2), np.concatenate(least)
+    order = np.lexsort((least, h2, h))
+    new = np.ones(len(h), dtype=bool)
+    a, b = h[order], h2[order]
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = least[order][new][np.cumsum(new) - 1]
+    beaten = np.empty(len(h), dtype=bool)
+    beaten[order] = first < least[order]
+    return [np.packbits(x).tobytes() for x in np.split(beaten, ends[1:-1])]
+
+
 def dedup_substrings(df: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, n_words, n_removed, removed (spans of words, end
     excluded), kept_text (the kept words joined by a space).
@@ -44,51 +83,30 @@ def dedup_substrings(df: DataFrame, n: int = WORDS, id_col: str = "doc_id", text
     against each other. Rows with a null id lose to any other id and to no null one.
     Other columns aren't read.
     """
-    spark = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession)
     n_bytes = count_min.text_bytes(df, text_col)
-    width = count_min.cells_for(n_bytes)
-    bits = count_min.repeated(df.select(F.col(text_col).cast("binary").alias("text")), lambda batch: _windows(batch["text"].to_pylist(), n)[1], width)
-    sketch = spark.sparkContext.broadcast(bits)
-    chunks = buckets = _exchange.chunks_for(n_bytes)
-
-    def candidates(ids: list, texts: list[bytes]):
-        """words, start, key of each window that may be repeated; first word, second word, least id of each key."""
-        words, h, at = _windows(texts, n)
-        some = count_min.may_repeat(h, sketch.value, width)
-        h, at = h[some], at[some]
-        h2 = _SECOND.windows(words.hashed(_SECOND), n)[at] if len(at) else h
-        own = np.array([_NO_ID if i is None else i for i in ids], dtype=np.int64)[words.text[at]] if len(at) else np.zeros(0, np.int64)
-        order = np.lexsort((own, h2, h))
-        h, h2, own, at = h[order], h2[order], own[order], at[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        return words, at, own, np.cumsum(new) - 1, h[new], h2[new], own[new]
-
-    def send(ids: list, texts: list[bytes]) -> dict[int, bytes]:
-        *_, h, h2, least = candidates(ids, texts)
-        return {k: h[a:b].tobytes() + h2[a:b].tobytes() + least[a:b].tobytes() for k, a, b in _exchange.runs(_exchange.buckets_of(h, buckets))}
-
-    def answer(blobs: list[bytes]) -> list[bytes]:
-        parts = [np.frombuffer(b, dtype=np.uint64).reshape(3, -1) for b in blobs]
-        h, h2, least = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        least = least.view(np.int64)
-        order = np.lexsort((least, h2, h))
-        new = np.ones(len(h), dtype=bool)
-        a, b = h[order], h2[order]
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = least[order][new][np.cumsum(new) - 1]
-        beaten = np.empty(len(h), dtype=bool)
-        beaten[order] = first < least[order]
-        ends = np.cumsum([p.shape[1] for p in parts])
-        return [np.packbits(x).tobytes() for x in np.split(beaten, ends[:-1])]
-
-    def finish(ids: list, texts: list[bytes], answers: dict[int, bytes]) -> pa.Table:
-        words, at, own, key, h, _, least = candidates(ids, texts)
-        beaten = np.zeros(len(h), dtype=bool)
-        for k, a, b in _exchange.runs(_exchange.buckets_of(h, buckets)):
-            beaten[a:b] = np.unpackbits(np.frombuffer(answers[k], dtype=np.uint8), count=b - a).astype(bool)
-        gone = at[beaten[key] | (own > least[key])] if len(at) else at
+    places = _exchange.chunks_for(n_bytes)
+    width = count_min.slice_cells(n_bytes, places)
+
+    def touched(h: np.ndarray) -> count_min.Touched:
+        return count_min.Touched(h, places, width)
+
+    def sketch(ids: list, texts: list[bytes], answers: list) -> dict[int, bytes]:
+        return touched(_windows(texts, n)[1]).parts()
+
+    def send(ids: list, texts: list[bytes], answers: list[dict[int, bytes]]) -> dict[int, bytes]:
+        found = _Candidates(ids, texts, n, touched, answers[0])
+        out = {}
+        for k, a, b in _exchange.runs(_exchange.buckets_of(found.h, places)):
+            out[k] = _exchange.Writer().steps(found.h[a:b].view(np.int64), 8).raw(found.h2[a:b].tobytes()).put(found.least[a:b], 8).done(b - a)
+        return out
+
+    def done(ids: list, texts: list[bytes], answers: list[dict[int, bytes]]) -> pa.Table:
+        found = _Candidates(ids, texts, n, touched, answers[0])
+        words, beaten = found.words, np.zeros(len(found.h), dtype=bool)
+        for k, a, b in _exchange.runs(_exchange.buckets_of(found.h, places)):
+            beaten[a:b] = np.unpackbits(np.frombuffer(answers[1][k], dtype=np.uint8), count=b - a).astype(bool)
+        gone = found.at[beaten[found.key] | (found.own > found.least[found.key])] if len(found.at) else found.at
         steps = np.zeros(len(words) + n + 1, dtype=np.int64)
         np.add.at(steps, gone, 1)
         np.add.at(steps, gone + n, -1)
@@ -106,10 +124,12 @@ def dedup_substrings(df: DataFrame, n: int = WORDS, id_col: str = "doc_id", text
             else:
                 spans.append([])
             kept.append(b" ".join(own_words))
-        return pa.table([pa.array(ids, id_type), pa.array(words.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary()).cast(pa.string())], schema=_exchange._arrow(schema))
+        return pa.table([pa.array(ids, id_type), pa.array(words.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary()).cast(pa.string())], schema=_exchange.arrow_schema(schema))
 
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept_text", T.StringType())])
-    types = _exchange._arrow(schema)
+    types = _exchange.arrow_schema(schema)
     id_type, span_type = types.field(0).type, types.field(3).type
-    return _exchange.ask(_exchange.chunked(df, id_col, text_col, chunks), send, answer, finish, schema)
+    docs = _exchange.chunked(df, id_col, text_col, places)
+    repeated = _exchange.ask(docs, sketch, lambda parts, bucket: count_min.merged(parts, width), places)
+    return _exchange.finish(docs, done, schema, [repeated, _exchange.ask(docs, send, _answer, places, [repeated])])

@@ -10,9 +10,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import count_min, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
+from ledgerloom.llm import _exchange, count_min, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
 from ledgerloom.llm._components import components
 from ledgerloom.llm.elias_fano import EliasFano
 
@@ -104,14 +105,34 @@ def test_substring_dedup_matches_brute_force(clashing, rows):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in found)
 
 
-def test_sketch_never_loses_a_repeated_key(spark):
+def test_sketch_never_loses_a_repeated_key():
     rng = np.random.default_rng(3)
-    keys = rng.integers(0, 1 << 63, 5000, dtype=np.int64)
-    df = spark.createDataFrame([(int(k),) for k in [*keys, *keys[:700]]], "k long").repartition(6)
-    width = 2 * count_min.SLICE
-    bits = count_min.repeated(df, lambda b: b["k"].to_numpy().view(np.uint64), width)
-    some = count_min.may_repeat(keys.view(np.uint64), bits, width)
-    assert some[:700].all() and some[700:].mean() < 0.05
+    keys = rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64)
+    chunks = np.array_split(rng.permutation(np.concatenate([keys, keys[:700]])), 6)
+    slices, width = 7, 3000
+    touched = [count_min.Touched(c, slices, width) for c in chunks]
+    answers = [{} for _ in chunks]
+    for k in range(slices):
+        sent = [(c, parts[k]) for c, parts in enumerate(t.parts() for t in touched) if k in parts]
+        for (c, _), bits in zip(sent, count_min.merged([part for _, part in sent], width), strict=True):
+            answers[c][k] = bits
+    maybe = np.concatenate([t.repeated(a) for t, a in zip(touched, answers, strict=True)])
+    again = np.isin(np.concatenate(chunks), keys[:700])
+    assert maybe[again].all() and maybe[~again].mean() < 0.25
+
+
+@pytest.mark.parametrize("places", [1, 5, 64, 200])
+def test_relays_bring_every_blob_to_its_place(spark, monkeypatch, places):
+    """Each chunk asks each bucket; rows stay within FAN_OUT for each place and step."""
+    monkeypatch.setattr(_exchange, "FAN_OUT", 8)
+    monkeypatch.setattr(_exchange, "trimmed", lambda x: x)
+    docs = spark.range(places).selectExpr("CAST(id AS int) AS chunk", "id", "CAST(CAST(id AS string) AS binary) AS text")
+    send = lambda ids, texts, before: {b: b"%d>%d" % (ids[0], b) for b in range(places)}
+    answers = _exchange.ask(docs, send, lambda blobs, bucket: [b"%s=%d" % (x, bucket) for x in blobs], places)
+    steps, base = _exchange.steps_for(places)
+    assert base <= 8 and answers.count() <= places * base and (base - 1) ** steps < places <= base**steps
+    read = lambda ids, texts, found: pa.table({"id": pa.array(ids), "right": pa.array([found[0] == {b: b"%d>%d=%d" % (ids[0], b, b) for b in range(places)}])})
+    assert _exchange.finish(docs, read, "id long, right boolean", [answers]).where("right").count() == places
 
 
 def test_exact_dedup_matches_brute_force(clashing, rows):
