@@ -15,7 +15,7 @@ FAN_OUT rows for each place, so that rows grow in proportion to places and steps
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -29,6 +29,8 @@ from ledgerloom.llm._shared import trimmed
 #: Bytes of text of a chunk, on average, from MIN_CHUNKS chunks on.
 CHUNK_BYTES = 4 << 20
 MIN_CHUNKS = 16
+#: Bytes of rows that a task holds to compress those of a chunk together.
+PACKED_BYTES = 32 << 20
 #: Rows that a place sends in a step, at most.
 FAN_OUT = 1024
 _ROW = "place int, blobs binary"
@@ -40,9 +42,39 @@ def chunks_for(n_bytes: int) -> int:
 
 
 def chunked(df: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
-    """chunk, id, text (binary), row by row."""
+    """chunk, rows: ids and texts of some of its rows, compressed together."""
     spread = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col), F.substring(F.col(text_col), 1, 64)), F.lit(chunks)).cast("int")
-    return df.select(spread.alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return packed(df.select(spread.alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """chunk, rows, from chunk, id, text."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            chunk = table["chunk"].to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            for k, a, b in runs(chunk[order]):
+                own = table.select(["id", "text"]).take(pa.array(order[a:b])).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                    stream.write_table(own)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.nbytes
+            if n > PACKED_BYTES:
+                yield from out()
+                held, n = [], 0
+        if held:
+            yield from out()
+        held.clear()
+        trimmed(None)
+
+    return rows.mapInArrow(parts, "chunk int, rows binary")
 
 
 def steps_for(places: int) -> tuple[int, int]:
@@ -106,7 +138,7 @@ Make = Callable[[list, list[bytes], list[dict[int, bytes]]], dict[int, bytes]]
 def ask(docs: DataFrame, make: Make, answer: Callable[[list[bytes], int], list[bytes]], places: int, before: Sequence[DataFrame] = ()) -> DataFrame:
     """The answers of a round, for ``ask`` and ``finish``.
 
-    docs: chunk, id, text, with chunks from 0 to places - 1, as many as buckets.
+    docs: chunk, rows (``chunked``), with chunks from 0 to places - 1, as many as buckets.
     answer: the blobs of a bucket, and its number, to as many answers. before: answers of earlier rounds.
     """
     steps, base = steps_for(places)
@@ -153,7 +185,8 @@ def _with_answers(docs: DataFrame, make: Callable[[pa.Table, list[dict[int, byte
 
 def _sorted(table: pa.Table) -> tuple[list, list[bytes]]:
     """Ids and texts in an order that doesn't depend on how the rows came."""
-    rows = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1] or b""))
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]]
+    rows = sorted((r for t in parts for r in zip(t["id"].to_pylist(), t["text"].to_pylist(), strict=True)), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1] or b""))
     return [r[0] for r in rows], [r[1] or b"" for r in rows]
 
 

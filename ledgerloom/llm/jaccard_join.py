@@ -237,7 +237,7 @@ def _ranked(classes: DataFrame, per_cent: int) -> DataFrame:
     places = _exchange.chunks_for(count_min.text_bytes(able, "live"))
     own = able.groupBy("digest").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("live").alias("live"))
     sized = F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), F.col("live"))
-    docs = own.select(F.pmod(F.xxhash64("rid", "digest"), F.lit(places)).cast("int").alias("chunk"), F.col("rid").alias("id"), sized.alias("text"))
+    docs = _exchange.packed(own.select(F.pmod(F.xxhash64("rid", "digest"), F.lit(places)).cast("int").alias("chunk"), F.col("rid").alias("id"), sized.alias("text")))
 
     def parsed(texts: list[bytes]):
         sets = [np.frombuffer(t, dtype=np.uint64, offset=8) for t in texts]

@@ -126,7 +126,7 @@ def test_relays_bring_every_blob_to_its_place(spark, monkeypatch, places):
     """Each chunk asks each bucket; rows stay within FAN_OUT for each place and step."""
     monkeypatch.setattr(_exchange, "FAN_OUT", 8)
     monkeypatch.setattr(_exchange, "trimmed", lambda x: x)
-    docs = spark.range(places).selectExpr("CAST(id AS int) AS chunk", "id", "CAST(CAST(id AS string) AS binary) AS text")
+    docs = _exchange.packed(spark.range(places).selectExpr("CAST(id AS int) AS chunk", "id", "CAST(CAST(id AS string) AS binary) AS text"))
     send = lambda ids, texts, before: {b: b"%d>%d" % (ids[0], b) for b in range(places)}
     answers = _exchange.ask(docs, send, lambda blobs, bucket: [b"%s=%d" % (x, bucket) for x in blobs], places)
     steps, base = _exchange.steps_for(places)
