@@ -22,7 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     """Texts and labels of rows that aren't held out, in the order of a hash of the id.
 
     Rows without a label or an id aren't taken; of several labels of an id the largest
-    counts, and of repeated rows any one.
+    counts, and of several texts of an id the one that sorts last.
     """
     own = F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))
     known = labels.where(own).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("__label"))
@@ -39,26 +39,30 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
         return [], np.zeros(0)
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], f"__id {docs.schema[id_col].dataType.simpleString()}")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(ids), "__id").toLocalIterator()
-    found = {i: bytes(t or b"") for i, t in texts}
+    found: dict = {}
+    for i, t in texts:
+        found[i] = max(found.get(i, b""), bytes(t or b""))
     order = [i for i in chosen if i in found]
     return [found[i] for i in order], np.array([chosen[i] for i in order], dtype=float)
 
 
 class Logistic:
-    """Ridge logistic regression on standardised features. With one class or no rows
-    at all the score is the share of label 1, one half without rows."""
+    """Ridge logistic regression on standardised features; balanced: with weights that
+    make both classes count alike. With one class or no rows at all the score is the
+    share of label 1, one half without rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, balanced: bool = False):
         self.constant = None
         if len(y) == 0 or len(set(y)) < 2:
             self.constant = float((np.sum(y) + 0.5) / (len(y) + 1))
             return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+        weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if balanced else np.ones(len(y))
         w, penalty = np.zeros(z.shape[1]), np.diag([ridge] * (z.shape[1] - 1) + [1e-6])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (weight * (y - p)) - penalty @ w)
             size = np.abs(step).max()
             w = w + step * min(1.0, 4.0 / size if size else 1.0)
             if size < 1e-6:

@@ -47,6 +47,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns that df doesn't have in any case of letters."""
+    known, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def trimmed(x: X) -> X:
     """x, after the worker has given memory that is free back to the system: workers
     live on from stage to stage, and so would what their allocators hold."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import written
+from ledgerloom.llm._shared import fresh, written
 
 #: A digest is frequent if it has more than 1 / HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE.
 HEAVY_SHARE = 500
@@ -45,21 +45,26 @@ def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digests = written(df.select(F.col(id_col).alias("id"), F.unhex(text).alias("digest")), "digests")
     winners = F.broadcast(frequent(digests))
     joined = digests.join(winners, "digest", "left")
-    group = Window.partitionBy("digest")
     settled = joined.where(F.col("heavy_size").isNotNull()).select("id", "digest", F.col("heavy_keep").alias("keep_id"), F.col("heavy_size").alias("group_size"))
-    others = joined.where(F.col("heavy_size").isNull()).select("id", "digest", F.min("id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
-    return settled.unionByName(others).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    others = joined.where(F.col("heavy_size").isNull()).select("id", "digest")
+    # Counted before the shuffle; rows meet their group in a join, whose large partitions are split.
+    groups = others.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    found = settled.unionByName(others.join(groups, "digest").select("id", "digest", "keep_id", "group_size"))
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that ``group_copies`` doesn't keep, with df's columns. Of
-    repeated rows that share id and text one stays."""
+    """One row of each group of ``group_copies``, that of the smallest id, with df's
+    columns, whatever their names. Rows without an id come after all others; of rows
+    that share id and text any one stays. An empty table gives none.
 
-    def key(digest: Column) -> Column:
-        return F.concat(digest, F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
-
-    kept = group_copies(df, id_col, text_col).where("kept").select(key(F.unhex("text_sha256")).alias("__key"))
-    marked = df.withColumn("__key", key(F.unhex(F.sha2(normalised(F.col(text_col)), 256))))
-    return marked.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*df.columns)
+    Copies of frequent digests go where they are read; of the others each partition
+    sends the first of a digest only.
+    """
+    digest, keep, size, rank = fresh(df, "digest", "keep", "size", "rank")
+    marked = df.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    winners = frequent(marked.select(F.col(id_col).alias("id"), F.col(digest).alias("digest")))
+    winners = F.broadcast(winners.toDF(digest, keep, size))
+    light = marked.join(winners, digest, "left").where(F.col(size).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
+    first = F.row_number().over(Window.partitionBy(digest).orderBy(F.col(id_col).asc_nulls_last()))
+    return light.withColumn(rank, first).where(F.col(rank) == 1).select(*df.columns)

@@ -12,14 +12,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import written
+from ledgerloom.llm._shared import fresh, written
 
 #: A mean above this is drawn as a sum of independent Poisson numbers of equal means.
 MAX_MEAN = 64.0
-#: exp(-64) * 64**k / k! is below 1e-20 from here on.
+#: exp(-64) * 64**k / k! is below 1e-20 from here on; a sum that rounding keeps below u, under 2**-52 from 1, ends here.
 MAX_COPIES = 192
 #: With more sources the rates are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Partitions that rows with equal keys go to, at most.
+SPREAD = 1024
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -39,37 +41,49 @@ def poisson(mean: Column, u: Column) -> Column:
 
 
 def rates(df: DataFrame, weights: Mapping[str, float] | None, alpha: float, source_col: str, rows: float | None) -> tuple[DataFrame, int]:
-    """__source, __rate (target weight / share of rows, times rows out / rows in) and the number of sources."""
-    counts = written(df.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("n")), "sources")
+    """source, rate (target weight / share of rows, times rows out / rows in) and the number of sources."""
+    counts = written(df.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")), "sources")
     if weights is None:
         weight = F.pow("n", F.lit(alpha))
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        weight = F.coalesce(F.create_map(*pairs)[F.col("__source")] if pairs else F.lit(None), F.lit(0.0))
+        weight = F.coalesce(F.create_map(*pairs)[F.col("source")] if pairs else F.lit(None), F.lit(0.0))
     n, w, sources = counts.agg(F.sum("n"), F.sum(weight), F.count("*")).first()
     scale = (float(n) if rows is None else rows) / w if w else 0.0
-    return counts.select("__source", (weight * scale / F.col("n")).alias("__rate")), sources
+    return counts.select("source", (weight * scale / F.col("n")).alias("rate")), sources
 
 
 def mix_sources(
-    df: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, seed: int = 17, rows: float | None = None, id_col: str = "doc_id", source_col: str = "source"
+    df: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    alpha: float = 0.5,
+    seed: int = 17,
+    rows: float | None = None,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
 ) -> DataFrame:
     """df's rows, each repeated by its Poisson count, in a global random order, with
     copy_no (from 0) and mix_key added, in place of columns so named.
 
     weights: target share of each source (those not named get none); without it the
     shares follow the source's rows to the power alpha. The expected number of rows is
-    ``rows``, or that of df. A null source is a source; a null id draws as an empty
-    one. Repeated rows draw alike. Whole texts are copied, null or empty alike. An
-    empty table gives none.
+    ``rows``, or that of df. A null source is a source. A row draws by its id, one
+    without an id by a hash of its text, or by none if df has no text_col. Repeated rows
+    draw alike. Whole texts are copied, null or empty alike. An empty table gives none.
     """
+    source, rate, copies, spread = fresh(df, "mix_source", "mix_rate", "mix_copies", "mix_spread")
     known, sources = rates(df, weights, alpha, source_col, rows)
-    known = F.broadcast(known) if sources <= BROADCAST_SOURCES else known
-    joined = df.join(known, df[source_col].eqNullSafe(F.col("__source")), "left")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MAX_MEAN).cast("int"))
-    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson(F.col("__rate") / parts, uniform(seed, F.col(id_col), i)))
-    counted = joined.withColumn("__copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).where("__copies > 0")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no"))
-    own = [c for c in df.columns if c not in ("copy_no", "mix_key")]
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select(*own, "copy_no", "mix_key")
+    known = known.toDF(source, rate)
+    joined = df.join(F.broadcast(known) if sources <= BROADCAST_SOURCES else known, df[source_col].eqNullSafe(F.col(source)), "left")
+    text = F.xxhash64(text_col) if text_col in df.columns else F.lit(0)
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), text.cast("string")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / MAX_MEAN).cast("int"))
+    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson(F.col(rate) / parts, uniform(seed, own, i)))
+    counted = joined.withColumn(copies, F.aggregate(draws, F.lit(0), lambda a, b: a + b)).where(F.col(copies) > 0)
+    kept = [c for c in df.columns if c.lower() not in ("copy_no", "mix_key")]
+    copied = counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("copy_no"))
+    keyed = copied.withColumn("mix_key", F.xxhash64(F.lit(seed), own, text, "copy_no"))
+    # Rows that are alike in all these still go to many partitions.
+    dealt = keyed.withColumn(spread, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    return dealt.repartition("mix_key", spread).sortWithinPartitions("mix_key").select(*kept, "copy_no", "mix_key")

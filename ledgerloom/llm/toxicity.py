@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm._labels import FOLDS, SAMPLE_BYTES, SAMPLE_ROWS, Logistic, held_out, sample
-from ledgerloom.llm._shared import small_batches
+from ledgerloom.llm._shared import small_batches, trimmed
 
-#: Terms of the lexicon, at most; the strongest are taken.
-MAX_TERMS = 1000
 #: Least log-likelihood ratio of a term between toxic and other rows.
 LEAST_G2 = 15.0
 #: Least share of toxic rows among those with a term, classes weighed alike.
@@ -124,7 +122,8 @@ def tokens(text: bytes) -> list[str]:
 
 
 def learned_terms(texts: list[bytes], y: np.ndarray) -> list[str]:
-    """Words that mark label 1, by log-likelihood ratio over rows."""
+    """Words that mark label 1, the strongest by log-likelihood ratio over rows first. Their
+    number is bounded by the sample that they are learned from."""
     counts = (Counter(), Counter())
     for text, v in zip(texts, y, strict=True):
         counts[int(v)].update({cleaned(w) for w in set(tokens(text))})
@@ -138,7 +137,7 @@ def learned_terms(texts: list[bytes], y: np.ndarray) -> list[str]:
         g2 = 2 * (a * math.log(a / (n[1] * (a + b) / (n[0] + n[1]))) + (b * math.log(b / (n[0] * (a + b) / (n[0] + n[1]))) if b else 0))
         if g2 >= LEAST_G2:
             found.append((-g2, word))
-    return [w for _, w in sorted(found)[:MAX_TERMS]]
+    return [w for _, w in sorted(found)]
 
 
 class Scanner:
@@ -169,14 +168,15 @@ class Scanner:
                 out.append((k, cleaned(w), known[w], opened and closed))
         return out
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    @staticmethod
+    def features(texts: list[bytes], hits: list[list[tuple[int, str, int, bool]]]) -> np.ndarray:
+        """Of the hits of each text: whether there is an exact one, counts by edits, of quoted ones, in the fullest window, and the density of exact ones."""
         out = np.zeros((len(texts), 7))
-        for k, text in enumerate(texts):
-            hits = self.hits(text)
-            if hits:
-                kinds = Counter((min(e, 2), q) for _, _, e, q in hits)
-                places = np.array([p for p, *_ in hits])
-                crowd = np.searchsorted(places, places + 2 * WINDOW).max() if len(places) == 1 else (np.searchsorted(places, places + 2 * WINDOW) - np.arange(len(places))).max()
+        for k, (text, own) in enumerate(zip(texts, hits, strict=True)):
+            if own:
+                kinds = Counter((min(e, 2), q) for _, _, e, q in own)
+                places = np.array([p for p, *_ in own])
+                crowd = (np.searchsorted(places, places + 2 * WINDOW) - np.arange(len(places))).max()
                 exact = kinds[0, False]
                 out[k] = (exact > 0, np.log1p(exact), np.log1p(kinds[1, False]), np.log1p(kinds[2, False]), np.log1p(sum(n for (_, q), n in kinds.items() if q)), np.log1p(crowd), 1000 * exact / max(200, len(text)))
         return out
@@ -189,7 +189,8 @@ class ToxicityModel:
         half = np.arange(len(y)) % 2 == 0
         self.terms = learned_terms([t for t, own in zip(texts, half, strict=True) if own], y[half])
         rest = [t for t, own in zip(texts, half, strict=True) if not own]
-        self.calibration = Logistic(Scanner(self.terms).features(rest), y[~half])
+        scanner = Scanner(self.terms)
+        self.calibration = Logistic(scanner.features(rest, [scanner.hits(t) for t in rest]), y[~half])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
@@ -212,9 +213,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col:
         scanner = Scanner(shared.value.terms)
         for batch in batches:
             texts = [t or b"" for t in batch["text"].to_pylist()]
-            x = scanner.features(texts)
-            found = [[dict(zip(("place", "term", "edits", "quoted"), h, strict=True)) for h in scanner.hits(t)] if some else [] for t, some in zip(texts, x.any(axis=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(shared.value.calibration(x)), pa.array(found, arrow)], schema.names)
+            hits = [scanner.hits(t) for t in texts]
+            found = [[dict(zip(("place", "term", "edits", "quoted"), h, strict=True)) for h in own] for own in hits]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(shared.value.calibration(scanner.features(texts, hits))), pa.array(found, arrow)], schema.names)
+        trimmed(None)
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(scored, schema)
     return found.select(F.col("__id").alias(id_col), held_out(F.col("__id"), FOLDS).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -77,9 +78,39 @@ def test_packing_is_a_partition_of_the_stream(docs, rows):
             whole.append((-1 if r.doc_id is None else r.doc_id, own))
             own = []
     assert sorted(whole) == want
-    joined = packing.sequences(packing.pack(docs, TOKENIZER, window=64)).collect()
-    assert sorted(s.length for s in joined)[1:] == [64] * (len(joined) - 1)
-    assert b"".join(bytes(s.ids) for s in sorted(joined)) == b"".join(bytes(r.ids) for r in by_place)
+    joined = sorted(packing.sequences(docs, TOKENIZER, window=64).collect())
+    assert [s.sequence_id for s in joined] == list(range(len(joined))) and [s.length for s in joined][:-1] == [64] * (len(joined) - 1)
+    assert b"".join(bytes(s.ids) for s in joined) == b"".join(bytes(r.ids) for r in by_place)
+    assert [(s.sequence_id, p.id, p.offset, p.length) for s in joined for p in s.pieces] == [(r.sequence_id, r.doc_id, r.offset, r.length) for r in by_place]
+    last = max(packing.sequences(docs, TOKENIZER, window=64, pad_id=7).collect())
+    assert np.frombuffer(last.ids, dtype="<u2").tolist() == np.frombuffer(joined[-1].ids, dtype="<u2").tolist() + [7] * (64 - last.length)
+
+
+def test_word_tokenizer_equals_the_plain_one_for_every_code_point():
+    """Alone, before and after a mark, inside a word, after a capital, and after a space.
+    Of what isn't assigned, of ideographs and of Hangul syllables, which are alike, one in 211."""
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER)
+    assert own.by_word
+    alike = lambda k: 0x3400 <= k < 0xA000 or 0xAC00 <= k < 0xD800 or k >= 0x17000 or unicodedata.category(chr(k)) in ("Cn", "Co")
+    points = [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 and (k % 211 == 0 or not alike(k))]
+    for k in range(0, len(points), 40_000):
+        texts = [f"{c} ab{c}, .{c}x H{c} T{c}. {c}" for c in points[k : k + 40_000]]
+        want = plain.encode_batch_fast(texts, add_special_tokens=False)
+        for text, found, w in zip(texts, own.encode([t.encode() for t in texts]), want, strict=True):
+            assert np.frombuffer(found, dtype="<u2").tolist() == w.ids, repr(text)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["two  words.", "", " ñandú\n<|endoftext|> x"]
+    own = packing.WordTokenizer(path)
+    plain = Tokenizer.from_file(path)
+    assert not own.by_word
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in own.encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def kept_words(rows, n=13):
