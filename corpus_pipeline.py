@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: quality, exact copies, near copies, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, further ones included. A null
+text counts as empty in every stage, rows without an id stay unless their text goes, and
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,23 +19,33 @@ SHINGLE, SIMILARITY = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the compression classifier, fitted on the labels beside docs, takes for
+    good. An empty text has the score of no evidence; without labels all rows score one
+    half and stay. Repeated rows stay or go together."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest id of those whose texts differ in white space only; of
+    rows without an id, which come last, and of repeated rows any one."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest id of each group that links of five-word shingles join.
+    Texts without words and rows without an id stay."""
     return jaccard_join.drop_similar(docs, SHINGLE, SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated so that sources come near the square root of their shares, in a
+    global random order; a null source is a source."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 2048 ids; an empty text is its end alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -50,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents, each stage's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
