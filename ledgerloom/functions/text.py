@@ -114,7 +114,7 @@ def title_each(c: Column) -> Column:
 
 def surname_first(c: Column) -> Column:
     """'Given Names SURNAME WORDS' to 'SURNAME WORDS, Given Names'. The surname is the
-    longest run of upper-case words at the end, the last word if there is none."""
+    longest run of upper-case words at the end, the last word, as it is spelt, if there is none."""
     w = words(c)
     is_upper = lambda x: F.upper(x) == x
     letters = lambda x: x.rlike(r"\p{L}")
@@ -122,7 +122,7 @@ def surname_first(c: Column) -> Column:
     n = F.greatest(F.lit(1), tail)
     surname = F.array_join(F.slice(w, F.size(w) - n + 1, n), " ")
     given = title_each(F.array_join(F.slice(w, F.lit(1), F.size(w) - n), " "))
-    return F.when(F.size(w) == 0, "").when(given == "", F.upper(surname)).otherwise(F.concat_ws(", ", F.upper(surname), given))
+    return F.when(F.size(w) == 0, "").when(given == "", surname).otherwise(F.concat_ws(", ", surname, given))
 
 
 def referrals(c: Column) -> Column:
@@ -163,13 +163,14 @@ def without_author_prefix(title: Column, authors: Column) -> Column:
 
 
 def main_authors(title: Column, authors: Column) -> Column:
-    """struct(main, others): where the title says 'Y OTRO(S)', authors named in it are main, else all;
-    the first one if the title names none."""
+    """struct(main, others): where the title says 'Y OTRO(S)' before its first colon, or
+    anywhere without one, authors named there are main, else all; the first one if it names none."""
     before = F.upper(F.get(F.split(title, ":", 2), F.lit(0)))
-    some = F.upper(title).rlike(r"(?U)\bY OTR[OA]S?\b")
-    surname = lambda a: F.upper(F.get(F.split(a, ","), F.lit(0)))
-    named = F.filter(authors, lambda a: F.exists(F.split(before, r",\s*|\s+Y\s+"), lambda p: (strip(p) != "") & contained(strip(p), surname(a))))
-    main = F.when(~some, authors).when(F.size(named) > 0, named).otherwise(F.slice(authors, 1, 1))
+    some = r"(?U)\s*\bY\s+OTR[OA]S?\b"
+    names = F.filter(F.transform(F.split(F.regexp_replace(before, some, ""), r"(?U),\s*|\s+Y\s+"), lambda p: strip(p)), lambda p: p != "")
+    surname = lambda a: F.upper(strip(F.get(F.split(a, ","), F.lit(0))))
+    named = F.filter(authors, lambda a: F.exists(names, lambda p: contained(p, surname(a))))
+    main = F.when(~before.rlike(some), authors).when(F.size(named) > 0, named).otherwise(F.slice(authors, 1, 1))
     return F.struct(main.alias("main"), F.array_except(authors, main).alias("others"))
 
 

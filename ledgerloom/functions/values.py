@@ -48,7 +48,7 @@ def as_date(c: Column) -> Column:
 
 def law_and_date(c: Column) -> Column:
     """struct(number, date) of 'number - dd/mm/yyyy', both null otherwise."""
-    pattern = r"^(\S+)\s*-\s*(\d{2}/\d{2}/\d{4})$"
+    pattern = r"^(\d+)\s*-\s*(\d{2}/\d{2}/\d{4})$"
     return F.struct(found(strip(c), pattern).alias("number"), found(strip(c), pattern, 2).alias("date"))
 
 
@@ -103,9 +103,10 @@ def approved(order_part: Column, outcome_part: Column, mark: str = "AP") -> Colu
     return F.coalesce(F.contains(order_part, F.lit(mark)) & F.contains(outcome_part, F.lit(mark)), F.lit(False))
 
 
-def status_flags(archived: Column, lapsed: Column, law: Column, law_date: Column) -> Column:
-    """archived if it has a date for that or lapsed, enacted if it has a law's number or date."""
-    return F.struct(F.coalesce(archived, lapsed).isNotNull().alias("archived"), lapsed.isNotNull().alias("lapsed"), F.coalesce(law, law_date).isNotNull().alias("enacted"))
+def status_flags(archived: Column, lapsed: Column, law: Column) -> Column:
+    """archived and lapsed, each by its own date, and enacted, by a law's number."""
+    given = lambda c: F.coalesce(c != "", F.lit(False))
+    return F.struct(given(archived).alias("archived"), given(lapsed).alias("lapsed"), given(law).alias("enacted"))
 
 
 def meeting_kind(section: Column, bodies: Column) -> Column:

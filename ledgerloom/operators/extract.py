@@ -45,8 +45,9 @@ def largest_table(html: Column) -> Column:
 
 
 def table_by_summary(html: Column, text: str) -> Column:
-    """The first table whose summary holds a text."""
-    return F.get(F.filter(F.transform(tables(html), lambda x: x["html"]), lambda x: F.contains(F.regexp_extract(x, r"""(?is)^<table\b[^>]*\bsummary\s*=\s*["']([^"']*)""", 1), F.lit(text))), F.lit(0))
+    """The first table whose summary holds a text, whatever its case."""
+    summary = lambda x: F.upper(F.regexp_extract(x, r"""(?is)^<table\b[^>]*\bsummary\s*=\s*["']([^"']*)""", 1))
+    return F.get(F.filter(F.transform(tables(html), lambda x: x["html"]), lambda x: F.contains(summary(x), F.lit(text.upper()))), F.lit(0))
 
 
 def cells(table: Column) -> Column:
@@ -73,12 +74,98 @@ def case_link(href: Column) -> Column:
     return F.struct(part(1).try_cast("int").alias("number"), F.when(F.length(part(2)) == 2, year + 2000).otherwise(year).alias("year"), F.replace(part(3), F.lit("."), F.lit("")).alias("origin"), part(4).alias("kind"), href.alias("url"))
 
 
+def body_rows(table: Column) -> Column:
+    """array<array<string>>: the texts of the td cells of each row that has some."""
+    rows = F.transform(every(table, r"(?is)<tr\b[^>]*>(.*?)</tr>"), lambda r: F.transform(every(r, r"(?is)<td\b[^>]*>(.*?)</td>"), plain_text))
+    return F.filter(rows, lambda r: F.size(r) > 0)
+
+
 def three_state(table: Column, header: str) -> Column:
-    """struct(known, date) of a column by its header: null without table or column, false without a date."""
-    rows = F.transform(cells(table), lambda r: F.transform(r, plain_text))
-    at = column_at(F.get(rows, F.lit(0)), header)
-    date = found(F.coalesce(F.get(F.get(rows, F.lit(1)), at), F.lit("")), r"(\d{2}-\d{2}-\d{4})")
-    return F.struct(F.when(table.isNotNull() & at.isNotNull(), date.isNotNull()).alias("known"), F.translate(date, "-", "/").alias("date"))
+    """struct(known, date) of the first row's cell under the header of that name: null
+    without table, header, row or cell, false without a date in it."""
+    names = F.transform(every(table, r"(?is)<th\b[^>]*>(.*?)</th>"), lambda h: F.upper(plain_text(h)))
+    at = F.array_position(names, F.lit(header.upper()))
+    cell = F.when(at > 0, F.get(F.get(body_rows(table), F.lit(0)), (at - 1).cast("int")))
+    date = found(cell, r"(\d{2}-\d{2}-\d{4})")
+    return F.struct(F.when(cell.isNotNull(), date.isNotNull()).alias("known"), F.translate(date, "-", "/").alias("date"))
+
+
+def bodies_of_page(html: Column) -> Column:
+    """Committees of the table of referrals, in order, without their place in the order."""
+    rows = body_rows(table_by_summary(html, "GIROS DEL EXPEDIENTE"))
+    first = F.transform(rows, lambda r: strip(F.regexp_replace(F.get(r, F.lit(0)), r"(?s)ORDEN DE GIRO:.*$", "")))
+    return F.coalesce(F.filter(first, lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def law_of_page(html: Column) -> Column:
+    """struct(number, date) of the table of the law that a record became; without a number both are null."""
+    text = plain_text(table_by_summary(html, "SANCION DE LEY"))
+    number = found(text, r"NUMERO DE LEY:\s*(\d+)")
+    return F.struct(number.alias("number"), F.when(number.isNotNull(), F.translate(found(text, r"FECHA DE SANCION:\s*(\d{2}-\d{2}-\d{4})"), "-", "/")).alias("date"))
+
+
+def record_page(html: Column) -> Column:
+    """What a record's page says: authors, bodies, entry, archived, archived_on, lapsed,
+    lapsed_on, enacted, law, law_date, announced and announced_on. A lapsed record is
+    archived too. A null page has no authors and bodies, is none of these, and its
+    announcement is unknown."""
+    link = r"""(?is)(<a\b[^>]*href\s*=\s*["'][^"']*/senadores/senador/[^>]*>.*?</a>)"""
+    title = lambda a: strip(F.regexp_extract(a, r"""(?is)^<a\b[^>]*\btitle\s*=\s*["']([^"']*)""", 1))
+    names = F.transform(every(html, link, 1), lambda a: F.when(title(a) != "", title(a)).otherwise(plain_text(a)))
+    day = lambda text, before: F.translate(found(text, before + r"\s*(\d{2}-\d{2}-\d{4})"), "-", "/")
+    entry = lambda text: F.coalesce(found(text, r"D\.A\.E\.\s*(\d+/\d{4})"), found(text, r"(\d+/\d{4})\s*Tipo:"), F.lit(""))
+    # Bound by transforms of one item, parts of the page are worked out once.
+    let = lambda value, body: F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+    from_text = lambda t: F.struct(entry(t).alias("entry"), day(t, r"(?i)ENVIADO AL ARCHIVO\s*:").alias("archived"), day(t, r"(?i)EL EXPEDIENTE CADUCO EL").alias("lapsed"))
+    desk = let(table_by_summary(html, "FECHAS EN MESA DE ENTRADAS"), lambda t: three_state(t, "DADO CUENTA"))
+    parts = F.struct(let(plain_text(html), from_text).alias("t"), law_of_page(html).alias("law"), desk.alias("desk"), names.alias("names"))
+    given = lambda p: F.struct(
+        F.coalesce(F.filter(p["names"], lambda n: n != ""), F.array().cast("array<string>")).alias("authors"),
+        bodies_of_page(html).alias("bodies"),
+        p["t"]["entry"].alias("entry"),
+        (p["t"]["archived"].isNotNull() | p["t"]["lapsed"].isNotNull()).alias("archived"),
+        p["t"]["archived"].alias("archived_on"),
+        p["t"]["lapsed"].isNotNull().alias("lapsed"),
+        p["t"]["lapsed"].alias("lapsed_on"),
+        p["law"]["number"].isNotNull().alias("enacted"),
+        p["law"]["number"].alias("law"),
+        p["law"]["date"].alias("law_date"),
+        p["desk"]["known"].alias("announced"),
+        p["desk"]["date"].alias("announced_on"),
+    )
+    return let(parts, given)
+
+
+def column_map(cells: Column) -> Column:
+    """struct(date, time, body, room): the place of the first cell that names each column and
+    isn't taken by one before it, null without one. A row that has date and time is a header."""
+    up = F.transform(cells, lambda c: F.upper(F.coalesce(c, F.lit(""))))
+    taken: list[Column] = []
+    for pattern in ("FECHA", "HORA", "COMISI", "SAL[ÓO]N"):
+        free = F.transform(up, lambda c, i: c.rlike(pattern) & ~F.coalesce(i.isin(*taken) if taken else F.lit(False), F.lit(False)))  # noqa: B023
+        taken.append((F.nullif(F.array_position(free, True), F.lit(0)) - 1).cast("int"))
+    return F.struct(*(at.alias(name) for at, name in zip(taken, ("date", "time", "body", "room"), strict=True)))
+
+
+def day_cell(c: Column) -> Column:
+    """struct(day, date) of a cell with a weekday and a dd/mm line, empty without them; the last of each counts."""
+    lines = multi_line_cell(F.coalesce(c, F.lit("")))
+    last = lambda p: F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike(p)), F.lit(-1)), F.lit(""))
+    return F.struct(F.upper(last(r"(?iu)^(LUNES|MARTES|MI[EÉ]RCOLES|JUEVES|VIERNES|S[AÁ]BADO|DOMINGO)\b")).alias("day"), last(r"^\d{1,2}/\d{2}$").alias("date"))
+
+
+def body_cell(c: Column) -> Column:
+    """struct(bodies, mode): a line in parentheses is the mode, the last one counts; the others are bodies."""
+    lines = multi_line_cell(F.coalesce(c, F.lit("")))
+    modes = F.filter(lines, lambda x: x.rlike(r"^\(.+\)$"))
+    mode = strip(F.regexp_replace(F.coalesce(F.try_element_at(modes, F.lit(-1)), F.lit("")), r"^\(|\)$", ""))
+    return F.struct(F.filter(lines, lambda x: ~x.rlike(r"^\(.+\)$")).alias("bodies"), mode.alias("mode"))
+
+
+def room_cell(c: Column) -> Column:
+    """struct(room, full): the first line, and all lines."""
+    lines = multi_line_cell(F.coalesce(c, F.lit("")))
+    return F.struct(F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("room"), F.array_join(lines, " ").alias("full"))
 
 
 def case_codes(c: Column) -> Column:
@@ -126,7 +213,8 @@ def free_agenda_items(c: Column) -> Column:
 
 def decree_changes(text: Column) -> Column:
     """array<struct<body, designated, replaced>> of a decree's articles that designate members of a body."""
-    articles = F.split(F.regexp_replace(text, r"(?i)(Art[íi]culo\s+\d+)", "\u0001$1"), "\u0001")
+    marked = F.split(F.regexp_replace(text, r"(?i)(Art[íi]culo\s+\d+)", "\u0001$1"), "\u0001")
+    articles = F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0)))
     wanted = F.filter(articles, lambda a: F.contains(a, F.lit("Comisi")) & a.rlike(r"(?i)Des[íi]gn") & a.rlike(r"(?is)en\s+la\s+Comisi[óo]n\s+de\s+"))
     body = lambda a: squash(F.regexp_extract(a, r"(?is)en\s+la\s+Comisi[óo]n\s+de\s+(.+?)(?:,|\.|$)", 1))
     new = lambda a: F.regexp_extract(a, r"(?is)Des[íi]gn[ae]?s?e?\s+(.*?)en\s+la\s+Comisi[óo]n", 1)

@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import roster_key, surname_first
-from ledgerloom.functions.values import meeting_kind
+from ledgerloom.functions.values import leading_int, meeting_kind
 from ledgerloom.operators import extract, lookup, merge, ordered
 
 
 def incremental_records(known: DataFrame, found: DataFrame, details: DataFrame, keys: list[str], order: list[str], columns: list[str], as_of) -> DataFrame:
     """known with the details of open records latched, and new records added.
 
-    found: listed records; details: what their pages say, by key. New ones are
-    stamped with as_of as reviewed.
+    found: listed records; details: what their pages say, by key. Records that have
+    details are stamped with as_of as reviewed, changed or not; so are new ones.
     """
-    reviewed = merge.upsert_latch(known, details, keys, columns).withColumn("reviewed", F.when(F.col("changed"), as_of).otherwise(F.col("reviewed"))).drop("changed")
+    seen = details.select(*keys, F.lit(True).alias("__seen")).distinct()
+    latched = merge.upsert_latch(known, details, keys, columns).drop("changed").join(seen, keys, "left")
+    reviewed = latched.withColumn("reviewed", F.when(F.col("__seen"), as_of).otherwise(F.col("reviewed"))).drop("__seen")
     new = merge.first_wins(merge.only_new(found, known, keys), keys, order).join(details, keys, "left").withColumn("reviewed", as_of)
     return reviewed.unionByName(new, allowMissingColumns=True)
 
@@ -43,14 +45,28 @@ def agenda_log(rows: DataFrame, by: str, order: str, cells: str) -> DataFrame:
     return joined.withColumn("agenda", extract.agenda_items(agenda)).withColumn("kind", meeting_kind(F.col("section"), F.col("meeting")))
 
 
+def session_header(cells: Column) -> Column:
+    """The section that a row of a session's bulletin begins, null for rows that begin none."""
+    first = F.upper(F.get(cells, F.lit(0)))
+    acuerdos = F.array(*map(F.lit, ("OD", "ACUERDOS CONSIDERADOS", "RESULTADO", "OBSERVACIONES")))
+    return F.when(cells == acuerdos, "acuerdo").when(first.startswith("MOCIONES DE PREFERENCIA"), "preferencia").when(first == "PROYECTOS DE LEY", "ley").when(first.startswith("PROYECTOS DE DECRETO"), "decreto_res_com_dec")
+
+
 def outcomes(rows: DataFrame, header, ignored) -> DataFrame:
     """Outcome items of landed session rows (bulletin, page, tbl, row, cells): sections
-    carried over pages and tables, an item for each case code. Under 'preferencia' only
-    approved ones count."""
-    carried = ordered.carry_section(rows, ["bulletin"], ["page", "tbl", "row"], header, ignored).where("section IS NOT NULL")
-    result = F.get(F.col("cells"), F.lit(2))
-    kept = carried.where((F.size("cells") >= 3) & ((F.col("section") != "preferencia") | (F.upper(F.btrim(result)) == "APROBADA")))
-    return extract.explode_codes(kept.withColumn("text", F.array_join("cells", " ")), "text").withColumn("result", result)
+    carried over pages and tables, an item for each case code of the title cell, with
+    order_number, result and observations.
+
+    Rows are (order, title, result, observations), under 'preferencia' (title, result,
+    observations), where only approved ones count and have no order. Shorter rows don't
+    count. An order of S/T has no number.
+    """
+    carried = ordered.carry_section(rows, ["bulletin"], ["page", "tbl", "row"], header, ignored).where(F.col("section").isNotNull() & header.isNull())
+    motion = F.col("section") == "preferencia"
+    cell = lambda k: F.get(F.col("cells"), F.when(motion, k - 1).otherwise(k))
+    kept = carried.where((F.size("cells") >= F.when(motion, 3).otherwise(4)) & (~motion | (F.upper(F.btrim(cell(2))) == "APROBADA")))
+    number = F.when(~motion, leading_int(F.get(F.col("cells"), F.lit(0))))
+    return extract.explode_codes(kept.withColumns({"text": cell(1), "order_number": number, "result": cell(2), "observations": cell(3)}), "text")
 
 
 def designations(decrees: DataFrame) -> DataFrame:

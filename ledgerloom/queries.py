@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, lookup, merge, ordered
-from ledgerloom.plans import flows
+from ledgerloom.plans import flows, workbook
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -325,15 +325,15 @@ def _(part):
     return part.select("p_partkey", text.sentence_case(F.concat(F.col("p_type"), F.lit(". de "), F.col("p_name"), F.lit(" para "), F.col("p_brand"))).alias("t"))
 
 
-_NAMES = ["Enrique Martín GOERLING LARA", "Mariana JURI", "Ana MARÍA Lopez", "LEDESMA ABDALA de ZAMORA", "SOLO"]
-
-
 @query("n12_surname_suffix", """
-    SELECT * FROM (VALUES ('Enrique Martín GOERLING LARA', 'GOERLING LARA, Enrique Martín'), ('Mariana JURI', 'JURI, Mariana'), ('Ana MARÍA Lopez', 'LOPEZ, Ana María'),
-    ('LEDESMA ABDALA de ZAMORA', 'ZAMORA, Ledesma Abdala De'), ('SOLO', 'SOLO')) t(name, formatted)""", "region")
-def _(region):
-    names = region.sparkSession.createDataFrame([(n,) for n in _NAMES], "name string")
-    return names.select("name", text.surname_first(F.col("name")).alias("formatted"))
+    WITH w AS (SELECT p_partkey, [upper(p_name[1]) || lower(p_name[2:])] AS given, CASE p_partkey % 4 WHEN 0 THEN [upper(p_type)] WHEN 1 THEN ['GOERLING', 'LARA'] WHEN 2 THEN ['de', 'ZAMORA'] ELSE ['Lopez'] END AS rest
+              FROM (SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z].*', '') AS p_name, regexp_replace(p_type, '[^A-Za-z].*', '') AS p_type FROM part))
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 'ZAMORA, ' || given[1] || ' De' ELSE array_to_string(rest, ' ') || ', ' || given[1] END AS formatted FROM w""", "part")
+def _(part):
+    k, word = F.col("p_partkey"), lambda c: F.regexp_replace(c, "[^A-Za-z].*", "")
+    rest = F.when(k % 4 == 0, F.upper(word("p_type"))).when(k % 4 == 1, "GOERLING LARA").when(k % 4 == 2, "de ZAMORA").otherwise("Lopez")
+    given = F.concat(F.lower(F.substring(word("p_name"), 1, 1)), F.lower(F.substring(word("p_name"), F.lit(2), F.length("p_name"))))
+    return part.select("p_partkey", text.surname_first(F.concat_ws(" ", given, rest)).alias("formatted"))
 
 
 @query("n13_referrals", """
@@ -381,7 +381,8 @@ def _(orders):
     o_orderkey::INT AS number, 2026 AS year, CASE WHEN o_orderkey % 3 = 0 THEN 'ANEXO' ELSE 'NORMAL' END AS kind FROM orders""", "orders")
 def _(orders):
     k = F.col("o_orderkey").cast("string")
-    cell = F.when(F.col("o_orderkey") % 2 == 0, F.concat(k, F.lit(" - "), F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise(" - ")
+    n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    cell = F.when(n % 2 == 0, F.concat(k, F.lit(" - "), day)).when(n % 3 == 0, F.concat(F.lit("ABC - "), day)).when(n % 5 == 0, day).otherwise(" - ")
     number = F.concat(k, F.when(F.col("o_orderkey") % 3 == 0, "/26 (A)").otherwise("/2026 (N)"))
     found = orders.select("o_orderkey", values.law_and_date(cell).alias("l"), values.order_number(number).alias("n"))
     return found.select("o_orderkey", F.col("l.number").alias("law"), F.col("l.date").alias("law_date"), "n.number", "n.year", "n.kind")
@@ -457,19 +458,22 @@ def _(events):
 
 
 @query("c11_main_authors", """
-    SELECT c_custkey, upper(c_name) || ', A' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '|ZZZ, B' END AS main, CASE WHEN c_custkey % 2 = 0 THEN 'ZZZ, B' ELSE '' END AS others FROM customer""", "customer")
+    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'UNO, A|ZZZ, B' WHEN 1 THEN 'ZZZ, B' WHEN 2 THEN 'UNO, A' ELSE 'UNO, A|ZZZ, B' END AS main,
+    CASE c_custkey % 4 WHEN 1 THEN 'UNO, A' WHEN 2 THEN 'ZZZ, B' ELSE '' END AS others FROM customer""", "customer")
 def _(customer):
-    author = F.concat(F.upper("c_name"), F.lit(", A"))
-    title = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, " y otros: de ley").otherwise(": de ley"))
-    return customer.select("c_custkey", text.main_authors(title, F.array(author, F.lit("ZZZ, B"))).alias("a")).select("c_custkey", joined(F.col("a.main")).alias("main"), joined(F.col("a.others")).alias("others"))
+    """No mark; a mark after a name; a mark without a name; a mark after the colon."""
+    k = F.col("c_custkey")
+    title = F.when(k % 4 == 0, "ZZZ: ley").when(k % 4 == 1, "Zzz y otros: ley").when(k % 4 == 2, "Y OTRAS: ley").otherwise(F.concat(F.lit("ZZZ: ley y otros de "), "c_name"))
+    both = F.array(F.lit("UNO, A"), F.lit("ZZZ, B"))
+    return customer.select("c_custkey", text.main_authors(title, both).alias("a")).select("c_custkey", joined(F.col("a.main")).alias("main"), joined(F.col("a.others")).alias("others"))
 
 
 @query("c12_flags", """
-    SELECT o_orderkey, o_orderstatus = 'F' OR o_orderkey % 5 = 0 AS archived, o_orderkey % 5 = 0 AS lapsed, o_orderstatus = 'P' AS enacted,
+    SELECT o_orderkey, o_orderstatus = 'F' AS archived, o_orderkey % 5 = 0 AS lapsed, o_orderstatus = 'P' AND o_orderkey % 7 > 0 AS enacted,
     o_orderstatus = 'O' AND o_orderkey % 2 = 0 AS approved, CASE WHEN o_orderkey % 3 = 0 THEN 'bicameral' ELSE 'senadores' END AS kind FROM orders""", "orders")
 def _(orders):
     k, st, day = F.col("o_orderkey"), F.col("o_orderstatus"), F.date_format("o_orderdate", "dd/MM/yyyy")
-    flags = values.status_flags(F.when(st == "F", day), F.when(k % 5 == 0, day), F.when(st == "P", k.cast("string")), F.lit(None).cast("string"))
+    flags = values.status_flags(F.when(st == "F", day), F.when(k % 5 == 0, day), F.when(st == "P", F.when(k % 7 == 0, "").otherwise(k.cast("string"))))
     passed = values.approved(F.when(st == "O", "AP/26").otherwise("no"), F.when(k % 2 == 0, "AP"))
     bodies = F.array(F.lit("Salud"), F.when(k % 3 == 0, "Bicameral de X").otherwise("Y"))
     return orders.select("o_orderkey", flags.alias("f"), passed.alias("approved"), values.meeting_kind(F.lit("senadores"), bodies).alias("kind")).select("o_orderkey", "f.*", "approved", "kind")
@@ -523,21 +527,147 @@ def _(orders):
 @query("x4_table_by_summary", "SELECT p_partkey, p_brand || '|' || p_name AS cells FROM part WHERE p_partkey % 2 = 0", "part")
 def _(part):
     row = F.concat(F.lit("<tr><td>"), F.col("p_brand"), F.lit("</td><td><a href='x'>"), F.col("p_name"), F.lit("</a></td></tr>"))
-    summary = F.when(F.col("p_partkey") % 2 == 0, "Giros del").otherwise("Fechas del")
+    summary = F.when(F.col("p_partkey") % 4 == 0, "Giros del").when(F.col("p_partkey") % 2 == 0, "GIROS DEL").otherwise("Fechas del")
     page = F.concat(F.lit("<table summary='otra'><tr><td>a</td><td>b</td></tr></table><table border='1' summary='"), summary, F.lit(" expediente'>"), row, F.lit("</table>"))
     found = extract.table_rows(part.select("p_partkey", page.alias("html")), "p_partkey", extract.table_by_summary(F.col("html"), "Giros"), 2)
     return found.select("p_partkey", joined(F.col("cells")).alias("cells"))
 
 
 @query("x7_three_state", """
-    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS known, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS day FROM orders""", "orders")
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS known, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS day FROM orders""", "orders")
 def _(orders):
+    """A date; none; a longer header; no row; a row without the cell."""
     k = F.col("o_orderkey")
-    header = F.when(k % 3 == 2, "Otra").otherwise("Fecha Dado Cuenta")
-    page = F.concat(F.lit("<table><tr><th>Nro</th><th>"), header, F.lit("</th></tr><tr><td>1</td><td>"), F.when(k % 3 == 1, "-").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy")), F.lit("</td></tr></table>"))
+    header = F.when(k % 5 == 2, "Fecha Dado Cuenta").otherwise("Dado Cuenta")
+    cell = F.when(k % 5 == 1, "SIN FECHA").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy"))
+    body = F.when(k % 5 == 3, "").when(k % 5 == 4, "<tr><td>1</td></tr>").otherwise(F.concat(F.lit("<tr><td>1</td><td>"), cell, F.lit("</td></tr>")))
+    page = F.concat(F.lit("<table><thead><tr><th>Nro</th><th>"), header, F.lit("</th></tr></thead><tbody>"), body, F.lit("</tbody></table>"))
     return orders.select("o_orderkey", extract.three_state(page, "DADO CUENTA").alias("s")).select("o_orderkey", "s.known", F.col("s.date").alias("day"))
 
 
+@query("x8_record_page", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'PAZ, Ana|' || o_orderpriority ELSE '' END AS authors, CASE WHEN o_orderkey % 3 = 0 THEN 'DE SALUD|DE ' || o_orderstatus ELSE '' END AS bodies,
+    CASE o_orderkey % 3 WHEN 0 THEN o_orderkey || '/2026' WHEN 1 THEN '7/2025' ELSE '' END AS entry,
+    o_orderkey % 4 IN (0, 1) AS archived, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS archived_on, o_orderkey % 4 = 1 AS lapsed, CASE WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%d/%m/%Y') END AS lapsed_on,
+    o_orderkey % 5 < 2 AS enacted, CASE WHEN o_orderkey % 5 < 2 THEN o_custkey::VARCHAR END AS law, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS law_date,
+    CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS announced, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS announced_on FROM orders""", "orders")
+def _(orders):
+    """Pages with and without each part; a law with a date, without one, and a date without a law."""
+    k, day, cust = F.col("o_orderkey"), F.date_format("o_orderdate", "dd-MM-yyyy"), F.col("o_custkey").cast("string")
+    row = lambda *c: F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *c), F.lit("</td></tr>"))
+    table = lambda summary, head, *rows: F.concat(F.lit(f"<table summary='{summary}'><thead><tr>{head}</tr></thead><tbody>"), *rows, F.lit("</tbody></table>"))
+    people = F.concat(F.lit("<a href='/senadores/senador/1' title=' PAZ, Ana '>x</a><a href='/senadores/senador/2'><b>"), F.col("o_orderpriority"), F.lit("</b></a><a href='/otro'>no</a>"))
+    bodies = table("Giros del Expediente a Comisiones", "<th>Giro</th>", row(F.lit("DE SALUD ORDEN DE GIRO: 1"), day), row(F.concat(F.lit("DE "), "o_orderstatus", F.lit(" ORDEN DE GIRO: 2"))), row(F.lit("ORDEN DE GIRO: 3")))
+    desk = table("Fechas en Mesa de Entradas", "<th>Mesa</th><th>Dado Cuenta</th>", row(day, F.when(k % 3 == 0, day).otherwise("SIN FECHA")))
+    law = table("Sancion de Ley", "", F.when(k % 5 != 1, row(F.concat(F.lit("FECHA DE SANCION: "), day))).otherwise(""), F.when(k % 5 < 2, row(F.concat(F.lit("NUMERO DE LEY: "), cust))).otherwise(""))
+    page = F.concat(
+        F.when(k % 2 == 0, people).otherwise(""), F.when(k % 3 == 0, bodies).otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("<p>D.A.E. "), k.cast("string"), F.lit("/2026</p>"))).when(k % 3 == 1, "<p>7/2025 Tipo: NORMAL</p>").otherwise(""),
+        F.when(k % 4 == 0, F.concat(F.lit("<p>Enviado al archivo : "), day)).when(k % 4 == 1, F.concat(F.lit("<p>EL EXPEDIENTE CADUCO EL "), day)).otherwise(""), F.when(k % 3 < 2, desk).otherwise(""), F.when(k % 5 < 3, law).otherwise(""),
+    )
+    found = orders.select("o_orderkey", extract.record_page(page).alias("p")).select("o_orderkey", "p.*")
+    return found.withColumns({"authors": joined(F.col("authors")), "bodies": joined(F.col("bodies"))})
+
+
+@query("x10_header_and_cells", """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '0,1,2,3' WHEN 1 THEN '1,2,0,' ELSE ',0,,1' END AS places, o_orderkey % 3 < 2 AS is_header, CASE WHEN o_orderkey % 2 = 0 THEN 'MARTES' ELSE '' END AS day,
+    CASE WHEN o_orderkey % 4 < 2 THEN strftime(o_orderdate, '%d/%m') ELSE '' END AS date, 'SALUD|' || o_orderstatus AS bodies, CASE WHEN o_orderkey % 2 = 0 THEN 'Mixta' ELSE '' END AS mode, 'Azul' AS room, 'Azul Piso ' || o_orderkey AS full FROM orders""", "orders")
+def _(orders):
+    k = F.col("o_orderkey")
+    a = lambda *x: F.array(*(F.lit(v) for v in x))
+    header = F.when(k % 3 == 0, a("FECHA", "Hora", "COMISIÓN Y FECHA DE", "Salón")).when(k % 3 == 1, a("Comisión", "Fecha", "fecha y hora", "HORA")).otherwise(a("HORA", "SALON", None, ""))
+    at = extract.column_map(header)
+    date = F.concat(F.lit(" "), F.when(k % 2 == 0, "Martes\n").otherwise(""), F.when(k % 4 < 2, F.date_format("o_orderdate", "dd/MM")).otherwise("mañana"))
+    bodies = F.concat(F.lit("SALUD\n\n"), F.col("o_orderstatus"), F.when(k % 2 == 0, "\n( Mixta )").otherwise(""))
+    cells = orders.select("o_orderkey", at.alias("m"), extract.day_cell(date).alias("d"), extract.body_cell(bodies).alias("b"), extract.room_cell(F.concat(F.lit("Azul\n Piso  "), k.cast("string"))).alias("r"))
+    places = F.concat_ws(",", *(F.coalesce(F.col(f"m.{n}").cast("string"), F.lit("")) for n in ("date", "time", "body", "room")))
+    return cells.select("o_orderkey", places.alias("places"), (F.col("m.date").isNotNull() & F.col("m.time").isNotNull()).alias("is_header"), "d.day", "d.date", joined(F.col("b.bodies")).alias("bodies"), "b.mode", "r.room", "r.full")
+
+
+@query("x19_workbook_records", """
+    SELECT o_orderkey, o_orderkey::INT AS number, 2026 AS year, CASE o_orderkey % 3 WHEN 0 THEN 'AC' ELSE 'PL' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'Agreement' ELSE 'Bill' END AS kind_label,
+    'ley ' || o_orderpriority AS extract, CASE o_orderkey % 2 WHEN 0 THEN 'PAZ, ANA' ELSE 'PAZ, ANA|ROJO, LUIS' END AS authors, CASE o_orderkey % 2 WHEN 0 THEN 'ROJO, LUIS' ELSE '' END AS coauthors, 'SALUD|' || o_orderstatus AS bodies,
+    CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE '' END AS date, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_custkey || '/2026' END AS entry, 'S' AS origin, 'u/' || o_orderkey AS url,
+    o_orderkey % 4 = 0 AS enacted, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey::VARCHAR END AS law, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS law_date,
+    o_orderkey % 4 IN (1, 2) AS archived, CASE o_orderkey % 4 WHEN 1 THEN '01/02/2026' WHEN 2 THEN '03/04/2026' END AS archived_on, o_orderkey % 4 = 3 AS lapsed, CASE o_orderkey % 4 WHEN 3 THEN '05/06/2026' END AS lapsed_on
+    FROM orders WHERE o_orderkey % 3 < 2""", "orders")
+def _(orders):
+    """Agreements, bills and an unknown kind; archived by either column, lapsed, enacted or with a date alone."""
+    return workbook.records(orders.select("o_orderkey", _workbook_row().alias("cells")), "cells", {"AC": "Agreement", "PL": "Bill"}).withColumns({c: joined(F.col(c)) for c in ("authors", "coauthors", "bodies")})
+
+
+def _workbook_row():
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    number, cust = k.cast("string"), F.col("o_custkey").cast("string")
+    own = {
+        0: F.lit(" S "), 1: F.concat(F.lit('=HYPERLINK("n","'), number, F.lit('")')), 2: F.concat(F.lit('=HYPERLINK("u/'), number, F.lit('","2026")')), 3: F.when(k % 3 == 0, "AC").when(k % 3 == 1, "PL").otherwise("??"),
+        4: F.concat(F.when(k % 2 == 0, "Paz y otros: ley ").otherwise("ley "), "o_orderpriority"), 5: F.when(k % 5 == 0, F.lit(None)).when(k % 2 == 0, F.concat(cust, F.lit(" "), day, F.lit(" -"))).otherwise(F.concat(cust, F.lit(" -"))),
+        6: F.when(k % 4 == 3, "05/06/2026"), 7: F.when(k % 4 == 2, " 03/04/2026").when(k % 4 == 1, "09/09/2026"), 8: F.when(k % 2 == 0, F.concat(day, F.lit(" -"))).otherwise("pronto -"), 13: F.lit("Paz, Ana - ROJO, Luis - "),
+        15: F.lit(" SALUD"), 19: F.lit(" "), 31: F.col("o_orderstatus"), 34: F.when(k % 6 == 0, F.concat(F.lit('=HYPERLINK("o","'), number, F.lit(' 26 AP -")'))).when(k % 6 == 3, F.concat(number, F.lit(" 26 PE"))),
+        35: F.when(k % 4 == 0, F.concat(F.lit("AP "), day)).otherwise("AP"), 36: F.when(k % 4 == 0, F.concat(cust, F.lit(" - "), day)).when(k % 4 == 1, F.concat(F.lit("S/N - "), day)).otherwise(" - "), 38: F.when(k % 4 == 1, "01/02/2026"),
+    }
+    return F.array(*(own.get(at, F.lit(None)).cast("string") for at in range(39)))
+
+
+@query("x20_workbook_agreements", """
+    SELECT o_orderkey, o_orderkey::INT AS number, 2026 AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'Paz y otros: ley ' ELSE 'ley ' END || o_orderpriority AS title, 'S' AS origin, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey::INT END AS entry,
+    o_orderkey % 2 = 0 AND o_orderkey % 5 > 0 AS announced, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS announced_on,
+    o_orderkey % 6 = 0 AS approved, CASE WHEN o_orderkey % 12 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS approved_on, o_orderkey::INT AS "order" FROM orders WHERE o_orderkey % 3 = 0""", "orders")
+def _(orders):
+    return workbook.agreements(orders.select("o_orderkey", _workbook_row().alias("cells")), "cells")
+
+
+@query("x14_session_outcomes", """
+    WITH l AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS row, l_partkey FROM lineitem),
+    m AS (SELECT *, CASE l_partkey % 7 WHEN 0 THEN 'preferencia' WHEN 1 THEN 'ley' WHEN 2 THEN '-' END AS mark FROM l),
+    s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY row ROWS UNBOUNDED PRECEDING) AS section FROM m)
+    SELECT l_orderkey, row, section, unnest(['S-' || l_partkey || '/26', 'PE-' || row || '/25']) AS code, CASE WHEN section = 'ley' AND l_partkey % 2 = 0 THEN l_partkey::INT END AS order_number,
+           CASE l_partkey % 7 WHEN 6 THEN 'RECHAZADA' ELSE ' Aprobada' END AS result, 'APROBADA' AS observations
+    FROM s WHERE mark IS NULL AND section <> '-' AND l_partkey % 7 <> 3 AND (section <> 'preferencia' OR l_partkey % 7 <> 6)""", "lineitem")
+def _(lineitem):
+    """Headers, ignored headers, rows that are too short and, under motions, rejected ones."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    kind, part = F.col("l_partkey") % 7, F.col("l_partkey").cast("string")
+    rows = lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("row"))
+    mark = F.when(kind == 0, "preferencia").when(kind == 1, "ley").when(kind == 2, "-")
+    section = F.last(mark, ignorenulls=True).over(Window.partitionBy("l_orderkey").orderBy("row"))
+    title = F.concat(F.lit("Exp. S-"), part, F.lit("/26 y P.E-"), F.col("row").cast("string"), F.lit("/25"))
+    own = F.array(title, F.when(kind == 6, "RECHAZADA").otherwise(" Aprobada"), F.when(kind == 3, F.lit(None)).otherwise("APROBADA"))
+    whole = F.when(section == "preferencia", own).otherwise(F.concat(F.array(F.when(F.col("l_partkey") % 2 == 0, part).otherwise(" s/t")), own))
+    cells = F.when(kind == 0, F.array(F.lit("MOCIONES DE PREFERENCIA DE"))).when(kind == 1, F.array(F.lit("Proyectos de ley"))).when(kind == 2, F.array(F.lit("Cambio de giro"))).otherwise(F.filter(whole, lambda c: c.isNotNull()))
+    landed = rows.select(F.col("l_orderkey").alias("bulletin"), F.lit(0).alias("page"), F.lit(0).alias("tbl"), "row", cells.alias("cells"))
+    first = F.upper(F.get(F.col("cells"), F.lit(0)))
+    found = flows.outcomes(landed, flows.session_header(F.col("cells")), first.startswith("CAMBIO DE GIRO"))
+    return found.select(F.col("bulletin").alias("l_orderkey"), "row", "section", "code", "order_number", "result", "observations")
+
+
+_LINES = {0: "🗓 MARTES 3 DE MARZO 🕑 10:30 H 📍 SALÓN AZUL", 1: "AGENDA DE ASESORES", 2: "NO HAY REUNIONES", 3: "SALUD", 4: "EXPOSITORES: x", 5: "📋 TEMARIO", 6: "texto S-1/26.", 7: "*SE ACTUALIZARÁ", 8: "UNA ESPECIAL | OTRA"}
+
+
+@query("w4_free_text_meetings", """
+    WITH l AS (SELECT l_orderkey AS b, row_number() OVER w AS o, l_partkey % 9 AS k, lead(l_partkey % 9) OVER w AS k1, lead(l_partkey % 9, 2) OVER w AS k2
+               FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    n AS (SELECT *, CASE k WHEN 0 THEN 'd' WHEN 1 THEN 's' WHEN 2 THEN 'n' WHEN 3 THEN 'm' WHEN 4 THEN 'p' WHEN 5 THEN 'x' WHEN 6 THEN 't' WHEN 7 THEN 'u'
+                 ELSE CASE WHEN k1 = 0 OR (k1 NOT IN (5, 6) AND k2 = 0) THEN 'm' ELSE 't' END END AS e FROM l),
+    e AS (SELECT *, coalesce(last_value(CASE WHEN e IN ('d', 's', 'n', 'u', 'm') THEN e END IGNORE NULLS) OVER (PARTITION BY b ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'd' AS open FROM n),
+    g AS (SELECT *, sum((e = 'd')::INT) OVER (PARTITION BY b ORDER BY o) AS meeting,
+                 sum((e IN ('s', 'n') OR (e = 'm' AND open))::INT) OVER (PARTITION BY b ORDER BY o) + sum((e = 'd')::INT) OVER (PARTITION BY b ORDER BY o) - (e = 'd')::INT AS wait,
+                 max(CASE WHEN e = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY b ORDER BY o) AS advisers,
+                 coalesce(last_value(CASE WHEN e IN ('d', 's', 'n') OR (e = 'm' AND open) THEN 0 WHEN e = 'p' THEN 1 END IGNORE NULLS) OVER (PARTITION BY b ORDER BY o), 0) AS talk FROM e),
+    t AS (SELECT b, wait, string_agg(CASE WHEN k = 3 THEN 'SALUD' WHEN k = 8 THEN 'UNA ESPECIAL | OTRA' ELSE 'texto S-1/26.' END, ' ' ORDER BY o) AS line, count(*) AS n FROM g WHERE e IN ('m', 't') AND (NOT open OR e = 'm') GROUP BY ALL),
+    a AS (SELECT b, meeting, string_agg(CASE WHEN k = 6 THEN 'S' ELSE 'U' END, '' ORDER BY o) AS said FROM g WHERE e = 't' AND open AND talk = 0 GROUP BY ALL)
+    SELECT g.b AS l_orderkey, g.meeting::BIGINT AS meeting_no, CASE advisers WHEN 1 THEN 'asesores' ELSE 'senadores' END AS section, 'MARTES' AS day, '03/03' AS date, '10:30' AS time, 'AZUL' AS room,
+           coalesce(CASE WHEN line LIKE '%|%' THEN regexp_replace(line, '\s*\|\s*', '|', 'g') ELSE replace(replace(line, 'SALUD ', 'SALUD|'), '. ', '.|') END, '') AS bodies,
+           coalesce(length(replace(said, 'U', '')), 0)::INT AS coded
+    FROM g LEFT JOIN t USING (b, wait) LEFT JOIN a USING (b, meeting) WHERE e = 'd'""", "lineitem")
+def _(lineitem):
+    """An order is a bulletin; its lines are of nine kinds."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = F.create_map(*(F.lit(x) for kv in _LINES.items() for x in kv))[(F.col("l_partkey") % 9).cast("int")]
+    found = ordered.free_text_meetings(lineitem.select("l_orderkey", F.row_number().over(w).alias("o"), line.alias("line")), "l_orderkey", "o", "line", ["SALUD"])
+    coded = F.size(F.filter("agenda", lambda i: i["number"] == "S-1/26"))
+    return found.select("l_orderkey", "meeting_no", "section", "day", "date", "time", "room", joined(F.col("bodies")).alias("bodies"), coded.alias("coded"))
+
+
 @query("x9_room_and_mode", "SELECT o_orderkey, o_orderstatus || ' A' AS room, CASE WHEN o_orderkey % 2 = 0 THEN 'virtual' ELSE '' END AS mode FROM orders", "orders")
 def _(orders):
     c = F.concat(F.col("o_orderstatus"), F.lit(" \n\n A"), F.when(F.col("o_orderkey") % 2 == 0, " (virtual)").otherwise(""))

@@ -75,10 +75,43 @@ def test_roster_fold_equals_python(spark):
 
 
 def test_free_text_bulletin(spark):
-    lines = ["BOLETÍN N° 12", "AGENDA DE SENADORES", "SALUD", "🗓 MARTES 3 DE MARZO 🕑 10:30 H 📍 SALÓN AZUL", "📋 TEMARIO", "S-1/26 uno.", "JUSTICIA", "🗓 LUNES 4 DE MARZO 🕑 A continuación 📍 Salón Rojo", "PE-2/26 dos.", "EXPOSITORES: alguien", "otro", "AGENDA DE ASESORES", "UNA COMISIÓN | OTRA", "🗓 LUNES 4 DE ABRIL 🕑 9 📍 X"]
-    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "b int, k int, line string")
-    found = ordered.fold_lines(df, "b", "k", "line", {"SALUD"}).orderBy("meeting_no").collect()
-    assert [(r.section, r.bodies, r.agenda) for r in found] == [("senadores", ["SALUD"], "S-1/26 uno."), ("senadores", ["JUSTICIA"], "PE-2/26 dos."), ("asesores", ["UNA COMISIÓN", "OTRA"], "")]
+    lines = ["N° 12/26", "AGENDA DE SENADORES", "Salud", "🗓 MARTES 3 DE MARZO 🕑 10:30 H 📍 SALÓN AZUL", "📋 TEMARIO", "S-1/26 uno.", "JUSTICIA", "🗓 LUNES 4 DE MARZO 🕑 A continuación 📍 Salón Rojo", "PE-2/26 dos.", "EXPOSITORES: alguien", "otro", "AGENDA DE ASESORES", "BICAMERAL DE X | OTRA", "🗓 LUNES 4 DE BRUMARIO 🕑 9 📍 X"]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)] + [(2, 0, None)], "b int, k int, line string")
+    found = ordered.free_text_meetings(df, "b", "k", "line", ["SALUD"]).orderBy("meeting_no").collect()
+    assert [(r.section, r.date, r.time, r.room, r.bodies, [(i.number, i.extract) for i in r.agenda], r.kind) for r in found] == [
+        ("senadores", "03/03", "10:30", "AZUL", ["Salud"], [("S-1/26", "uno")], "senadores"),
+        ("senadores", "04/03", "A continuación", "Rojo", ["JUSTICIA"], [("PE-2/26", "dos")], "senadores"),
+        ("asesores", "", "9", "X", ["BICAMERAL DE X", "OTRA"], [], "bicameral"),
+    ]
+
+
+def test_free_text_bulletins_equal_a_state_machine(spark):
+    rng = random.Random(21)
+    spelt = {"date": "🗓 MARTES 3 DE MARZO 🕑 10:30 📍 X", "section": "AGENDA DE ASESORES", "none": "NO HAY REUNIONES", "update": "*SE ACTUALIZARÁ", "speakers": "EXPOSITORES: x", "mark": "📋 TEMARIO", "name": "SALUD", "text": "S-1/26 a."}
+    rows = [(g, k, rng.choice([*spelt, "date", "name", "text", "text"])) for g in range(200) for k in range(rng.randrange(14))]
+    want, state = [], {}
+    for g, k, kind in rows:
+        s = state.setdefault(g, {"open": None, "waiting": 0, "talking": False, "n": 0})
+        named = kind == "name" and s["open"] is not None
+        if kind in ("section", "none", "update", "date") or named:
+            s["open"] = None
+        if kind in ("section", "none", "date") or named:
+            s["talking"] = False
+        if kind == "date":
+            s["n"] += 1
+            s["open"] = [g, s["n"], s["waiting"], 0]
+            want.append(s["open"])
+        if kind in ("section", "none", "date") or named:
+            s["waiting"] = int(named)
+        elif kind in ("name", "text") and s["open"] is None:
+            s["waiting"] += 1
+        elif kind == "text" and not s["talking"]:
+            s["open"][3] += 1
+        elif kind == "speakers":
+            s["talking"] = True
+    df = spark.createDataFrame([(g, k, spelt[kind]) for g, k, kind in rows], "b int, k int, line string")
+    found = ordered.free_text_meetings(df, "b", "k", "line", ["SALUD"]).collect()
+    assert sorted([r.b, r.meeting_no, len(r.bodies), len(r.agenda)] for r in found) == sorted(want)
 
 
 def test_merged_lines(spark):
@@ -121,13 +154,18 @@ def test_flows(spark):
         ("replace", "PAZ, Ana", "ROJO, Juan"), ("replace", "SOL, Juan", "PAZ, Ana"), ("add", "MAR, Eva", None), ("add", "LUNA, Luis", None)]
     # Who is added without replacing anyone removes nobody; a longer name finds the body that it contains.
     assert [tuple(m) for m in flows.roster_after(rosters, more).first().members] == [("SOL, Juan", "", "presidente"), ("MAR, Eva", "", ""), ("LUNA, Luis", "", "")]
-    rows = spark.createDataFrame([("1", 1, 0, 0, ["SOBRE TABLAS"]), ("1", 2, 0, 0, ["S-1/26", "x", "APROBADO"]), ("1", 2, 0, 1, ["CAMBIO DE GIRO"]), ("1", 2, 0, 2, ["S-2/26", "x", "y"])], "bulletin string, page int, tbl int, row int, cells array<string>")
-    first = F.get(F.col("cells"), F.lit(0))
-    found = flows.outcomes(rows, F.when(first == "SOBRE TABLAS", "tablas"), first == "CAMBIO DE GIRO").collect()
-    assert [(r.code, r.section) for r in found] == [("S-1/26", "tablas")]
+    cells = [(1, ["PROYECTOS DE LEY"]), (2, ["12", "S-1/26 y P.E-2/26", "APROBADO", "obs"]), (3, ["S-3/26", "x", "APROBADO"]), (4, ["CAMBIO DE GIRO"]), (5, ["1", "S-4/26", "x", "y"]), (6, ["MOCIONES DE PREFERENCIA"]), (7, ["S-5/26", " aprobada", ""]), (8, ["S-6/26", "RECHAZADA", "APROBADA"]), (9, ["OD", "ACUERDOS CONSIDERADOS", "RESULTADO", "OBSERVACIONES"]), (10, ["S/T", "PE-7/26", "R", ""])]
+    rows = spark.createDataFrame([("1", k, 0, k, c) for k, c in cells], "bulletin string, page int, tbl int, row int, cells array<string>")
+    found = flows.outcomes(rows, flows.session_header(F.col("cells")), F.get(F.col("cells"), F.lit(0)) == "CAMBIO DE GIRO").orderBy("row", "code").collect()
+    assert [(r.code, r.section, r.order_number, r.result, r.observations) for r in found] == [
+        ("PE-2/26", "ley", 12, "APROBADO", "obs"), ("S-1/26", "ley", 12, "APROBADO", "obs"), ("S-5/26", "preferencia", None, " aprobada", ""), ("PE-7/26", "acuerdo", None, "R", "")]
     known = spark.createDataFrame([(1, None, "", None)], "nro int, ley string, fecha string, reviewed string")
     new = flows.incremental_records(known, spark.createDataFrame([(1,), (2,)], "nro int"), spark.createDataFrame([(1, "27", ""), (2, None, "f")], "nro int, ley string, fecha string"), ["nro"], ["nro"], ["ley", "fecha"], F.lit("2026-01-01"))
     assert sorted(map(tuple, new.collect())) == [(1, "27", "", "2026-01-01"), (2, None, "f", "2026-01-01")]
+    # A record that was looked at is stamped though nothing changed; one that wasn't isn't.
+    known = spark.createDataFrame([(1, "27", "", "2025-01-01"), (2, "", "", "2025-01-01")], "nro int, ley string, fecha string, reviewed string")
+    same = flows.incremental_records(known, known.select("nro").limit(0), known.where("nro = 1").select("nro", "ley", "fecha"), ["nro"], ["nro"], ["ley", "fecha"], F.lit("2026-01-01"))
+    assert sorted(map(tuple, same.collect())) == [(1, "27", "", "2026-01-01"), (2, "", "", "2025-01-01")]
 
 
 def test_facets(spark):
