@@ -91,7 +91,7 @@ def test_free_text_bulletins_equal_a_state_machine(spark):
     rows = [(g, k, rng.choice([*spelt, "date", "name", "text", "text"])) for g in range(200) for k in range(rng.randrange(14))]
     want, state = [], {}
     for g, k, kind in rows:
-        s = state.setdefault(g, {"open": None, "waiting": 0, "talking": False, "n": 0})
+        s = state.setdefault(g, {"open": None, "waiting": [], "talking": False, "n": 0})
         named = kind == "name" and s["open"] is not None
         if kind in ("section", "none", "update", "date") or named:
             s["open"] = None
@@ -99,12 +99,13 @@ def test_free_text_bulletins_equal_a_state_machine(spark):
             s["talking"] = False
         if kind == "date":
             s["n"] += 1
-            s["open"] = [g, s["n"], s["waiting"], 0]
+            # Short lines count only where there are no others.
+            s["open"] = [g, s["n"], s["waiting"].count("name") or len(s["waiting"]), 0]
             want.append(s["open"])
         if kind in ("section", "none", "date") or named:
-            s["waiting"] = int(named)
+            s["waiting"] = ["name"] * named
         elif kind in ("name", "text") and s["open"] is None:
-            s["waiting"] += 1
+            s["waiting"].append(kind)
         elif kind == "text" and not s["talking"]:
             s["open"][3] += 1
         elif kind == "speakers":
