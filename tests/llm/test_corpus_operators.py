@@ -364,6 +364,24 @@ def test_topk_matches_brute_force(spark):
             want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     assert sorted(map(tuple, topk_search.search_top(df).collect())) == sorted(want)
     assert topk_search.search_top(df.limit(0)).count() == 0
+    empty = spark.createDataFrame([(0, []), (1, []), (200, [1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.search_top(empty).collect())) == [(0, 1, 1, 0)]
+
+
+@pytest.mark.parametrize("root_bytes", [1 << 20, 0])
+def test_topk_over_many_trees(spark, monkeypatch, root_bytes):
+    for name, value in (("PIVOT_ROWS", 60), ("BLOCK_ROWS", 50), ("LEAF", 8), ("QUERY_ROWS", 3), ("ROOT_BYTES", root_bytes)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(8, 5)) * 3
+    vectors = [(k, [float(x) for x in centers[k % 8] + rng.normal(size=5) * 0.2]) for k in range(700)] + [(800, [1e6, 0.0, 0.0, 0.0, -1e6]), (801, [1e6] * 5)]
+    own = [(k, [math.floor(1024 * x) for x in v]) for k, v in vectors]
+    want = []
+    for q, v in own:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in own if c != q)[:10]
+            want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk_search.search_top(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect())) == sorted(want)
 
 
 def test_warc_round_trip(spark):
