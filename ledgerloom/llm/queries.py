@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._shared import written
 from ledgerloom.llm import exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
 
 
@@ -18,13 +19,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.captures(table(spark, sf_dir, "pages"), payloads=False)
+    captures = warc.captures(table(spark, sf_dir, "pages"))
+    # What the result needs of each capture is read twice; its payload isn't written again for that.
+    found = warc.with_payload_size(written(captures.select("capture_id", F.col("response").dropFields("body").alias("response")), "captures"))
     return found.select(
-        warc.metadata_field("captureId").cast("long").alias("page_id"),
-        warc.metadata_field("payloadBytes").cast("long").alias("payload_bytes"),
+        warc.source_id(F.col("capture_id")).cast("long").alias("page_id"),
+        "payload_bytes",
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        warc.metadata_field("refersToCapture").cast("long").alias("refers_to"),
+        warc.source_id(F.col("response.refers_to")).cast("long").alias("refers_to"),
     )
 
 

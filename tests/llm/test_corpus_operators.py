@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import math
 import random
 import re
@@ -13,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import _exchange, count_min, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
 from ledgerloom.llm._components import components
@@ -384,11 +386,14 @@ def test_topk_over_many_trees(spark, monkeypatch, root_bytes):
     assert sorted(map(tuple, topk_search.search_top(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect())) == sorted(want)
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n", "ñ" * 5000, "<p>a</p>"]
     pages = [(k, f"http://x/{k}\r\nX: y", html[k % 6]) for k in range(40)] + [(3, "u", html[3]), (None, None, "only"), (None, "u", html[0])]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
-    found = warc.captures(df).select(warc.metadata_field("captureId").cast("long").alias("i"), "response", "request", warc.metadata_field("refersToCapture").cast("long").alias("r"), warc.metadata_field("payloadBytes").cast("long").alias("n")).collect()
+    # The place of a row is part of record ids: the rows come from files.
+    df.write.parquet(f"{tmp_path}/pages")
+    found = warc.with_payload_size(warc.captures(spark.read.parquet(f"{tmp_path}/pages")))
+    found = found.select(warc.source_id(F.col("capture_id")).cast("long").alias("i"), "response", "request", warc.source_id(F.col("response.refers_to")).cast("long").alias("r"), F.col("payload_bytes").alias("n")).collect()
     first = {}
     for i, _, h in pages:
         first[h or ""] = min((x for x in (first.get(h or "", i), i) if x is not None), default=None)
@@ -398,6 +403,14 @@ def test_warc_round_trip(spark):
     assert bodies == Counter((h or "").encode() for i, _, h in pages if i == first[h or ""]) and all(bytes(x.request.body).startswith(b"GET ") for x in found)
 
 
+def test_warc_skips_what_is_malformed():
+    good = lambda k: b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % k
+    data = good(1) + b"junk\r\nmore\r\n" + good(2) + b"WARC/1.1\r\nWARC-Type: request\r\n\r\nno length\r\n" + good(3) + b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <4>\r\nContent-Length: 99\r\n\r\nshort"
+    found = list(warc.parse(io.BytesIO(data)))
+    assert [r.get("WARC-Record-ID", r["WARC-Type"]) for r in found] == ["<1>", "malformed", "<2>", "malformed", "<3>", "malformed"]
+    assert list(warc.parse(io.BytesIO(b""))) == []
+
+
 def test_mixing_meets_rates_and_keeps_rows(clashing, rows, spark):
     mixed = mixing.mix_sources(clashing, {"hot": 1.0, "a": 3.0}, rows=4000.0).collect()
     counts = Counter(r.source for r in mixed)
