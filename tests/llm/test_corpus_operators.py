@@ -507,3 +507,33 @@ def test_pipeline_stages(spark, tmp_path, rows):
         left = {r.doc_id for r in df.collect()}
         assert left == [ids | {3000, 3001}, ids | {3001}, ids, left & ids, left & ids][k]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_very_long_texts(spark):
+    """A text of megabytes and one huge word, through operators that cut, hash, compress or scan."""
+    long, word = "one two three four five six " * 60_000, "x" * 1_500_000
+    rows = [(1, long, "en", "s", 1), (2, word, "en", "s", 1), (3, long + "more", "en", "s", 1), (4, "plain text", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.kept for r in exact_dedup.group_copies(docs).collect()} == {1: True, 2: True, 3: True, 4: True}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs).collect()} == {1: (360_000, 0), 2: (1, 0), 3: (360_001, 360_000), 4: (2, 0)}
+    assert {r.doc_id: r.component_id for r in jaccard_join.join_similar(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert {r.doc_id: r.n_tokens for r in lm_scoring.score(docs, order=3, discounts=None).collect()} == {1: 360_001, 2: 2, 3: 360_002, 4: 3}
+    assert mixing.mix_sources(docs, rows=4.0).select("doc_id").distinct().count() <= 4
+
+
+def test_stages_keep_clashing_columns_and_take_nulls_and_empty_tables(spark, tmp_path, clashing, nothing):
+    import corpus_pipeline
+
+    odd = clashing.selectExpr("*", "'x' AS __key", "'x' AS __source", "'x' AS copy", "'x' AS star", "'x' AS mix_rate")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and all(r["__key"] == "x" for r in out.collect()), name
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_rows_without_ids_draw_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"text {k}", "s") for k in range(400)], "doc_id long, text string, source string")
+    kept = mixing.mix_sources(df).select("text").distinct().count()
+    assert 200 < kept < 300
