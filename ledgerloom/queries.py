@@ -643,7 +643,7 @@ def _(lineitem):
 _LINES = {0: "🗓 MARTES 3 DE MARZO 🕑 10:30 H 📍 SALÓN AZUL", 1: "AGENDA DE ASESORES", 2: "NO HAY REUNIONES", 3: "SALUD", 4: "EXPOSITORES: x", 5: "📋 TEMARIO", 6: "texto S-1/26.", 7: "*SE ACTUALIZARÁ", 8: "UNA ESPECIAL | OTRA"}
 
 
-@query("w4_free_text_meetings", """
+@query("w4_free_text_meetings", r"""
     WITH l AS (SELECT l_orderkey AS b, row_number() OVER w AS o, l_partkey % 9 AS k, lead(l_partkey % 9) OVER w AS k1, lead(l_partkey % 9, 2) OVER w AS k2
                FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
     n AS (SELECT *, CASE k WHEN 0 THEN 'd' WHEN 1 THEN 's' WHEN 2 THEN 'n' WHEN 3 THEN 'm' WHEN 4 THEN 'p' WHEN 5 THEN 'x' WHEN 6 THEN 't' WHEN 7 THEN 'u'
