@@ -46,6 +46,11 @@ def past_watermark(batch: DataFrame, done: DataFrame, id_col: str, watermark: in
     return only_new(above, done, [id_col])
 
 
+def watermark(done: DataFrame, batch: DataFrame, id_col: str) -> DataFrame:
+    """One row with the largest id of both as watermark, null without any."""
+    return done.select(id_col).unionByName(batch.select(id_col)).agg(F.max(id_col).alias("watermark"))
+
+
 def baseline(batch: DataFrame, state: DataFrame, keys: list[str], status: str = "baseline") -> DataFrame:
     """state with the keys of batch that it lacks marked as done without being applied."""
     new = only_new(batch.select(*keys).distinct(), state, keys).withColumn("status", F.lit(status))

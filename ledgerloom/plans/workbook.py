@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import author_list, dash_parts, labelled, main_authors, strip, without_author_prefix, words
-from ledgerloom.functions.values import approved, date_or_null, law_and_date, status_flags
-from ledgerloom.operators.extract import hyperlink
+from ledgerloom.functions.text import after_colon, author_list, blank_to, dash_parts, labelled, main_authors, record_url, strip, without_author_prefix, words
+from ledgerloom.functions.values import approved, date_or_null, found, law_and_date, status_flags
+from ledgerloom.operators.extract import group_columns, hyperlink
+from ledgerloom.operators.merge import first_wins, only_new
 
 # The places of cells, from 0.
 ORIGIN, NUMBER, YEAR, KIND, TITLE, ENTRY, LAPSED, FILED, DESK, AUTHORS = 0, 1, 2, 3, 4, 5, 6, 7, 8, 13
@@ -89,3 +90,24 @@ def records(rows: DataFrame, cells: str, labels: dict[str, str]) -> DataFrame:
 def agreements(rows: DataFrame, cells: str, kind: str = "AC") -> DataFrame:
     """The agreements of landed rows of their kind, with their other columns."""
     return rows.where(_cell(F.col(cells), KIND) == kind).withColumn("a", agreement(F.col(cells))).select(*(c for c in rows.columns if c != cells), "a.*")
+
+
+def tabular_records(rows: DataFrame, known: DataFrame, labels: dict[str, str], base: str) -> DataFrame:
+    """Records of a headed file's rows (ord, NRO, ANIO, TIPO, ORIGEN, CARATULA, MESA, DAE,
+    AUTOR, COM1 to COM5) whose number, year and kind aren't known, the first of each.
+
+    Without a year it is 2025, without a kind PL, without an origin S. Rows whose number
+    isn't one are left out.
+    """
+    cell = lambda c: strip(F.coalesce(c, F.lit("")))
+    given = lambda c, default: strip(F.when(F.coalesce(c, F.lit("")) == "", default).otherwise(F.col(c)))
+    keyed = rows.withColumns({"number": cell("NRO").try_cast("int"), "year": blank_to(F.col("ANIO"), "2025").try_cast("int"), "kind": given("TIPO", "PL"), "origin": given("ORIGEN", "S")})
+    new = first_wins(only_new(keyed.where("number IS NOT NULL"), known, ["number", "year", "kind"]), ["number", "year", "kind"], ["ord"])
+    told = new.withColumn("__of", main_authors(cell("CARATULA"), author_list(F.col("AUTOR"))))
+    entry = F.concat(found(cell("DAE"), r"^(\d+)"), F.lit("/"), found(cell("DAE"), r"(\d{4})"))
+    return told.select(
+        "number", "year", "kind", labelled(F.col("kind"), labels).alias("kind_label"), after_colon(cell("CARATULA")).alias("extract"),
+        F.col("__of.main").alias("authors"), F.col("__of.others").alias("coauthors"), group_columns(*(f"COM{k}" for k in range(1, 6))).alias("bodies"),
+        F.coalesce(found(cell("MESA"), r"(\d{2}/\d{2}/\d{4})"), F.lit("")).alias("date"), F.coalesce(entry, F.lit("")).alias("entry"), "origin",
+        record_url(base, F.col("number"), F.col("year"), F.col("origin"), F.col("kind")).alias("url"),
+    )

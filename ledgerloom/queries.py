@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, lookup, merge, ordered
-from ledgerloom.plans import flows, workbook
+from ledgerloom.plans import dayorders, flows, people, views, workbook
+from ledgerloom.sources import listings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -806,6 +807,285 @@ def _(events):
     return events.select("event_id", analytics.numeric_or_zero(raw).alias("n")).orderBy(F.desc("n"), "event_id").limit(50)
 
 
+# ---- listings, orders of the day, persons and views
+
+_PLAIN = {"PE": "Poder Ejecutivo", "S": "Senado", "CD": "Cámara de Diputados"}
+_CATEGORY = {"PL": "Proyecto de Ley", "PR": "Proyecto de Resolución", "AC": "Acuerdo"}
+as_text = lambda c: F.col(c).cast("string")
+
+
+@query("s3_bulletin_links", """
+    SELECT o_orderkey, o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'N' || o_custkey ELSE '' END AS number, CASE o_orderkey % 2 WHEN 0 THEN 'http://h/x/descargarBoletinReunion/' ELSE 'b/descargarboletinreunion/' END || o_orderkey AS url FROM orders
+    UNION ALL SELECT o_orderkey, o_orderkey + 1000000, 'N' || o_custkey, 'b/descargarBoletinReunion/' || (o_orderkey + 1000000) FROM orders WHERE o_orderkey % 3 = 0""", "orders")
+def _(orders):
+    """Links in a row whose first cell is the number, twice in a row, in a row without cells, and outside of rows."""
+    key = F.col("o_orderkey")
+    href = F.concat(F.when(key % 2 == 0, "http://h/x/descargarBoletinReunion/").otherwise("/descargarboletinreunion/"), as_text("o_orderkey"))
+    link = F.concat(F.lit("<a class='x' href='"), href, F.lit("'>see</a>"))
+    second = F.concat(F.lit('<A HREF="/descargarBoletinReunion/'), (key + 1000000).cast("string"), F.lit('"><b>2</b></a>'))
+    cells = F.concat(F.lit("<tr><td> <b>N</b>\n "), as_text("o_custkey"), F.lit("</td><td>"), link, second, F.lit("<a href='/other/1'>o</a></td></tr>"))
+    html = F.when(key % 3 == 0, cells).when(key % 3 == 1, F.concat(F.lit("<tr>"), link, F.lit("</tr>"))).otherwise(F.concat(F.lit("<p>"), link, F.lit("</p><a href='/y'>no</a>")))
+    found = listings.bulletin_links(orders.select("o_orderkey", html.alias("html")), "o_orderkey", "html", "b")
+    return found
+
+
+@query("s4_decree_rows", """
+    SELECT o_orderkey, 2 AS row_no, 'D' || o_custkey AS number, '01/02/2026' AS date, 'Comisión de ' || o_orderstatus AS topic, CASE o_orderkey % 2 WHEN 0 THEN 'https://h/' ELSE 'b/d/' END || o_orderkey AS url FROM orders WHERE o_orderkey % 5 < 2
+    """, "orders")
+def _(orders):
+    """The largest table; header, short rows, rows without a number or link and pages without a table give nothing."""
+    key = F.col("o_orderkey")
+    href = F.concat(F.when(key % 2 == 0, "https://h/").otherwise("/d/"), as_text("o_orderkey"))
+    row = lambda number, link: F.concat(F.lit("<tr><td>01/02/<i>2026</i></td><td>Comisión <b>de</b> "), "o_orderstatus", F.lit("</td><td>x</td><td> "), number, F.lit(" </td><td>"), link, F.lit("</td></tr>"))
+    number, link = F.concat(F.lit("D"), as_text("o_custkey")), F.concat(F.lit("<a href='"), href, F.lit("'>pdf</a>"))
+    body = F.when(key % 5 < 2, row(number, link)).when(key % 5 == 2, row(F.lit(""), link)).otherwise(row(number, F.lit("pdf")))
+    page = F.concat(F.lit("<table><tr><td>1</td><td>2</td><td>3</td><td>4</td><td><a href='/z'>5</a></td></tr></table><table><tr><th>a</th></tr><tr><td>short</td></tr>"), body, F.lit("</table>"))
+    return listings.decree_rows(orders.select("o_orderkey", F.when(key % 5 == 4, "none").otherwise(page).alias("html")), "o_orderkey", "html", "b")
+
+
+@query("s5_session_bulletins", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey || '' ELSE o_orderkey || '/24-x' END AS number, CASE WHEN o_orderkey % 7 = 0 THEN 'pronto' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, 'u' AS url
+    FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 9 <> 0 AND (o_orderkey % 7 = 0 OR year(o_orderdate) >= 1996)""", "orders")
+def _(orders):
+    """An unreadable date stays, earlier years and rows without number or URL go."""
+    key = F.col("o_orderkey")
+    number = F.when(key % 5 == 0, F.when(key % 2 == 0, " ")).when(key % 4 == 0, as_text("o_orderkey")).otherwise(F.concat(F.lit(" "), as_text("o_orderkey"), F.lit("-24-x")))
+    date = F.when(key % 7 == 0, "pronto").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return listings.session_bulletins(orders.select("o_orderkey", number.alias("number"), date.alias("date"), F.when(key % 9 != 0, " u ").alias("url")), 1996)
+
+
+@query("f4_decree_routing", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'sin_texto' END AS status FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0""", "orders")
+def _(orders):
+    """Topics with and without accents and case, those done, texts that are null, of 39 and of 40 letters."""
+    key = F.col("o_orderkey")
+    topic = F.when(key % 2 == 1, "Otra cosa").when(key % 4 == 0, "Integración de comisiones").otherwise("LA COMISIÓN DE SALUD")
+    body = F.when(key % 3 == 0, F.lit(None)).when(key % 5 == 0, F.concat(F.lit("  "), F.repeat(F.lit("a"), 39), F.lit("\n"))).otherwise(F.repeat(F.lit("a"), 40))
+    decrees = orders.select("o_orderkey", topic.alias("topic"), body.alias("text"))
+    new = merge.only_new(listings.about(decrees, "topic", "comision"), orders.where(key % 7 == 0), ["o_orderkey"])
+    return new.select("o_orderkey", listings.text_status(F.col("text")).alias("status"))
+
+
+@query("f13_lookback_window", """
+    SELECT 'days' AS w, o_orderkey FROM orders WHERE o_orderdate BETWEEN DATE '1996-03-01' - INTERVAL 30 DAY AND DATE '1996-03-01'
+    UNION ALL SELECT 'since', o_orderkey FROM orders WHERE o_orderdate BETWEEN DATE '1996-01-05' AND DATE '1996-03-01'""", "orders")
+def _(orders):
+    """Thirty days, a fixed start, and a start that isn't a date and gives none."""
+    own, day = orders.select("o_orderkey", F.to_date("o_orderdate").alias("at")), F.lit("1996-03-01").cast("date")
+    some = {"days": None, "since": "05/01/1996", "never": "31/31/1996"}
+    parts = [listings.in_window(own, "at", day, 30, since).select(F.lit(name).alias("w"), "o_orderkey") for name, since in some.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _landed_orders(orders):
+    key = F.col("o_orderkey")
+    codes = F.when(key % 4 == 0, F.concat(F.lit(" S-"), as_text("o_orderkey"), F.lit("/26-PL\nP.E.-1/25-AC"))).when(key % 4 == 1, F.concat(F.lit("P.E.-"), as_text("o_orderkey"), F.lit("/26-AC - S-1/26 "))).when(key % 4 == 3, F.concat(F.lit("XX-"), as_text("o_orderkey"), F.lit("/26")))
+    said = F.when(key % 3 == 0, F.concat(F.lit("PAZ Y OTROS: SOLICITA DE "), "o_orderstatus")).when(key % 3 == 1, F.concat(F.lit(" MENSAJE: DE "), "o_orderstatus"))
+    number = F.when(key % 13 == 0, F.lit(None)).when(key % 5 == 0, F.concat((key % 60).cast("string"), F.lit(".0"))).when(key % 17 == 0, "S/T").otherwise((key % 60).cast("string"))
+    return orders.select(
+        key.alias("ord"), F.when(key % 11 != 0, 2026).alias("period"), number.alias("number"), F.when(key % 3 == 0, " Anexo I").when(key % 3 == 1, "normal").alias("kind"), codes.alias("codes"), F.concat(F.lit("u/"), as_text("o_orderkey")).alias("codes_url"),
+        said.alias("extract"), F.lit("DE SALUD - DE LA NIÑEZ Y CULTURA - DE SALUD -").alias("bodies"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"), F.lit(None).cast("string").alias("file_url"),
+    )
+
+
+_DAY_ORDERS = """WITH d AS (SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 17 = 0 AND o_orderkey % 5 <> 0 THEN 'S/T' ELSE (o_orderkey % 60)::VARCHAR END AS number, 2026 AS period,
+    CASE o_orderkey % 3 WHEN 0 THEN 'ANEXO' ELSE 'NORMAL' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'Senado' WHEN 1 THEN 'Poder Ejecutivo' WHEN 3 THEN 'Xx' ELSE '' END AS origin,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Proyecto de Ley' WHEN 1 THEN 'Acuerdo' ELSE '' END AS category, CASE o_orderkey % 3 WHEN 0 THEN 'Paz y Otros' END AS author,
+    CASE o_orderkey % 3 WHEN 0 THEN 'Solicita de ' || o_orderstatus WHEN 1 THEN 'Mensaje: de ' || o_orderstatus ELSE '' END AS description,
+    CASE o_orderkey % 4 WHEN 0 THEN 'S-' || o_orderkey || '/26-PL@u/' || o_orderkey || '|P.E.-1/25-AC@' WHEN 1 THEN 'P.E.-' || o_orderkey || '/26-AC@u/' || o_orderkey || '|S-1/26@' WHEN 3 THEN 'XX-' || o_orderkey || '/26@u/' || o_orderkey ELSE '' END AS cases,
+    'De Salud|De la Niñez y Cultura' AS bodies, strftime(o_orderdate, '%d/%m/%Y') AS date, NULL::VARCHAR AS file_url FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0),
+    e AS (SELECT o_orderkey AS k, o_orderkey % 4 AS s, o_orderkey + 1 AS row, CASE WHEN o_orderkey % 19 = 0 THEN 5 ELSE o_orderkey % 60 END AS n, CASE WHEN o_orderkey % 19 = 0 THEN 3 ELSE o_orderkey % 3 END AS f, o_orderkey % 5 AS p, o_orderpriority AS b FROM orders),
+    x AS (SELECT s, row, n, b, CASE f WHEN 0 THEN 'ANEXO' ELSE 'NORMAL' END AS kind, CASE WHEN p = 0 THEN '' WHEN p = 1 THEN CASE WHEN f = 1 THEN 'PAZ' ELSE 'PAZ ANEXO: LUZ|SOL' END ELSE 'PAZ|ROJO' END AS signers FROM e WHERE s < 3 AND row >= 4 AND f <> 2
+          UNION ALL SELECT s, row, n, b, 'ANEXO', 'LUZ|SOL' FROM e WHERE s < 3 AND row >= 4 AND f = 1 AND p = 1),
+    m AS (SELECT n::INT AS number, 2026 AS period, kind, signers, CASE WHEN s < 2 AND b <> '5-LOW' THEN b WHEN s < 2 THEN '' END AS lead FROM x QUALIFY row_number() OVER (PARTITION BY n, kind ORDER BY s DESC, row DESC) = 1) """
+
+
+@query("s10_day_orders", _DAY_ORDERS + "SELECT * FROM d", "orders")
+def _(orders):
+    """Rows without period or number, numbers kept as 12.0, no codes, one or two, three kinds of extract."""
+    return _shown(dayorders.day_orders(_landed_orders(orders), _PLAIN, _CATEGORY))
+
+
+def _shown(found):
+    at = F.array_join(F.transform("cases", lambda c: F.concat(c["code"], F.lit("@"), F.coalesce(c["url"], F.lit("")))), "|")
+    return found.withColumns({"cases": at, "bodies": joined(F.col("bodies"))})
+
+
+@query("f9_first_code_type", _DAY_ORDERS + "SELECT ord, origin, category FROM d WHERE category = 'Proyecto de Ley'", "orders")
+def _(orders):
+    return cols(dayorders.day_orders(_landed_orders(orders), _PLAIN, _CATEGORY, "PL"), "ord", "origin", "category")
+
+
+def _landed_sheets(orders):
+    key = F.col("o_orderkey")
+    plain = F.concat((key % 60).cast("string"), F.when(key % 3 == 0, "/26 (a)").when(key % 3 == 1, " / 2026 y ANEXO").otherwise(" pendiente"))
+    people = F.when(key % 5 == 1, "PAZ. ANEXO: LUZ – SOL.").when(key % 5 == 0, F.lit(None)).otherwise(" PAZ. - ROJO ")
+    return orders.select(
+        F.when(key % 4 == 0, "OD LEY").when(key % 4 == 1, "ANEXO I").when(key % 4 == 2, "OD ACUERDOS").otherwise("OTRA").alias("sheet"), (key + 1).alias("row"), plain.alias("order"),
+        F.when(key % 19 == 0, F.lit("2026-05-01").cast("timestamp")).alias("typed"), F.when((key % 5 == 1) & ((key % 3 != 1) | (key % 19 == 0)), "PAZ ANEXO: LUZ – SOL.").otherwise(people).alias("signers"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority")).alias("lead"),
+    )
+
+
+@query("s11_enrichments", _DAY_ORDERS + "SELECT * FROM m", "orders")
+def _(orders):
+    """Sheets in order, rows above the data, annexes in one cell, orders read as dates, unreadable ones."""
+    return dayorders.enrichments(_landed_sheets(orders)).withColumn("signers", joined(F.col("signers")))
+
+
+@query("j2_enriched_orders", _DAY_ORDERS + """
+    SELECT ord, d.number, d.kind, category, CASE WHEN m.signers <> '' THEN m.signers END AS signers, coalesce(nullif(m.lead, ''), CASE WHEN category = 'Acuerdo' THEN 'Acuerdos' END) AS lead
+    FROM d LEFT JOIN m ON try_cast(d.number AS INT) = m.number AND d.kind = m.kind""", "orders")
+def _(orders):
+    more = dayorders.enrichments(_landed_sheets(orders))
+    found = dayorders.enriched(dayorders.day_orders(_landed_orders(orders), _PLAIN, _CATEGORY), more, "Acuerdo", "Acuerdos")
+    return cols(dayorders.latest_first(found), "ord", "number", "kind", "category", "signers", "lead").withColumn("signers", joined(F.col("signers")))
+
+
+@query("s12_people", """
+    WITH a AS (SELECT 0 AS t, c_custkey AS o, 'PAZ, N' || c_custkey % 70 AS name, CASE WHEN c_custkey % 7 = 0 THEN 'Sin datos' WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS raw, 'Chaco' AS province FROM customer WHERE c_custkey % 6 <> 0),
+    f AS (SELECT 1 AS t, s_suppkey AS o, 'PAZ, N' || s_suppkey % 90 AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'BÚILDING' ELSE 'Unión ' || s_suppkey % 4 END AS raw, 'SALTA' AS province FROM supplier),
+    g AS (SELECT * FROM f WHERE name NOT IN (SELECT name FROM a) QUALIFY row_number() OVER (PARTITION BY name ORDER BY o) = 1),
+    b AS (SELECT * FROM a UNION ALL SELECT * FROM g), s AS (SELECT strip_accents(upper(raw)) AS k, arg_min(raw, t * 10000000 + o) AS bloc FROM b GROUP BY 1)
+    SELECT name, bloc, province, t = 0 AS current FROM b JOIN s ON strip_accents(upper(raw)) = k QUALIFY row_number() OVER (PARTITION BY name ORDER BY o DESC) = 1""", "customer", "supplier")
+def _(customer, supplier):
+    """Names twice in each list and in both, blocs in two spellings or missing, rows without a surname."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    bloc = F.when(c % 7 == 0, F.when(c % 2 == 0, "")).when(c % 5 == 0, F.concat(F.col("c_mktsegment"), F.lit(" "))).otherwise(F.lower("c_mktsegment"))
+    now = customer.select(c.alias("ord"), bloc.alias("bloc"), F.when(c % 6 != 0, " paz").alias("surname"), F.concat(F.lit("n"), (c % 70).cast("string"), F.lit(" ")).alias("given"), F.lit(" Chaco").alias("province"))
+    names = F.concat(F.lit(" Paz ,  n"), (s % 90).cast("string"))
+    before = supplier.select(s.alias("ord"), names.alias("name"), F.lit("Salta ").alias("district"), F.when(s % 2 == 0, "BÚILDING").otherwise(F.concat(F.lit("Unión "), (s % 4).cast("string"))).alias("bloc"))
+    return people.people(now, before, "Sin datos")
+
+
+@query("s19_default_roles", "SELECT o_orderkey, 'A:' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END || '|B:' AS members FROM orders", "orders")
+def _(orders):
+    key = F.col("o_orderkey")
+    member = lambda name, role: F.struct(F.lit(name).alias("name"), role.cast("string").alias("role"))
+    rosters = orders.select("o_orderkey", F.array(member("A", F.when(key % 2 == 0, F.col("o_orderstatus"))), member("B", F.lit(None))).alias("members"))
+    return people.with_roles(rosters).withColumn("members", joined(F.transform("members", lambda m: F.concat(m["name"], F.lit(":"), m["role"]))))
+
+
+@query("s7_tabular_records", """
+    WITH r AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 2025 ELSE 2024 END AS year, CASE o_orderkey % 3 WHEN 0 THEN 'PL' ELSE 'AC' END AS kind, o_custkey::INT AS number FROM orders WHERE o_orderkey % 10 <> 0),
+    f AS (SELECT * FROM r WHERE NOT (o_custkey % 7 = 0 AND kind = 'AC' AND year = 2024) QUALIFY row_number() OVER (PARTITION BY number, year, kind ORDER BY o_orderkey) = 1)
+    SELECT number, year, kind, CASE kind WHEN 'PL' THEN 'Bill' ELSE 'AC' END AS kind_label, 'ley: ' || o_orderstatus AS extract, CASE WHEN o_orderkey % 2 = 0 THEN 'PAZ, ANA' ELSE 'PAZ, ANA|ROJO' END AS authors,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'ROJO' ELSE '' END AS coauthors, 'SALUD|OBRAS' AS bodies, CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date,
+    CASE o_orderkey % 3 WHEN 1 THEN '12/2026' ELSE '' END AS entry, CASE WHEN o_orderkey % 6 = 0 THEN 'S' ELSE 'CD' END AS origin, 'b/' || number || '.' || right(year::VARCHAR, 2) || '/' || CASE WHEN o_orderkey % 6 = 0 THEN 'S' ELSE 'CD' END || '/' || kind AS url FROM f""", "orders")
+def _(orders):
+    """Defaults for missing and blank cells, keys twice and known ones, rows without a number."""
+    key = F.col("o_orderkey")
+    own = orders.select(
+        key.alias("ord"), F.when(key % 10 != 0, F.concat(F.lit(" "), as_text("o_custkey"))).alias("NRO"), F.when(key % 8 == 0, " ").when(key % 4 != 0, "2024 ").alias("ANIO"), F.when(key % 3 != 0, " AC").alias("TIPO"), F.when(key % 6 != 0, "CD").alias("ORIGEN"),
+        F.concat(F.when(key % 2 == 0, "Paz y otros: ley: ").otherwise("x: ley: "), "o_orderstatus").alias("CARATULA"), F.when(key % 5 != 1, F.concat(F.lit("MESA "), F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("MESA"),
+        F.when(key % 3 == 1, "12 del 2026").when(key % 3 == 2, "DAE 12/2026").alias("DAE"), F.lit("Paz , Ana - Rojo -").alias("AUTOR"), F.lit(" ").alias("COM1"), F.lit(" SALUD").alias("COM2"), F.lit(None).cast("string").alias("COM3"), F.lit("OBRAS").alias("COM4"), F.lit("").alias("COM5"),
+    )
+    known = orders.where(F.col("o_custkey") % 7 == 0).select(F.col("o_custkey").cast("int").alias("number"), F.lit(2024).alias("year"), F.lit("AC").alias("kind")).distinct()
+    return workbook.tabular_records(own, known, {"PL": "Bill"}, "b").withColumns({c: joined(F.col(c)) for c in ("authors", "coauthors", "bodies")})
+
+
+@query("s14_section_rows", """
+    WITH w AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS page, l_partkey % 4 AS k, l_partkey AS p FROM lineitem),
+    s AS (SELECT *, coalesce(last_value(CASE k WHEN 1 THEN 'asesores' WHEN 2 THEN 'bicameral' END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page), 'senadores') AS section FROM w),
+    b AS (SELECT *, coalesce(lag(section) OVER (PARTITION BY doc ORDER BY page), 'senadores') AS earlier FROM s)
+    SELECT doc, page, 0 AS tbl, CASE WHEN p % 3 = 0 THEN section ELSE earlier END AS section, 0 AS row, 'a' || p AS cells FROM b UNION ALL SELECT doc, page, 1, section, 0, 'b' || p FROM b""", "lineitem")
+def _(lineitem):
+    """Headings in words that lie up to two units apart, a table level with or above the heading, one below, and pages without a heading."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    pages = lineitem.select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("page"), F.col("l_partkey").alias("p"))
+    kind = F.col("p") % 4
+    last = F.when(kind == 1, "Asesores").when(kind == 2, "BICAMERAL").otherwise("x")
+    word = lambda top, left, text: F.struct(F.lit(top).alias("top"), F.lit(left).alias("x0"), text.alias("text"))
+    said = F.array(word(50.4, 5.0, F.lit("REUNIONES")), word(51.6, 9.0, F.when(kind == 1, "de").otherwise("")), word(49.8, 20.0, last), word(54.0, 1.0, F.lit("BICAMERAL")))
+    words = pages.select("doc", "page", F.inline(said)).where("text <> ''")
+    first = F.when(F.col("p") % 3 == 0, 50.0).otherwise(10.0)
+    table = lambda tbl, top, name: F.struct(F.lit(tbl).alias("tbl"), top.alias("top"), F.array(F.array(F.concat(F.lit(name), F.col("p").cast("string")))).alias("rows"))
+    tables = pages.select("doc", "page", F.inline(F.array(table(0, first, "a"), table(1, F.lit(70.0), "b"))))
+    marks = {"asesores": r"REUNIONES\s+DE\s+ASESORES", "bicameral": r"REUNIONES\s+BICAMERAL", "senadores": r"REUNIONES\s+DE\s+SENADORES"}
+    return ordered.section_rows(words, tables, marks, "senadores").withColumn("cells", joined(F.col("cells")))
+
+
+@query("a6_watermark", "SELECT max(event_id) AS watermark FROM events", "events")
+def _(events):
+    return merge.watermark(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "event_id")
+
+
+def _records(orders):
+    key = F.col("o_orderkey")
+    return orders.select(F.when(key % 2 == 0, "S").otherwise("C.D.").alias("origin"), key.alias("number"), F.lit(2026).alias("year"), F.when(key % 3 == 0, "AC").otherwise("PL").alias("kind"), F.concat(F.lit("u/"), as_text("o_orderkey")).alias("url"), F.col("o_orderpriority").alias("extract"))
+
+
+def _outcomes(lineitem):
+    """Outcomes of the records of _records, and of some that have none."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    code = F.concat(F.when(k % 2 == 0, "S-").otherwise("CD"), F.when(n == 7, k + 9000000).otherwise(k).cast("string"), F.lit("/26"))
+    note = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Ley N° 27."), n.cast("string"), F.lit("."))).when(F.col("l_returnflag") == "A", "Se comunica a la H. Cámara de Diputados")
+    result = F.when(F.col("l_linestatus") == "F", " Aprobado").otherwise("RECHAZADO")
+    section = F.when(n == 1, "preferencia").when(n % 3 == 2, "ley").when(n % 3 == 0, "acuerdo").otherwise("decreto_res_com_dec")
+    return lineitem.select(code.alias("code"), section.alias("section"), result.alias("result"), note.alias("observations"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
+
+
+_SECTION = "CASE WHEN l_linenumber = 1 THEN 'preferencia' WHEN l_linenumber % 3 = 2 THEN 'ley' WHEN l_linenumber % 3 = 0 THEN 'acuerdo' ELSE 'decreto_res_com_dec' END"
+
+
+@query("j9_record_outcomes", """
+    WITH l AS (SELECT *, l_linenumber > 1 AND l_linestatus = 'F' AS e FROM lineitem WHERE l_linenumber <> 7)
+    SELECT o_orderkey AS number, coalesce(bool_or(l_linenumber = 1), false) AS preference, coalesce(bool_or(e), false) AS enacted, coalesce(bool_or(l_returnflag = 'A'), false) AS sent,
+    arg_max(CASE l_returnflag WHEN 'R' THEN 'Ley N° 27.' || l_linenumber ELSE strftime(l_shipdate, '%Y-%m-%d') END, strftime(l_shipdate, '%Y-%m-%d') || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FILTER (e) AS enacted_text
+    FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey""", "orders", "lineitem")
+def _(orders, lineitem):
+    return cols(views.with_outcomes(_records(orders), _outcomes(lineitem)), "number", "preference", "enacted", "sent", "enacted_text")
+
+
+@query("j10_record_agreements", """
+    SELECT o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS announced,
+    CASE WHEN o_orderkey % 3 = 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'announced' WHEN 1 THEN 'pending' END END AS badge FROM orders""", "orders")
+def _(orders):
+    """Agreements that are announced, pending or unknown, and of the same number but another kind."""
+    key = F.col("o_orderkey")
+    flag = F.when(F.col("o_custkey") % 3 == 0, True).when(F.col("o_custkey") % 3 == 1, False)
+    agreed = orders.select(key.alias("number"), F.lit(2026).alias("year"), flag.alias("announced"))
+    found = views.with_agreements(_records(orders), agreed.unionByName(agreed.withColumn("year", F.lit(2025))), ["announced"])
+    return found.select("number", "announced", views.three_valued(F.col("announced"), "announced", "pending").alias("badge"))
+
+
+@query("j12_outcome_records", f"""
+    SELECT l_orderkey, l_linenumber, {_SECTION} AS section, CASE WHEN l_linenumber <> 7 THEN 'u/' || l_orderkey END AS url, CASE WHEN l_linenumber <> 7 THEN o_orderpriority END AS extract,
+    CASE WHEN l_linenumber = 1 THEN 'other' WHEN l_linestatus <> 'F' THEN NULL ELSE CASE {_SECTION} WHEN 'ley' THEN 'laws' WHEN 'acuerdo' THEN 'agreements' ELSE 'other' END END AS tab
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey""", "orders", "lineitem")
+def _(orders, lineitem):
+    """Each outcome with its tab and its record, nulls where the record is unknown."""
+    found = views.with_records(_outcomes(lineitem), _records(orders))
+    number = F.regexp_extract("code", r"(\d+)/", 1).cast("long")
+    line = F.get(F.split("ord", "-"), F.lit(0)).cast(lineitem.schema["l_linenumber"].dataType)
+    return found.select(F.when(line == 7, number - 9000000).otherwise(number).alias("l_orderkey"), line.alias("l_linenumber"), "section", "url", "extract", views.outcome_tab(F.col("section"), F.col("result")).alias("tab"))
+
+
+@query("q3_order_tabs", _DAY_ORDERS + """
+    SELECT ord, CASE category WHEN 'Proyecto de Ley' THEN 'laws' WHEN 'Acuerdo' THEN 'agreements' ELSE 'other' END AS tab FROM d WHERE contains(number, '7') OR contains(lower(description), 'mensaje')""", "orders")
+def _(orders):
+    """The tabs of orders that a search by number and one by extract find."""
+    found = dayorders.day_orders(_landed_orders(orders), _PLAIN, _CATEGORY)
+    both = views.searched(found, "7", "number").unionByName(views.searched(found, "MENSÁJE", "description", "author")).dropDuplicates(["ord"])
+    return both.select("ord", views.order_tab(F.get(F.col("cases"), F.lit(0))["code"], {"PL": "laws", "AC": "agreements"}, "other").alias("tab"))
+
+
+@query("q7_agenda_views", """
+    SELECT event_id, ts < TIMESTAMP '2024-01-15' AS past FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0""", "events")
+def _(events):
+    k = F.col("event_id")
+    meetings = events.select("event_id", F.col("ts").alias("date"), F.when(k % 2 == 0, "asesores").otherwise("senadores").alias("section"), F.array(F.lit("Obras"), F.when(k % 3 == 0, "Salud").otherwise("Educación")).alias("bodies"))
+    return cols(views.agenda(meetings, F.lit("2024-01-15").cast("timestamp"), "EDUCACION", "asesores"), "event_id", "past")
+
+
+@query("q8_histories", """
+    SELECT o_orderkey, 'P' || o_custkey AS person, 'designated' AS part FROM orders UNION ALL SELECT o_orderkey, 'P' || o_custkey % 10, 'replaced' FROM orders WHERE o_orderkey % 3 = 0""", "orders")
+def _(orders):
+    key = F.col("o_orderkey")
+    gone = F.when(key % 3 == 0, F.concat(F.lit("P"), (F.col("o_custkey") % 10).cast("string"))).when(key % 3 == 1, "")
+    return views.histories(orders.select("o_orderkey", F.concat(F.lit("P"), as_text("o_custkey")).alias("designated"), gone.alias("replaced")), ["o_orderkey"])
+
+
 def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of last-wins, by micro-batches."""
     from ledgerloom.sources.sinks import read_snapshot
