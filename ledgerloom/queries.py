@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, lookup, merge, ordered
 from ledgerloom.plans import dayorders, flows, people, views, workbook
-from ledgerloom.sources import listings
+from ledgerloom.sources import listings, tables, workbooks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -1086,6 +1086,56 @@ def _(orders):
     return views.histories(orders.select("o_orderkey", F.concat(F.lit("P"), as_text("o_custkey")).alias("designated"), gone.alias("replaced")), ["o_orderkey"])
 
 
+def _small_workbook(batches):
+    """A workbook of each batch of orders: a title row, then key, a link as a formula, a date."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{kinds}"><sheets><sheet name="orders" sheetId="1" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships><Relationship Id="a" Type="{kinds}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+    }
+    for batch in batches:
+        rows = "".join(f'<row><c><v>{k}</v></c><c r="C9"><f>HYPERLINK("u/{k}","{k}")</f></c><c s="1"><v>{d}</v></c></row>' for k, d in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData><row><c><v>1</v></c></row>{rows}</sheetData></worksheet>")
+        yield pa.RecordBatch.from_arrays([pa.array(["p"]), pa.array([out.getvalue()])], ["path", "content"])
+
+
+@query("s8_workbook_rows", """
+    SELECT o_orderkey::VARCHAR AS number, 'u/' || o_orderkey AS url, '' AS empty, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders""", "orders")
+def _(orders):
+    """Orders written as workbooks and read back: a formula, a skipped cell, a date."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    files = orders.select("o_orderkey", days.alias("d")).mapInArrow(_small_workbook, "path string, content binary")
+    cell = lambda k: F.get(F.col("cells"), F.lit(k))
+    moment = F.get(F.col("typed"), F.lit(3))
+    rows = workbooks.data_rows(workbooks.workbook_rows(files))
+    return rows.select(cell(0).alias("number"), extract.hyperlink(cell(2))["url"].alias("url"), F.coalesce(cell(1), F.lit("")).alias("empty"), F.date_format(moment, "yyyy-MM-dd").alias("date"))
+
+
+@query("s15_table_rows", """
+    SELECT l_orderkey, l_linenumber, 0 AS tbl, 0 AS row, 'x y|' || l_partkey AS cells, NULL::VARCHAR AS error FROM lineitem WHERE l_partkey % 5 < 3
+    UNION ALL SELECT l_orderkey, l_linenumber, 0, 1, NULL, 'row' FROM lineitem WHERE l_partkey % 5 = 2
+    UNION ALL SELECT l_orderkey, l_linenumber, 1, NULL, NULL, 'table' FROM lineitem WHERE l_partkey % 5 = 1
+    UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, NULL, 'page' FROM lineitem WHERE l_partkey % 5 = 3""", "lineitem")
+def _(lineitem):
+    """Pages with a table, with one and what isn't one, with a bad row, unreadable ones and ones without tables."""
+    kind, part = F.col("l_partkey") % 5, F.col("l_partkey").cast("string")
+    row = F.concat(F.lit('["x\\n y ","'), part, F.lit('"]'))
+    text = F.when(kind == 0, F.concat(F.lit("[["), row, F.lit("]]"))).when(kind == 1, F.concat(F.lit("[["), row, F.lit('],"t"]'))).when(kind == 2, F.concat(F.lit("[["), row, F.lit(",7]]"))).when(kind == 3, "[[[").otherwise("[]")
+    found = tables.table_rows(lineitem.select("l_orderkey", "l_linenumber", text.alias("tables")), "l_orderkey", "l_linenumber", "tables")
+    return found.withColumn("cells", joined(F.col("cells")))
+
+
 def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of last-wins, by micro-batches."""
     from ledgerloom.sources.sinks import read_snapshot
