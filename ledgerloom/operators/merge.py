@@ -21,11 +21,13 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str], position: str | None = None) -> DataFrame:
-    """The last row of each key; position: gets the place of the key's first row."""
+    """The last row of each key; position: gets the place of the key's first row. Both are
+    found before the shuffle too, so a key of many rows sends one a task."""
     if position is None:
         return first_wins(df, keys, [F.col(o).desc() for o in order])
-    ranked = df.withColumn("__first", F.min(position).over(Window.partitionBy(*keys)))
-    return first_wins(ranked, keys, [F.col(o).desc() for o in order]).withColumn(position, F.col("__first")).drop("__first")
+    last = F.max_by(F.struct(*df.columns), F.struct(*order))
+    found = df.groupBy(*keys).agg(last.alias("__row"), F.min(position).alias("__first")).select("__row.*", "__first")
+    return found.withColumn(position, F.col("__first")).drop("__first")
 
 
 def priority_union(first: DataFrame, second: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1138,8 +1138,7 @@ def _(lineitem):
 
 def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of last-wins, by micro-batches."""
-    from ledgerloom.sources.sinks import read_snapshot
-    from ledgerloom.streaming.incremental import upsert_stream
+    from ledgerloom.streaming.incremental import read_upserted, upsert_stream
     import tempfile
     import uuid
 
@@ -1148,7 +1147,7 @@ def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "value", "ts")
     source.write.parquet(f"{work}/source")
     upsert_stream(spark, f"{work}/source", source.schema, f"{work}/table", f"{work}/log", ["user_id", "event_type"], ["ts", "event_id"], "event_id")
-    return read_snapshot(spark, f"{work}/table").select("user_id", "event_type", "event_id", "value", F.col("__place").alias("place"))
+    return read_upserted(spark, f"{work}/table", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value", F.col("__place").alias("place"))
 
 
 QUERIES["streaming_incremental"] = streaming_incremental

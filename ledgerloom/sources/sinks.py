@@ -23,6 +23,12 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder; one that isn't there is no error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def state_rows(df: DataFrame, id_col: str) -> DataFrame:
     """One row with the distinct ids, sorted as text."""
     return df.agg(F.array_sort(F.collect_set(F.col(id_col).cast("string"))).alias("processed"))

@@ -11,7 +11,9 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import merge
 from ledgerloom.sources import paged, tables, workbooks
+from ledgerloom.streaming import incremental
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -160,3 +162,39 @@ def test_failing_pages(spark, site):
         searched(spark, site[0], ["2004"])
     with pytest.raises(Exception, match="needs the option"):
         searched(spark, site[0], ["2001"], paging="rows")
+
+
+def test_upserts_of_many_batches_equal_the_batch_operator(spark, tmp_path):
+    schema, keys, order = "k int, g string, at int, v string", ["k", "g"], ["at", "v"]
+    rows = [(n * 7 % 5 if n % 11 else None, "ab"[n % 2], n * 13 % 37, f"v{n}") for n in range(60)]
+    source, target, log = (str(tmp_path / x) for x in ("source", "target", "checkpoint"))
+    plain = lambda df: sorted(map(repr, df.collect()))
+    for end in (30, 60):
+        for n in range(end - 30, end, 6):
+            spark.createDataFrame(rows[n : n + 6], schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.upsert_stream(spark, source, schema, target, log, keys, order, "at", compact_every=2, files=1)
+        whole = spark.createDataFrame(rows[:end], schema).withColumn("__place", F.col("at"))
+        assert plain(incremental.read_upserted(spark, target, keys, order)) == plain(merge.last_wins(whole, keys, order, "__place"))
+    left = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "target" / "log").iterdir())
+    assert left == [8, 9]
+    before = plain(incremental.read_upserted(spark, target, keys, order))
+    incremental.upsert_stream(spark, source, schema, target, log, keys, order, "at", compact_every=2, files=1)
+    assert plain(incremental.read_upserted(spark, target, keys, order)) == before
+
+
+def test_last_rows_equal_a_fold(spark):
+    rows = [(n % 3 if n % 7 else None, n * 5 % 11 if n % 4 else None, n) for n in range(40)]
+    want, first = {}, {}
+    for k, at, n in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2])):
+        want[k] = (k, at)
+        first[k] = min(n, first.get(k, n))
+    df = spark.createDataFrame(rows, "k int, at int, n int").withColumn("id", F.col("n"))
+    found = merge.last_wins(df, ["k"], ["at", "id"], "n").collect()
+    assert {r.k: (r.k, r.at) for r in found} == want and {r.k: r.n for r in found} == first and len(found) == len(want)
+    assert merge.last_wins(df.where("false"), ["k"], ["at"], "n").count() == 0
+
+
+def test_table_without_batches(spark, tmp_path):
+    with pytest.raises(ValueError, match="no table"):
+        incremental.read_upserted(spark, str(tmp_path), ["k"], ["k"])
+    assert incremental.read_upserted(spark, str(tmp_path), ["k"], ["k"], "k int, __place int").count() == 0
