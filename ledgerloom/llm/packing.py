@@ -43,11 +43,13 @@ class WordTokenizer:
 
     A tokenizer that composes, lower-cases and splits as above never joins ids across
     ASCII white space, so each word between such spaces is encoded once and remembered;
-    and it starts a new unit at the punctuation that follows a plain letter, so words
-    are remembered without it. Any other tokenizer encodes whole texts.
+    and it starts a new unit at the punctuation that follows a plain letter and lowers
+    such letters one by one, so words are encoded without it and in lower case. Any other
+    tokenizer encodes whole texts.
     """
 
-    MARKS = b".,;:!?"
+    #: Punctuation without apostrophes, which begin contractions, and what added tokens are made of.
+    MARKS = b".,;:!?*$&#%@~^_=+-/\\\"()[]{}`"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,25 +84,37 @@ class WordTokenizer:
     def _batch(self, words: list[bytes]) -> list:
         return self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
 
+    @staticmethod
+    def _lowered(word: bytes) -> bytes:
+        """A word of plain letters in lower case, any other as it is."""
+        if word.isalpha():
+            return word.lower()
+        text = word.decode("utf-8", "replace")
+        return "".join(map(str.lower, text)).encode() if all(map(_plain_letter, text)) else word
+
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of new words: those of what stands before trailing marks, and of the marks."""
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        known, cut, new = self.known, [], set()
+        """Ids of new words: those of what stands before trailing marks, in lower case, and of the marks."""
+        known, cut, new, long, marked = self.known, [], set(), [], frozenset(self.MARKS)
         for w in words:
-            core = w.rstrip(self.MARKS) if w[-1] in self.MARKS else w
-            if core and core is not w and (core[-1:].isalpha() or core[-1] > 127 and _plain_letter(core.decode("utf-8", "replace")[-1])):
-                marks = w[len(core) :]
-                cut.append((w, core, marks))
-                if core not in known:
-                    new.add(core)
-                if marks not in known:
-                    new.add(marks)
-            else:
+            if w.isalpha() and w.islower():
                 new.add(w)
-        found = self._encode(list(new))
-        known.update((w, found[w]) for w in words if w in found)
-        known.update([(w, (found.get(core) or known[core]) + (found.get(marks) or known[marks])) for w, core, marks in cut])
+                continue
+            core = w.rstrip(self.MARKS) if w[-1] in marked else w
+            if not (core and (core[-1:].isalpha() or core[-1] > 127 and _plain_letter(core.decode("utf-8", "replace")[-1]))):
+                core = w
+            low, marks = self._lowered(core), w[len(core) :]
+            cut.append((w, low, marks))
+            if low not in known:
+                new.add(low)
+            if marks and marks not in known:
+                new.add(marks)
+            if len(w) > CACHED_BYTES:
+                long += low, marks
+        known.update(self._encode(list(new)))
+        known.update([(w, known[low] + known[marks] if marks else known[low]) for w, low, marks in cut])
+        for part in long:
+            if len(part) > CACHED_BYTES and part not in words:
+                known.pop(part, None)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
@@ -113,7 +127,8 @@ class WordTokenizer:
             words, known = set().union(*split), self.known
             new = words.difference(known)
             if new:
-                if len(known) + len(new) > CACHED_WORDS:
+                # A word may come with its lower case, and with marks.
+                if len(known) + 2 * len(new) > CACHED_WORDS:
                     known.clear()
                     new = words
                 self._learn(new)
@@ -140,6 +155,7 @@ def _by_word(config: dict) -> bool:
     )
 
 
+@lru_cache(maxsize=4096)
 def _plain_letter(c: str) -> bool:
     """Of the scripts below U+0500, which every table of letters has, a letter that neither composition nor lower case splits or joins."""
     return c < "\u0500" and category(c)[0] == "L" and len(c.lower()) == 1 and category(c.lower())[0] == "L" and is_normalized("NFC", c + c.lower())

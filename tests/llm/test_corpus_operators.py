@@ -104,6 +104,23 @@ def test_word_tokenizer_equals_the_plain_one_for_every_code_point():
             assert np.frombuffer(found, dtype="<u2").tolist() == w.ids, repr(text)
 
 
+def test_marks_and_capitals_equal_the_plain_tokenizer(monkeypatch):
+    """Words with each mark, capitals that lower in several ways, empty ids, very long words; with a cache that is cleared all the time too."""
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(TOKENIZER), random.Random(3)
+    words = ("ab", "AB", "É", "Ñandú", "ΣΑΣ", "İx", "ǅ", "it's", "d'l", "x<|", "<|endoftext|>", "á", "a\u0301", "5", "\u3000")
+    texts = [f"{w}{m} {w}{m}{m}. É{w}{m}" for m in packing.WordTokenizer.MARKS.decode() for w in words]
+    texts += ["".join(rng.choice("abAB éÉÑßİıΣς'*$&#/\\()<|>.,!\u0338\u0301 \t\u3000१2한") for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    texts += ["W" * 100_000 + "*** é" + "Ä" * 50_000 + "$$", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for cached in (packing.CACHED_WORDS, 50):
+        monkeypatch.setattr(packing, "CACHED_WORDS", cached)
+        own = packing.WordTokenizer(TOKENIZER)
+        assert [np.frombuffer(x, dtype="<u2").tolist() for x in own.encode([t.encode() for t in texts])] == want
+        assert max(map(len, own.known)) <= packing.CACHED_BYTES
+
+
 def test_other_tokenizers_encode_whole_texts():
     from tokenizers import Tokenizer
 
