@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._shared import written
-from ledgerloom.llm import exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
+from ledgerloom.llm import exact_dedup, fingerprints, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited(table(spark, sf_dir, "documents")).withColumn("edited_fingerprint", fingerprints.fingerprint(F.col("edited")))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.printed(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.printed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +92,7 @@ QUERIES = {
     "op8_exact_topk_search": op8_exact_topk_search,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {10 * w + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for w in range(4) for i in range(8))
@@ -135,4 +149,23 @@ SQL = {
                 len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('17:' || doc_id || ':' || i), 1, 13))::BIGINT / pow(2, 52))))) AS n
             FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source)
         SELECT doc_id, source, unnest(range(0, n::BIGINT))::INT AS copy_no, text FROM c""",
+    "op12_fingerprints": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS a, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
+        x AS (SELECT *, length(a) // 2 AS half, coalesce(lead(a) OVER (ORDER BY pos), first(a) OVER (ORDER BY pos)) AS following, coalesce(lead(pos) OVER (ORDER BY pos), 1) AS next_pos FROM d),
+        e AS (SELECT *, left(a, length(a) - half) || left(following, half) AS b FROM x),
+        t AS (SELECT pos, 0 AS v, a AS t FROM e UNION ALL SELECT pos, 1, b FROM e),
+        w AS (SELECT pos, v, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+        s AS (SELECT pos, v, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT pos, v, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+        b AS (SELECT pos, v, ('0x' || left(h, 2))::INT AS bin, right(min(h), 1) AS digit FROM s GROUP BY pos, v, bin),
+        j AS (SELECT pos, v, unnest(range(256)) AS j FROM (SELECT DISTINCT pos, v FROM b)),
+        gaps AS (SELECT j.* FROM j ANTI JOIN b ON b.pos = j.pos AND b.v = j.v AND b.bin = j.j),
+        probes AS (SELECT j, t, (j * (('0x' || left(md5(t::VARCHAR), 2))::INT | 1) + ('0x' || substr(md5(t::VARCHAR), 3, 2))::INT) % 256 AS s FROM range(256) x(j), range(48) y(t)),
+        early AS (SELECT g.pos, g.v, g.j, arg_min(b.digit, p.t) AS digit FROM gaps g JOIN probes p USING (j) JOIN b ON b.pos = g.pos AND b.v = g.v AND b.bin = p.s GROUP BY ALL),
+        late AS (SELECT g.pos, g.v, g.j, arg_min(b.digit, md5(g.j || '~' || b.bin)) AS digit FROM (SELECT * FROM gaps ANTI JOIN early USING (pos, v, j)) g JOIN b ON b.pos = g.pos AND b.v = g.v GROUP BY ALL),
+        f AS (SELECT pos, v, string_agg(digit, '' ORDER BY j) AS f FROM (SELECT pos, v, bin AS j, digit FROM b UNION ALL SELECT * FROM early UNION ALL SELECT * FROM late) GROUP BY pos, v),
+        r AS (SELECT e.*, coalesce(p.f, '') AS fa, coalesce(q.f, '') AS fb, coalesce(n.f, '') AS fn FROM e LEFT JOIN f p ON p.pos = e.pos AND p.v = 0 LEFT JOIN f q ON q.pos = e.pos AND q.v = 1 LEFT JOIN f n ON n.pos = e.next_pos AND n.v = 0)
+        SELECT doc_id, length(a) AS n_chars, sha256(b) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+               CASE WHEN fa = fb THEN 1.0::DOUBLE WHEN fa = '' OR fb = '' THEN 0.0 ELSE greatest(0.0::DOUBLE, (len(list_filter(range(1, 257), lambda i: fa[i] = fb[i])) / 256.0::DOUBLE - 0.0625::DOUBLE) / 0.9375::DOUBLE) END AS near_edited,
+               CASE WHEN fa = fn THEN 1.0::DOUBLE WHEN fa = '' OR fn = '' THEN 0.0 ELSE greatest(0.0::DOUBLE, (len(list_filter(range(1, 257), lambda i: fa[i] = fn[i])) / 256.0::DOUBLE - 0.0625::DOUBLE) / 0.9375::DOUBLE) END AS near_next
+        FROM r""",
 }
