@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._shared import written
-from ledgerloom.llm import exact_dedup, fingerprints, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, warc
+from ledgerloom.llm import exact_dedup, fingerprints, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "op12_fingerprints": op12_fingerprints,
+    "op13_variants": op13_variants,
 }
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {10 * w + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for w in range(4) for i in range(8))
@@ -168,4 +173,20 @@ SQL = {
                CASE WHEN fa = fb THEN 1.0::DOUBLE WHEN fa = '' OR fb = '' THEN 0.0 ELSE greatest(0.0::DOUBLE, (len(list_filter(range(1, 257), lambda i: fa[i] = fb[i])) / 256.0::DOUBLE - 0.0625::DOUBLE) / 0.9375::DOUBLE) END AS near_edited,
                CASE WHEN fa = fn THEN 1.0::DOUBLE WHEN fa = '' OR fn = '' THEN 0.0 ELSE greatest(0.0::DOUBLE, (len(list_filter(range(1, 257), lambda i: fa[i] = fn[i])) / 256.0::DOUBLE - 0.0625::DOUBLE) / 0.9375::DOUBLE) END AS near_next
         FROM r""",
+    "op13_variants": r"""
+        WITH RECURSIVE tab AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab FROM range(256) x(b)),
+        r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        x AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r WHERE length(run) >= 7),
+        h AS (SELECT run, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM x, tab),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+        v AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+        p AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        g AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || '*' || substr(word, i + 1) AS k, left(word, i - 1) || substr(word, i + 1) AS shorter FROM p),
+        e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+              UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.shorter
+              UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.shorter),
+        b AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n, min(near) FILTER (near_n = top) AS near FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM e) GROUP BY word),
+        f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+        c AS (SELECT word, word AS root, 0 AS d FROM f UNION ALL SELECT c.word, f.form, d + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT word, n, n_near, form, form_n, (SELECT arg_max(c.root, c.d) FROM c WHERE c.word = f.word) AS root FROM f""",
 }
