@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._shared import written
-from ledgerloom.llm import exact_dedup, fingerprints, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, topk_search, toxicity, variants, warc
+from ledgerloom.llm import exact_dedup, fingerprints, jaccard_join, lm_scoring, mixing, packing, phrases, quality, substring_dedup, topk_search, toxicity, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edited(table(spark, sf_dir, "documents")).withColumn("edited_fingerprint", fingerprints.fingerprint(F.col("edited")))
     return found.select(
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_exact_topk_search": op8_exact_topk_search,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
     "op12_fingerprints": op12_fingerprints,
     "op13_variants": op13_variants,
 }
@@ -154,6 +159,20 @@ SQL = {
                 len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('17:' || doc_id || ':' || i), 1, 13))::BIGINT / pow(2, 52))))) AS n
             FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source)
         SELECT doc_id, source, unnest(range(0, n::BIGINT))::INT AS copy_no, text FROM c""",
+    "op11_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+        w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) t(k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+              FROM c JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(c.w[:cut], ' ')
+              JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        h AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT DISTINCT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+        r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longest IS NULL OR 100 * longest < 50 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_fingerprints": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS a, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
         x AS (SELECT *, length(a) // 2 AS half, coalesce(lead(a) OVER (ORDER BY pos), first(a) OVER (ORDER BY pos)) AS following, coalesce(lead(pos) OVER (ORDER BY pos), 1) AS next_pos FROM d),
