@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.html import attribute, decoded, elements, every, hrefs, let, named, tag_text, within
 from ledgerloom.functions.text import squash, strip
 from ledgerloom.functions.values import found, has_surname
 
@@ -15,44 +16,52 @@ AGENDA_CODE = r"\b([A-ZÑ]{1,3}(?:\.[A-ZÑ]{1,2})?-\d+/\d+)\b"
 CASE_LINK = r"(?i)/verExp/(\d+)\.(\d+)/([A-Z0-9.]+)/([A-Z0-9]+)"
 
 
-def every(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-
-
 def plain_text(html: Column) -> Column:
-    """HTML without tags and with the common entities resolved."""
-    text = F.regexp_replace(html, r"(?is)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return squash(text)
+    """HTML without tags, references resolved, white space squashed; null as empty."""
+    return squash(decoded(tag_text(html)))
 
 
 def links(df: DataFrame, id_col: str, html: str) -> DataFrame:
     """id, pos, href of each link, in order."""
-    return df.select(id_col, F.posexplode(every(F.col(html), r"""(?i)href\s*=\s*["']([^"']*)["']""")).alias("pos", "href"))
+    return df.select(id_col, F.posexplode(hrefs(F.col(html))).alias("pos", "href"))
 
 
 def tables(html: Column) -> Column:
-    """The tables of a page, as array of (rows, html); nested tables end the outer one."""
-    return F.transform(every(html, r"(?is)(<table\b.*?</table>)"), lambda t: F.struct(F.size(every(t, r"(?i)(<tr\b)")).alias("rows"), t.alias("html")))
+    """The tables of a page, as array of (rows, html), nested ones after the table that
+    holds them; a table's rows are also those of tables within it."""
+    table = lambda found, t: F.struct(F.size(within(found, t, "tr")).alias("rows"), F.concat(t["tag"], t["inner"], F.lit("</table>")).alias("html"))
+    return let(elements(html), lambda found: F.transform(named(found, "table"), lambda t: table(found, t)))
 
 
 def largest_table(html: Column) -> Column:
     """The table with most rows, the first of equals; null without one."""
-    t = tables(html)
-    most = F.array_max(F.transform(t, lambda x: x["rows"]))
-    return F.get(F.filter(t, lambda x: x["rows"] == most), F.lit(0))["html"]
+    most = lambda t: F.array_max(F.transform(t, lambda x: x["rows"]))
+    return let(tables(html), lambda t: F.get(F.filter(t, lambda x: x["rows"] == most(t)), F.lit(0))["html"])
+
+
+def table_where(found: Column, name: str, wanted) -> Column:
+    """Of ``tables`` the first whose attribute of that name is as wanted; null without one."""
+    return F.get(F.filter(found, lambda x: F.coalesce(wanted(attribute(x["html"], name)), F.lit(False))), F.lit(0))["html"]
 
 
 def table_by_summary(html: Column, text: str) -> Column:
     """The first table whose summary holds a text, whatever its case."""
-    summary = lambda x: F.upper(F.regexp_extract(x, r"""(?is)^<table\b[^>]*\bsummary\s*=\s*["']([^"']*)""", 1))
-    return F.get(F.filter(F.transform(tables(html), lambda x: x["html"]), lambda x: F.contains(summary(x), F.lit(text.upper()))), F.lit(0))
+    return let(tables(html), lambda found: with_summary(found, text))
+
+
+def with_summary(found: Column, text: str) -> Column:
+    """The same of ``tables``."""
+    return table_where(found, "summary", lambda s: F.contains(F.upper(s), F.lit(text.upper())))
+
+
+def row_cells(html: Column, *kinds: str) -> Column:
+    """array<array<string>>: the HTML of the cells of each row, those of nested tables too."""
+    return let(elements(html), lambda found: F.transform(named(found, "tr"), lambda r: F.transform(within(found, r, *kinds), lambda c: c["inner"])))
 
 
 def cells(table: Column) -> Column:
-    """array<array<string>>: the HTML of the cells of each row."""
-    return F.transform(every(table, r"(?is)<tr\b[^>]*>(.*?)</tr>"), lambda r: every(r, r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"))
+    """The HTML of the cells of each row, headings too."""
+    return row_cells(table, "td", "th")
 
 
 def table_rows(df: DataFrame, id_col: str, table: Column, least_cells: int) -> DataFrame:
@@ -76,32 +85,51 @@ def case_link(href: Column) -> Column:
 
 def body_rows(table: Column) -> Column:
     """array<array<string>>: the texts of the td cells of each row that has some."""
-    rows = F.transform(every(table, r"(?is)<tr\b[^>]*>(.*?)</tr>"), lambda r: F.transform(every(r, r"(?is)<td\b[^>]*>(.*?)</td>"), plain_text))
-    return F.filter(rows, lambda r: F.size(r) > 0)
+    return F.filter(F.transform(row_cells(table, "td"), lambda r: F.transform(r, plain_text)), lambda r: F.size(r) > 0)
 
 
 def three_state(table: Column, header: str) -> Column:
     """struct(known, date) of the first row's cell under the header of that name: null
     without table, header, row or cell, false without a date in it."""
-    names = F.transform(every(table, r"(?is)<th\b[^>]*>(.*?)</th>"), lambda h: F.upper(plain_text(h)))
-    at = F.array_position(names, F.lit(header.upper()))
-    cell = F.when(at > 0, F.get(F.get(body_rows(table), F.lit(0)), (at - 1).cast("int")))
-    date = found(cell, r"(\d{2}-\d{2}-\d{4})")
-    return F.struct(F.when(cell.isNotNull(), date.isNotNull()).alias("known"), F.translate(date, "-", "/").alias("date"))
+
+    def of(e: Column) -> Column:
+        at = F.array_position(F.transform(named(e, "th"), lambda h: F.upper(plain_text(h["inner"]))), F.lit(header.upper())).cast("int")
+        first = F.get(F.filter(F.transform(named(e, "tr"), lambda r: within(e, r, "td")), lambda r: F.size(r) > 0), F.lit(0))
+        return let(F.struct(at.alias("at"), first.alias("row")), lambda p: F.when(p["at"] > 0, plain_or_null(F.get(p["row"], p["at"] - 1)["inner"])))
+
+    plain_or_null = lambda h: F.when(h.isNotNull(), plain_text(h))
+    dated = lambda c: F.struct(c.alias("cell"), found(c, r"(\d{2}-\d{2}-\d{4})").alias("date"))
+    state = lambda p: F.struct(F.when(p["cell"].isNotNull(), p["date"].isNotNull()).alias("known"), F.translate(p["date"], "-", "/").alias("date"))
+    return let(let(let(elements(table), of), dated), state)
 
 
 def bodies_of_page(html: Column) -> Column:
     """Committees of the table of referrals, in order, without their place in the order."""
-    rows = body_rows(table_by_summary(html, "GIROS DEL EXPEDIENTE"))
-    first = F.transform(rows, lambda r: strip(F.regexp_replace(F.get(r, F.lit(0)), r"(?s)ORDEN DE GIRO:.*$", "")))
+    return bodies_of(table_by_summary(html, "GIROS DEL EXPEDIENTE"))
+
+
+def bodies_of(table: Column) -> Column:
+    first = F.transform(body_rows(table), lambda r: strip(F.regexp_replace(F.get(r, F.lit(0)), r"(?s)ORDEN DE GIRO:.*$", "")))
     return F.coalesce(F.filter(first, lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def law_of_page(html: Column) -> Column:
     """struct(number, date) of the table of the law that a record became; without a number both are null."""
-    text = plain_text(table_by_summary(html, "SANCION DE LEY"))
-    number = found(text, r"NUMERO DE LEY:\s*(\d+)")
-    return F.struct(number.alias("number"), F.when(number.isNotNull(), F.translate(found(text, r"FECHA DE SANCION:\s*(\d{2}-\d{2}-\d{4})"), "-", "/")).alias("date"))
+    return law_of(table_by_summary(html, "SANCION DE LEY"))
+
+
+def law_of(table: Column) -> Column:
+    parts = lambda t: F.struct(found(t, r"NUMERO DE LEY:\s*(\d+)").alias("number"), found(t, r"FECHA DE SANCION:\s*(\d{2}-\d{2}-\d{4})").alias("date"))
+    dated = lambda p: F.struct(p["number"].alias("number"), F.when(p["number"].isNotNull(), F.translate(p["date"], "-", "/")).alias("date"))
+    return let(let(plain_text(table), parts), dated)
+
+
+def authors_of_page(html: Column) -> Column:
+    """Names of the persons that a page links to: the link's title, else its text."""
+    person = lambda a: F.coalesce(F.contains(attribute(a["tag"], "href"), F.lit("/senadores/senador/")), F.lit(False))
+    name = lambda a: let(strip(F.coalesce(attribute(a["tag"], "title"), F.lit(""))), lambda t: F.when(t != "", t).otherwise(plain_text(a["inner"])))
+    names = F.transform(F.filter(elements(html, ("a",)), person), name)
+    return F.coalesce(F.filter(names, lambda n: n != ""), F.array().cast("array<string>"))
 
 
 def record_page(html: Column) -> Column:
@@ -109,29 +137,29 @@ def record_page(html: Column) -> Column:
     lapsed_on, enacted, law, law_date, announced and announced_on. A lapsed record is
     archived too. A null page has no authors and bodies, is none of these, and its
     announcement is unknown."""
-    link = r"""(?is)(<a\b[^>]*href\s*=\s*["'][^"']*/senadores/senador/[^>]*>.*?</a>)"""
-    title = lambda a: strip(F.regexp_extract(a, r"""(?is)^<a\b[^>]*\btitle\s*=\s*["']([^"']*)""", 1))
-    names = F.transform(every(html, link, 1), lambda a: F.when(title(a) != "", title(a)).otherwise(plain_text(a)))
     day = lambda text, before: F.translate(found(text, before + r"\s*(\d{2}-\d{2}-\d{4})"), "-", "/")
     entry = lambda text: F.coalesce(found(text, r"D\.A\.E\.\s*(\d+/\d{4})"), found(text, r"(\d+/\d{4})\s*Tipo:"), F.lit(""))
-    # Bound by transforms of one item, parts of the page are worked out once.
-    let = lambda value, body: F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
     from_text = lambda t: F.struct(entry(t).alias("entry"), day(t, r"(?i)ENVIADO AL ARCHIVO\s*:").alias("archived"), day(t, r"(?i)EL EXPEDIENTE CADUCO EL").alias("lapsed"))
-    desk = let(table_by_summary(html, "FECHAS EN MESA DE ENTRADAS"), lambda t: three_state(t, "DADO CUENTA"))
-    parts = F.struct(let(plain_text(html), from_text).alias("t"), law_of_page(html).alias("law"), desk.alias("desk"), names.alias("names"))
+    # Parts of the page are worked out once.
+    from_tables = lambda t: F.struct(
+        law_of(with_summary(t, "SANCION DE LEY")).alias("law"),
+        three_state(with_summary(t, "FECHAS EN MESA DE ENTRADAS"), "DADO CUENTA").alias("desk"),
+        bodies_of(with_summary(t, "GIROS DEL EXPEDIENTE")).alias("bodies"),
+    )
+    parts = F.struct(let(plain_text(html), from_text).alias("t"), let(tables(html), from_tables).alias("k"), authors_of_page(html).alias("authors"))
     given = lambda p: F.struct(
-        F.coalesce(F.filter(p["names"], lambda n: n != ""), F.array().cast("array<string>")).alias("authors"),
-        bodies_of_page(html).alias("bodies"),
+        p["authors"].alias("authors"),
+        p["k"]["bodies"].alias("bodies"),
         p["t"]["entry"].alias("entry"),
         (p["t"]["archived"].isNotNull() | p["t"]["lapsed"].isNotNull()).alias("archived"),
         p["t"]["archived"].alias("archived_on"),
         p["t"]["lapsed"].isNotNull().alias("lapsed"),
         p["t"]["lapsed"].alias("lapsed_on"),
-        p["law"]["number"].isNotNull().alias("enacted"),
-        p["law"]["number"].alias("law"),
-        p["law"]["date"].alias("law_date"),
-        p["desk"]["known"].alias("announced"),
-        p["desk"]["date"].alias("announced_on"),
+        p["k"]["law"]["number"].isNotNull().alias("enacted"),
+        p["k"]["law"]["number"].alias("law"),
+        p["k"]["law"]["date"].alias("law_date"),
+        p["k"]["desk"]["known"].alias("announced"),
+        p["k"]["desk"]["date"].alias("announced_on"),
     )
     return let(parts, given)
 

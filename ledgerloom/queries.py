@@ -1152,3 +1152,57 @@ def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["streaming_incremental"] = streaming_incremental
 SQL["streaming_incremental"] = SQL["d2_last_wins_first_pos"]
+
+# ---- pages with references, nested tables and attributes of any kind
+
+
+@query("x1_result_rows", """
+    SELECT o_orderkey, 0 AS row_no, o_orderkey AS number, (2000 + o_custkey % 30)::INT AS year, 'PL' AS kind, 'S&Ñ' AS origin, '01/02' AS date, 'Educación ' || o_orderpriority || 'no' AS extract,
+    'b/exp?n=' || o_orderkey || '&y=1' AS url, 'PEZ: Educación ' || o_orderpriority || 'no' AS title FROM orders WHERE o_orderkey % 4 = 0
+    UNION ALL SELECT o_orderkey, 2, o_custkey, 1999, 'PD', 'x', '', 'a > b', 'http://h/' || o_custkey, 'a > b' FROM orders WHERE o_orderkey % 4 < 2""", "orders")
+def _(orders):
+    """A row that holds a table of its own, links without quotes; rows of other kinds, without links or with few cells don't count."""
+    key, cust = F.col("o_orderkey"), as_text("o_custkey")
+    year = F.lpad((F.col("o_custkey") % 30).cast("string"), 2, "0")
+    kind = F.when(key % 4 == 0, "PL").otherwise("XX")
+    first = F.concat(F.lit("<tr><td> <a title='a > b' href=/exp?n="), as_text("o_orderkey"), F.lit("&amp;y=1><b>"), as_text("o_orderkey"), F.lit("</b>/"), year, F.lit("</a></td><td>"), kind, F.lit("</td><td>S&amp;&Ntilde;</td><td>?</td><td>01&#47;02</td><td>PEZ: Educaci&oacute;n "), F.col("o_orderpriority"), F.lit("<table><tr><td>no</table></td></tr>"))
+    second = F.concat(F.lit('<TR class="r"><td><A HREF="http://h/'), cust, F.lit('">'), cust, F.lit("/1999</a><td>PD<td>x<td><td><td>a &gt; b</tr><tr><td>3/24</td><td>PL</td></tr>"))
+    # Cells without end tags hold those after them, so the second row is given with them here.
+    second = F.replace(F.replace(second, F.lit("</a><td>PD<td>x<td><td><td>"), F.lit("</a></td><td>PD</td><td>x</td><td/><td></td><td>")), F.lit("b</tr>"), F.lit("b</td></tr>"))
+    page = F.concat(F.lit("<!-- <table><tr><tr><tr><tr><tr> --><table><tr><th>1</table><script>var t = '<table>';</script><table id=r>"), first, F.when(key % 4 < 2, second).otherwise("<tr><td>5/24</td><td>PL</td><td/><td/><td/><td>t</td></tr>"), F.lit("</table>"))
+    return listings.result_rows(orders.select("o_orderkey", page.alias("html")), "o_orderkey", "html", "b", ("PL", "PD"))
+
+
+@query("x2_order_rows", """
+    SELECT o_orderkey, 0 AS row_no, o_orderkey::INT AS number, 2026 AS year, CASE o_orderkey % 3 WHEN 0 THEN 'A' ELSE 'N' END AS kind, 'b/od/' || o_orderkey || '?a=1&b=ñ' AS url,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '/2025 PE PL b/verExp/' || o_custkey || '.25/P.E/PL|' ELSE '' END || '7/2024 S AC http://h/verExp/7.24/S/AC' AS cases FROM orders WHERE o_orderkey % 5 > 0""", "orders")
+def _(orders):
+    key = F.col("o_orderkey")
+    case = F.when(key % 2 == 0, F.concat(F.lit("<a href='/verExp/"), as_text("o_custkey"), F.lit(".25/P.E/PL'>x</a>"))).otherwise("<a name=y>y</a>")
+    mark = F.when(key % 3 == 0, "&#40;A&rpar;").otherwise("")
+    row = F.concat(F.lit("<tr><td>O.D.&nbsp;"), as_text("o_orderkey"), F.lit(" &sol; 2026 "), mark, F.lit("</td><td>"), case, F.lit('<a href="/otro">o</a> <a href="http://h/verExp/7.24/S/AC">z</a></td><td>x</td><td><a href=/od/'), as_text("o_orderkey"), F.lit("?a=1&amp;b=&ntilde;>pdf</a></td></tr>"))
+    page = F.concat(F.lit("<table class='plain'><tbody><tr><td>1/1</td><td/><td/><td/></tr></tbody></table><table class=\"table table-bordered x\"><thead><tr><th>9/9</th></tr></thead><tbody>"), row, F.lit("<tr><td>sin</td><td/><td/><td/></tr></tbody></table>"))
+    found = listings.order_rows(orders.select("o_orderkey", F.when(key % 5 > 0, page).otherwise("<table class=table-bordered></table>").alias("html")), "o_orderkey", "html", "b")
+    shown = F.transform("cases", lambda c: F.concat(c["number"].cast("string"), F.lit("/"), c["year"].cast("string"), F.lit(" "), c["origin"], F.lit(" "), c["kind"], F.lit(" "), c["url"]))
+    return found.withColumn("cases", joined(shown))
+
+
+@query("x8_page_references", """
+    SELECT o_orderkey, 'MUÑOZ, ' || o_orderpriority || '|Núñez & Ana' AS authors, 'DE EDUCACIÓN Y "CULTURA"|DE ' || o_orderstatus AS bodies, o_custkey || '/2026' AS entry FROM orders""", "orders")
+def _(orders):
+    people = F.concat(F.lit('<a title="MU&Ntilde;OZ, '), F.col("o_orderpriority"), F.lit('" href=/senadores/senador/1>x</a><a href="/senadores/senador/2?a=1&amp;b=2" title="">N&uacute;&#xF1;ez <i>&amp;</i> Ana</a>'))
+    giros = F.concat(F.lit("<table><tr><td><table summary='GIROS DEL EXPEDIENTE &raquo;'><tr><th>c</th></tr><tr><td>DE EDUCACI&Oacute;N Y &quot;CULTURA&quot; ORDEN DE GIRO: 1</td><td>z</td></tr><tr><td>DE "), F.col("o_orderstatus"), F.lit("</td></tr></table></td></tr></table>"))
+    page = F.concat(people, giros, F.lit("<p>D&#46;A.E.&nbsp;"), as_text("o_custkey"), F.lit("&sol;2026</p>"))
+    found = orders.select("o_orderkey", extract.record_page(page).alias("p"))
+    return found.select("o_orderkey", joined(F.col("p.authors")).alias("authors"), joined(F.col("p.bodies")).alias("bodies"), "p.entry")
+
+
+@query("s3_s4_references", """
+    SELECT o_orderkey, 'b/descargarBoletinReunion/' || o_orderkey || '?a=1&b=2' AS bulletin, 'N° ' || o_custkey AS number, 'b/d/' || o_orderkey || '?x=1&y=ñ' AS decree, 'Comisión "de" ' || o_orderstatus AS topic FROM orders""", "orders")
+def _(orders):
+    key = as_text("o_orderkey")
+    row = F.concat(F.lit("<table><tr><td>N&deg;&#160;"), as_text("o_custkey"), F.lit("</td><td><table><tr><td></td></tr></table><a href=/descargarBoletinReunion/"), key, F.lit("?a=1&amp;b=2>see</a></td></tr></table>"))
+    decree = F.concat(F.lit("<table><tr><td>1</td><td>Comisi&oacute;n &quot;de&quot; "), F.col("o_orderstatus"), F.lit("</td><td></td><td>D&#49;</td><td><a href=/d/"), key, F.lit("?x=1&amp;y=&ntilde;>pdf</a></td></tr><tr></tr><tr></tr></table>"))
+    links = listings.bulletin_links(orders.select("o_orderkey", row.alias("html")), "o_orderkey", "html", "b")
+    decrees = listings.decree_rows(orders.select("o_orderkey", decree.alias("html")), "o_orderkey", "html", "b")
+    return links.select("o_orderkey", F.col("url").alias("bulletin"), "number").join(decrees.select("o_orderkey", F.col("url").alias("decree"), "topic"), "o_orderkey")
