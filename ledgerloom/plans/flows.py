@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import roster_key, surname_first
+from ledgerloom.functions.text import roster_key, squash, surname_first
 from ledgerloom.functions.values import leading_int, meeting_kind
 from ledgerloom.operators import extract, lookup, merge, ordered
 
@@ -30,19 +30,40 @@ def full_reload(rows: DataFrame, kinds: list[str], keys: list[str], order: list[
 
 
 def agenda_log(rows: DataFrame, by: str, order: str, cells: str) -> DataFrame:
-    """Meetings of tabular bulletins from landed rows (by, order, section, cells): the
-    header row opens a group, the first row with a time is the meeting, later rows are
-    its agenda."""
-    first = F.get(F.col(cells), F.lit(0))
-    header = F.exists(cells, lambda c: F.upper(c).startswith("COMISI")) & F.exists(cells, lambda c: F.upper(c).startswith("FECHA"))
-    timed = F.exists(cells, lambda c: c.rlike(r"\b\d{1,2}:\d{2}\b"))
-    text = F.nullif(F.array_join(F.filter(cells, lambda c: F.btrim(c) != ""), " "), F.lit(""))
-    item = F.when(F.upper(first) != "TEMARIO", text)
-    grouped = ordered.sessionize(rows, [by], [order], header, timed, item)
-    meeting = rows.select(F.col(by).alias("__b"), F.col(order).alias("first_order"), F.col("section"), F.col(cells).alias("meeting"))
-    joined = grouped.join(meeting, (grouped[by] == F.col("__b")) & (grouped["first_order"] == meeting["first_order"])).drop("__b").drop(meeting["first_order"])
-    agenda = F.array_join(F.transform("items", lambda i: i["item"]), " ")
-    return joined.withColumn("agenda", extract.agenda_items(agenda)).withColumn("kind", meeting_kind(F.col("section"), F.col("meeting")))
+    """Meetings of tabular bulletins from landed rows (by, order, section, cells): by,
+    meeting_no (from 1), section, day, date, time, mode, bodies, room, full_room, agenda
+    and kind.
+
+    A row whose cells name a date and a time is a header; the places of its columns hold
+    until the next one, in whatever order and with whatever cells between. The first row
+    after it that has a clock time in the time column is the meeting, in the header's
+    section; the first cells of later rows are its agenda. Columns that a header doesn't
+    name are empty; rows before a header or without cells don't count.
+    """
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    places = extract.column_map(F.col(cells))
+    marked = rows.where(F.size(cells) > 0).withColumn("__p", places)
+    header = F.col("__p.date").isNotNull() & F.col("__p.time").isNotNull()
+    carried = marked.select(
+        by, F.col(order).alias("__o"), F.col(cells).alias("__c"), header.alias("__h"), F.sum(header.cast("int")).over(w).alias("meeting_no"),
+        F.last(F.when(header, F.struct("__p", "section")), ignorenulls=True).over(w).alias("__m"),
+    ).where("meeting_no > 0 AND NOT __h")
+    cell = lambda name: F.coalesce(F.get(F.col("__c"), F.col(f"__m.__p.{name}")), F.lit(""))
+    time, first = squash(cell("time")), F.get(F.col("__c"), F.lit(0))
+    item = F.when(~squash(first).isin("") & (F.upper(squash(first)) != "TEMARIO"), first)
+    read = carried.select(
+        by, "meeting_no", "__o", F.col("__m.section").alias("section"), F.when(time.rlike(r"^\d{1,2}:\d{2}$"), time).alias("time"), item.alias("__item"),
+        extract.day_cell(cell("date")).alias("__d"), extract.body_cell(cell("body")).alias("__b"), extract.room_cell(cell("room")).alias("__r"),
+    )
+    row = F.struct("__o", "section", "time", "__d", "__b", "__r")
+    found = read.groupBy(by, "meeting_no").agg(F.min(F.when(F.col("time").isNotNull(), row)).alias("__m"), F.array_sort(F.collect_list(F.when(F.col("__item").isNotNull(), F.struct("__o", "__item")))).alias("__i")).where("__m IS NOT NULL")
+    later = F.filter("__i", lambda i: i["__o"] > F.col("__m.__o"))
+    agenda = F.array_join(F.transform(later, lambda i: i["__item"]), "\n")
+    number = F.row_number().over(Window.partitionBy(by).orderBy("meeting_no"))
+    return found.select(
+        by, number.alias("meeting_no"), "__m.section", "__m.__d.day", "__m.__d.date", "__m.time", "__m.__b.mode", "__m.__b.bodies", "__m.__r.room", F.col("__m.__r.full").alias("full_room"),
+        extract.agenda_items(agenda).alias("agenda"), meeting_kind(F.col("__m.section"), F.col("__m.__b.bodies")).alias("kind"),
+    )
 
 
 def session_header(cells: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
@@ -1206,3 +1206,29 @@ def _(orders):
     links = listings.bulletin_links(orders.select("o_orderkey", row.alias("html")), "o_orderkey", "html", "b")
     decrees = listings.decree_rows(orders.select("o_orderkey", decree.alias("html")), "o_orderkey", "html", "b")
     return links.select("o_orderkey", F.col("url").alias("bulletin"), "number").join(decrees.select("o_orderkey", F.col("url").alias("decree"), "topic"), "o_orderkey")
+
+
+@query("w3_tabular_meetings", """
+    SELECT o_orderkey, n::INT AS meeting_no, CASE n WHEN 1 THEN 'senadores' ELSE 'asesores' END AS section, CASE n WHEN 1 THEN 'MARTES' ELSE '' END AS day, CASE n WHEN 1 THEN '3/0' || (1 + o_orderkey % 9) ELSE '' END AS date,
+    CASE n WHEN 1 THEN '9:3' || o_orderkey % 10 ELSE '17:00' END AS time, CASE n WHEN 1 THEN 'presencial' ELSE '' END AS mode,
+    CASE WHEN n = 1 AND o_orderkey % 2 = 0 THEN 'SALUD|BICAMERAL ' || o_orderstatus WHEN n = 1 THEN 'SALUD|DE ' || o_orderstatus ELSE 'PAZ' END AS bodies,
+    CASE WHEN n = 1 THEN 'Azul' WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Rojo' END AS room, CASE WHEN n = 1 THEN 'Azul piso ' || o_custkey WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Rojo' END AS full_room,
+    CASE n WHEN 1 THEN 'S-' || o_orderkey || '/26=uno dos|CD-2/25=18:00 tres' ELSE '=nada' END AS agenda, CASE WHEN n = 1 AND o_orderkey % 2 = 0 THEN 'bicameral' WHEN n = 1 THEN 'senadores' ELSE 'asesores' END AS kind
+    FROM orders, range(1, 3) t(n)""", "orders")
+def _(orders):
+    """Columns in three orders, surplus ones between them, a header without a room, rows before a header, between header and meeting and after one without a time."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    last = F.concat(F.when(k % 2 == 0, "BICAMERAL ").otherwise("DE "), F.col("o_orderstatus"))
+    day, time = F.concat(F.lit("Martes\n 3/0"), (k % 9 + 1).cast("string")), F.concat(F.lit(" 9:3"), (k % 10).cast("string"))
+    body, room = F.concat(F.lit("SALUD\n"), last, F.lit("\n( presencial )")), F.concat(F.lit("Azul\npiso  "), as_text("o_custkey"))
+    row = lambda section, *c: F.struct(F.lit(section).alias("section"), F.array(*(x if isinstance(x, Column) else F.lit(x).cast("string") for x in c)).alias("cells"))
+    orders_of = (lambda d, t, b, r: (d, t, b, r), lambda d, t, b, r: (b, none, t, "", r, d), lambda d, t, b, r: (none, r, b, d, "x", t))
+    lines = lambda shape, with_room: F.array(
+        row("x", "3/01", "8:00", "NO", "no"), row("senadores", *shape("DÍA Y FECHA", "HORA", "COMISIÓN", "SALÓN")), row("x", "TEMARIO", "z"), row("x", *shape("", "a las 9", "", "")), row("x", *shape(day, time, body, room)),
+        row("x", " temario "), row("x", F.concat(F.lit("EXPTE. S- "), as_text("o_orderkey"), F.lit("/26: uno")), "q"), row("x", none, "t"), row("x", " dos"), row("x", "EXPTE.CD-2/25 - 18:00", "18:00", "18:00", "18:00", "18:00", "18:00"), row("x", "tres"),
+        row("bicameral", *shape("FECHA", "HORA", "COMISIONES", "SALON")), row("x", "never"), row("asesores", *shape("Fecha", "Hora de inicio", "Comisión", "Salon" if with_room else "")), row("x", *shape("", "17:00", "PAZ", "Rojo")), row("x", "nada"),
+    )
+    shaped = F.when(k % 3 == 0, lines(orders_of[0], False)).when(k % 3 == 1, lines(orders_of[1], True)).otherwise(lines(orders_of[2], True))
+    landed = orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.posexplode(shaped).alias("at", "r")).select("o_orderkey", "at", "r.section", "r.cells")
+    found = flows.agenda_log(landed, "o_orderkey", "at", "cells")
+    return found.withColumns({"bodies": joined(F.col("bodies")), "agenda": joined(F.transform("agenda", lambda i: F.concat_ws("=", i["number"], i["extract"])))})
