@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def conditional_counts(df: DataFrame, conditions: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -98,3 +99,60 @@ def sort_recent(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
 
 def numeric_or_zero(c: Column) -> Column:
     return F.when(c.rlike(r"^\d+$"), c.try_cast("int")).otherwise(0)
+
+
+def _values(df: DataFrame, c: Column) -> Column:
+    """array<struct<value, first>> of a scalar or of an array's elements as text; first marks
+    the first of equal elements. Nulls count as no element, none as one null."""
+    kind = df.select(c.alias("c")).schema["c"].dataType
+    listed = F.filter(c.cast("array<string>"), lambda x: x.isNotNull()) if isinstance(kind, T.ArrayType) else F.filter(F.array(c.cast("string")), lambda x: x.isNotNull())
+    marked = F.transform(listed, lambda x, i: F.struct(x.alias("value"), (F.array_position(listed, x) == i + 1).alias("first")))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit(True).alias("first")))
+    return F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, marked).otherwise(nothing)
+
+
+def all_pivots(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
+    """row_dim, column_dim, row, column, records, elements: the cells of the pivots of any
+    two of the dims, in their order, by one scan and one shuffle. A dim may be an array:
+    a record counts once in a cell, its elements as often as they are there. Empty arrays
+    and nulls have the value null."""
+    names = list(dims)
+    values = df.select(*(_values(df, c).alias(f"d{k}") for k, c in enumerate(dims.values())))
+
+    def cells(i: int, j: int) -> Column:
+        cell = lambda a, b: F.struct(F.lit(names[i]).alias("row_dim"), F.lit(names[j]).alias("column_dim"), a["value"].alias("row"), b["value"].alias("column"), (a["first"] & b["first"]).cast("int").alias("own"))
+        return F.flatten(F.transform(F.col(f"d{i}"), lambda a: F.transform(F.col(f"d{j}"), lambda b: cell(a, b))))
+
+    pairs = F.explode(F.flatten(F.array(*(cells(i, j) for i in range(len(names)) for j in range(i + 1, len(names))))))
+    grouped = values.select(pairs.alias("c")).groupBy("c.row_dim", "c.column_dim", "c.row", "c.column")
+    return grouped.agg(F.sum("c.own").alias("records"), F.count("*").alias("elements"))
+
+
+def cross_filtered(df: DataFrame, charts: dict[str, tuple[Column, ...]], choices: dict[str, Column], top: dict[str, int] | None = None, digits: int = 4) -> DataFrame:
+    """chart, key, part, n, share, rank: the bars, slices or points of each chart under the
+    choices made in all other charts.
+
+    charts: one or two dims, of which the first may be an array; choices: a condition by
+    the name of the chart in which it was made, null counting as not met. A record has a
+    bit for each choice that it fails, so that one scan and one aggregate serve all
+    charts. share is n over that of the chart's key (of the chart, with one dim), rank
+    orders keys by n and then by name; top keeps the first so many keys of a chart.
+    """
+    bit = {name: 1 << k for k, name in enumerate(choices)}
+    failed = reduce(lambda a, b: a + b, (F.when(F.coalesce(c, F.lit(False)), 0).otherwise(bit[name]) for name, c in choices.items()), F.lit(0))
+    values = {name: (_values(df, dims[0]), (dims[1].cast("string") if len(dims) > 1 else F.lit(None).cast("string"))) for name, dims in charts.items()}
+    prepared = df.select(failed.alias("failed"), *(F.struct(v.alias("keys"), part.alias("part")).alias(f"c{k}") for k, (v, part) in enumerate(values.values())))
+
+    def marks(k: int, name: str) -> Column:
+        mark = lambda v: F.struct(F.lit(name).alias("chart"), v["value"].alias("key"), F.col(f"c{k}.part").alias("part"))
+        seen = F.transform(F.filter(F.col(f"c{k}.keys"), lambda v: v["first"]), mark)
+        return F.when(F.col("failed").isin(0, bit.get(name, 0)), seen).otherwise(F.slice(seen, 1, 0))
+
+    shown = prepared.select(F.explode(F.flatten(F.array(*(marks(k, name) for k, name in enumerate(charts))))).alias("m"))
+    counted = shown.groupBy("m.chart", "m.key", "m.part").agg(F.count("*").alias("n"))
+    of_key = counted.withColumn("__k", F.sum("n").over(Window.partitionBy("chart", "key")))
+    nested = F.col("chart").isin(*(name for name, dims in charts.items() if len(dims) > 1))
+    whole = F.sum("n").over(Window.partitionBy("chart"))
+    ranked = of_key.withColumn("share", F.round(F.col("n") / F.when(nested, F.col("__k")).otherwise(whole), digits)).withColumn("rank", F.dense_rank().over(Window.partitionBy("chart").orderBy(F.desc("__k"), F.col("key").asc_nulls_last())))
+    kept = reduce(lambda c, t: c & ((F.col("chart") != t[0]) | (F.col("rank") <= t[1])), (top or {}).items(), F.lit(True))
+    return ranked.where(kept).select("chart", "key", "part", "n", "share", "rank")

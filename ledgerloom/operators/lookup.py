@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import contained
 from ledgerloom.operators.merge import first_wins
 
 
@@ -32,14 +31,55 @@ def enrich(df: DataFrame, more: DataFrame, keys: list[str], columns: list[str],
     return joined
 
 
+#: Letters of a gram by which texts that contain one another meet.
+GRAM = 3
+
+
+def _grams(c: Column, length: int) -> Column:
+    """The distinct parts of so many letters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(c) - length + 1)
+    return F.when(F.length(c) >= length, F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, length)))).otherwise(F.array().cast("array<string>"))
+
+
+def _rarest(texts: DataFrame, column: str, counts: DataFrame) -> DataFrame:
+    """column, __g: of each text the gram of fewest ``counts``; texts with a gram that isn't
+    counted are in none of those counted. A text shorter than a gram is its own."""
+    own = F.when(F.length(column) < GRAM, F.array(column)).otherwise(_grams(F.col(column), GRAM))
+    known = texts.select(column, F.explode(own).alias("__g")).join(counts, "__g", "left")
+    best = known.groupBy(column).agg(F.min(F.struct("__n", "__g")).alias("__b"), F.count(F.when(F.col("__n").isNull(), 1)).alias("__none"))
+    return best.where("__none = 0").select(column, F.col("__b.__g").alias("__g"))
+
+
+def _holding(outer: DataFrame, out_col: str, inner: DataFrame, in_col: str) -> DataFrame:
+    """out_col, in_col: texts of outer that contain one of inner, which aren't empty. An
+    inner text has all its grams in the outer one, so they meet at the rarest."""
+    short = [r[0] for r in inner.where(F.length(in_col) < GRAM).select(F.length(in_col)).distinct().collect()]
+    parts = F.concat(*(_grams(F.col(out_col), n) for n in (*sorted(short), GRAM)))
+    held = outer.select(out_col, F.explode(parts).alias("__g"))
+    counts = held.groupBy("__g").agg(F.count("*").alias("__n"))
+    return held.join(_rarest(inner, in_col, counts), "__g").where(F.contains(out_col, F.col(in_col))).select(out_col, in_col)
+
+
 def containment_match(df: DataFrame, id_col: str, key: str, names: DataFrame, name: str, order: str) -> DataFrame:
     """For each row of df the first of names, in order: an equal one, else one of which
-    either contains the other. names is a bounded dimension; where it grows, block both
-    by a shared word first."""
-    pairs = df.join(names.select(F.col(name).alias("__name"), F.col(order).alias("__order")), contained(F.col(key), F.col("__name")), "inner")
-    tier = F.when(F.col(key) == F.col("__name"), 0).otherwise(1)
-    best = pairs.groupBy(id_col).agg(F.min(F.struct(tier.alias("tier"), "__order", "__name")).alias("__m"))
-    return df.join(best, id_col, "left").withColumn("matched", F.col("__m.__name")).drop("__m")
+    either contains the other; an empty text is in any. Equal texts are matched once;
+    others meet at the rarest gram of the contained one, and are then compared. Rows of
+    the same id share the best match of any of them."""
+    keys = df.select(F.col(key).alias("__key")).where(F.col("__key").isNotNull()).distinct()
+    dim = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__order"))
+    some_keys, some_names = keys.where("__key <> ''"), dim.select("__name").where("__name <> ''")
+    inside = _holding(some_keys, "__key", some_names, "__name")
+    around = _holding(some_names, "__name", some_keys, "__key").select("__key", "__name")
+    best = F.min(F.struct(F.when(F.col("__key") == F.col("__name"), 0).otherwise(1).alias("tier"), "__order", "__name"))
+    found = inside.unionByName(around).join(dim, "__name").groupBy("__key").agg(best.alias("__m"))
+    # An empty name is in every key, and an empty key in every name: one row each.
+    whole = dim.agg(F.min(F.struct("__order", "__name")).alias("all"), F.min(F.when(F.col("__name") == "", F.struct("__order", "__name"))).alias("empty")).first()
+    given = lambda x, tier: F.lit(None).cast(found.schema["__m"].dataType) if x is None else F.struct(F.lit(tier).alias("tier"), F.lit(x[0]).cast(dim.schema["__order"].dataType).alias("__order"), F.lit(x[1]).alias("__name"))
+    any_row, empty = given(whole["all"], 1), given(whole["empty"], 1)
+    matched = keys.join(found, "__key", "left")
+    matched = matched.select("__key", F.when(F.col("__key") == "", given(whole["empty"], 0) if whole["empty"] is not None else any_row).otherwise(F.least("__m", empty) if whole["empty"] is not None else F.col("__m")).alias("__m"))
+    by_id = df.join(matched, df[key] == F.col("__key")).groupBy(id_col).agg(F.min("__m").alias("__m"))
+    return df.join(by_id, id_col, "left").withColumn("matched", F.col("__m.__name")).drop("__m")
 
 
 def known_only(df: DataFrame, key: Column, dim: DataFrame, column: str) -> DataFrame:

@@ -1232,3 +1232,63 @@ def _(orders):
     landed = orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.posexplode(shaped).alias("at", "r")).select("o_orderkey", "at", "r.section", "r.cells")
     found = flows.agenda_log(landed, "o_orderkey", "at", "cells")
     return found.withColumns({"bodies": joined(F.col("bodies")), "agenda": joined(F.transform("agenda", lambda i: F.concat_ws("=", i["number"], i["extract"])))})
+
+
+# ---- containment of many names, all pivots, charts that filter one another
+
+
+@query("j6_containment_both_ways", """
+    WITH n AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN '#' || lpad((s_suppkey % 500)::VARCHAR, 4, '0') WHEN 1 THEN 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') || ' & Co' ELSE (s_suppkey % 100)::VARCHAR END AS name, s_suppkey AS ord FROM supplier),
+    m AS (SELECT c_custkey, name, row_number() OVER (PARTITION BY c_custkey ORDER BY (c_name <> name), ord, name) AS r FROM customer JOIN n ON contains(c_name, name) OR contains(name, c_name))
+    SELECT c.c_custkey, name AS matched FROM customer c LEFT JOIN m ON m.c_custkey = c.c_custkey AND r = 1""", "customer", "supplier")
+def _(customer, supplier):
+    """Names that are in many keys, that hold one key, and short ones."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("#"), F.lpad((k % 500).cast("string"), 4, "0"))).when(k % 3 == 1, F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" & Co"))).otherwise((k % 100).cast("string"))
+    names = supplier.select(name.alias("name"), k.alias("ord"))
+    return lookup.containment_match(cols(customer, "c_custkey", "c_name"), "c_custkey", "c_name", names, "name", "ord").drop("c_name")
+
+
+_DIMS = {
+    "status": ("o_orderstatus", None), "priority": ("o_orderpriority", None), "year": ("year(o_orderdate)", None), "month": ("month(o_orderdate)", None), "band": ("o_custkey % 5", None),
+    "size": ("CASE WHEN o_totalprice > 200000 THEN 'large' END", None), "tags": (None, "CASE o_orderkey % 4 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a', 'c', 'a'] WHEN 2 THEN []::VARCHAR[] ELSE NULL::VARCHAR[] END"),
+    "blocs": (None, "[(o_custkey % 7)::VARCHAR, 'x', (o_orderkey % 2)::VARCHAR, 'x']"),
+}
+_LISTED = ", ".join(f"CASE WHEN len({many}) > 0 THEN {many} ELSE [NULL::VARCHAR] END AS {name}" if many else f"[({one})::VARCHAR] AS {name}" for name, (one, many) in _DIMS.items())
+_PAIRS = [(a, b) for i, a in enumerate(_DIMS) for b in list(_DIMS)[i + 1 :]]
+
+
+def _dims():
+    k = F.col("o_orderkey")
+    tags = F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("b"))).when(k % 4 == 1, F.array(F.lit("a"), F.lit("c"), F.lit("a"))).when(k % 4 == 2, F.array().cast("array<string>"))
+    blocs = F.array((F.col("o_custkey") % 7).cast("string"), F.lit("x"), (k % 2).cast("string"), F.lit("x"))
+    plain = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "year": F.year("o_orderdate"), "month": F.month("o_orderdate"), "band": F.col("o_custkey") % 5}
+    return plain | {"size": F.when(F.col("o_totalprice") > 200000, "large"), "tags": tags, "blocs": blocs}
+
+
+@query("a8_all_pivots", f"WITH o AS (SELECT o_orderkey AS k, {_LISTED} FROM orders)," + """
+    e AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS row_dim, '{b}' AS column_dim, x AS row, unnest({b}) AS column, k FROM (SELECT k, {b}, unnest({a}) AS x FROM o)" for a, b in _PAIRS) + """)
+    SELECT row_dim, column_dim, row, "column", count(DISTINCT k) AS records, count(*) AS elements FROM e GROUP BY ALL""", "orders")
+def _(orders):
+    return analytics.all_pivots(orders, _dims())
+
+
+_CHARTS = {"years": ("year", None), "states": ("status", None), "shares": ("priority", "status"), "tags": ("tags", None), "top": ("band", None)}
+_CHOSEN = {"years": "list_contains(year, '1995') OR list_contains(year, '1996')", "states": "status <> ['P']", "top": "band <> ['3']", "tags": "list_contains(tags, 'a')"}
+
+
+def _chart_sql(name: str) -> str:
+    key, part = _CHARTS[name]
+    others = " AND ".join(f"coalesce({c}, false)" for n, c in _CHOSEN.items() if n != name)
+    return f"SELECT '{name}' AS chart, key, part, count(*) AS n FROM (SELECT k, unnest(list_distinct({key})) AS key, {f'{part}[1]' if part else 'NULL::VARCHAR'} AS part FROM o2 WHERE {others}) GROUP BY ALL"
+
+
+@query("a9_cross_filter", f"WITH o AS (SELECT o_orderkey AS k, {_LISTED} FROM orders), o2 AS (SELECT * REPLACE (CASE WHEN tags = [NULL::VARCHAR] THEN ['-'] ELSE tags END AS tags) FROM o), c AS (" + " UNION ALL ".join(map(_chart_sql, _CHARTS)) + """),
+    t AS (SELECT * REPLACE (nullif(key, '-') AS key), sum(n) OVER (PARTITION BY chart, key) AS of_key, sum(n) OVER (PARTITION BY chart) AS whole FROM c),
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY chart ORDER BY of_key DESC, key NULLS LAST)::INT AS rank FROM t)
+    SELECT chart, key, part, n, round(n / CASE WHEN chart = 'shares' THEN of_key ELSE whole END, 4) AS share, rank FROM r WHERE chart <> 'top' OR rank <= 3""", "orders")
+def _(orders):
+    d = _dims()
+    charts = {"years": (d["year"],), "states": (d["status"],), "shares": (d["priority"], d["status"]), "tags": (d["tags"],), "top": (d["band"],)}
+    choices = {"years": d["year"].isin(1995, 1996), "states": d["status"] != "P", "top": d["band"] != 3, "tags": F.array_contains(d["tags"], "a")}
+    return analytics.cross_filtered(orders, charts, choices, {"top": 3})
