@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import roster_key, squash, surname_first
-from ledgerloom.functions.values import leading_int, meeting_kind
+from ledgerloom.functions.values import found, leading_int, meeting_kind
 from ledgerloom.operators import extract, lookup, merge, ordered
+from ledgerloom.sources import commits
 
 
 def incremental_records(known: DataFrame, found: DataFrame, details: DataFrame, keys: list[str], order: list[str], columns: list[str], as_of) -> DataFrame:
@@ -23,6 +24,33 @@ def incremental_records(known: DataFrame, found: DataFrame, details: DataFrame,
     return reviewed.unionByName(new, allowMissingColumns=True)
 
 
+def reviewed_agreements(known: DataFrame | None, records: DataFrame, details: DataFrame, kind: str = "AC") -> DataFrame:
+    """Agreements (number, year, title, origin, entry, announced, announced_on, approved,
+    approved_on, order) after records (number, year, kind, title, origin) of their kind
+    were looked at; details: number, year, entry, announced, announced_on of their pages.
+
+    The number before the entry's slash and a known announcement, with its date,
+    overwrite; approvals and orders of known agreements stay. A record without an
+    agreement gets one that is neither announced, unless its page says so, nor approved.
+    null known: there are none yet.
+    """
+    told = details.select("number", "year", found(F.col("entry"), r"^(\d+)(?:/|$)").try_cast("int").alias("entry"), "announced", "announced_on")
+    seen = merge.first_wins(records.where(F.col("kind") == kind).select("number", "year", "title", "origin"), ["number", "year"], ["title", "origin"]).join(merge.first_wins(told, ["number", "year"], ["entry", "announced", "announced_on"]), ["number", "year"], "left")
+    fresh = seen.withColumns({"approved": F.lit(False), "approved_on": F.lit(None).cast("string"), "order": F.lit(None).cast("int")})
+    started = fresh.withColumn("announced", F.coalesce("announced", F.lit(False)))
+    if known is None:
+        return started
+    kept = merge.upsert_partial(known, fresh, ["number", "year"], ["entry"], {"announced": ["announced_on"]})
+    return kept.withColumn("announced", F.coalesce("announced", F.lit(False)))
+
+
+def commit_review(spark: SparkSession, path: str, records: DataFrame, agreements: DataFrame, done: DataFrame, base: int | None = None, dry_run: bool = False) -> int | None:
+    """Records and agreements, sorted, and the ids that are done now become current
+    together, or none of them does. base: the version that they were made from."""
+    by = [F.desc("year"), F.desc("number")]
+    return commits.commit(spark, path, {"records": records.orderBy(*by), "agreements": agreements.orderBy(*by)}, {"state": done}, base, dry_run)
+
+
 def full_reload(rows: DataFrame, kinds: list[str], keys: list[str], order: list[str]) -> DataFrame:
     """Rows of known kinds, the first of each key, the latest years and numbers first."""
     kept = merge.first_wins(rows.where(F.col("tipo").isin(*kinds)), keys, order)

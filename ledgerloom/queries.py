@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, lookup, merge, ordered
 from ledgerloom.plans import dayorders, flows, people, views, workbook
-from ledgerloom.sources import listings, tables, workbooks
+from ledgerloom.sources import commits, listings, tables, workbooks
+from ledgerloom.sources.shared import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -1139,11 +1142,8 @@ def _(lineitem):
 def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of last-wins, by micro-batches."""
     from ledgerloom.streaming.incremental import read_upserted, upsert_stream
-    import tempfile
-    import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "value", "ts")
     source.write.parquet(f"{work}/source")
     upsert_stream(spark, f"{work}/source", source.schema, f"{work}/table", f"{work}/log", ["user_id", "event_type"], ["ts", "event_id"], "event_id")
@@ -1292,3 +1292,34 @@ def _(orders):
     charts = {"years": (d["year"],), "states": (d["status"],), "shares": (d["priority"], d["status"]), "tags": (d["tags"],), "top": (d["band"],)}
     choices = {"years": d["year"].isin(1995, 1996), "states": d["status"] != "P", "top": d["band"] != 3, "tags": F.array_contains(d["tags"], "a")}
     return analytics.cross_filtered(orders, charts, choices, {"top": 3})
+
+
+# ---- tables that change together
+
+
+def committed_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, agreements and state by versions: a first load, a review of some, a dry run and one that lost its base."""
+    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select(F.col("o_orderkey").alias("number"), F.year("o_orderdate").alias("year"), F.when(F.col("o_orderkey") % 3 == 0, "AC").otherwise("PL").alias("kind"), F.col("o_orderstatus").alias("title"), F.lit("S").alias("origin"))
+    known = rows.where("number % 2 = 0")
+    first = flows.commit_review(spark, path, known, flows.reviewed_agreements(None, known, known.select("number", "year", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("boolean").alias("announced"), F.lit(None).cast("string").alias("announced_on"))), known.select("number"))
+    pages = rows.select("number", "year", F.when(F.col("number") % 5 > 0, F.concat((F.col("number") % 7).cast("string"), F.lit("/26"))).alias("entry"), F.when(F.col("number") % 4 < 2, F.col("number") % 4 == 0).alias("announced"), F.when(F.col("number") % 4 == 0, F.lit("01/02/2026")).alias("announced_on"))
+    new = rows.where("number % 2 = 1 AND number % 9 > 0")
+    agreements = flows.reviewed_agreements(commits.read(spark, path, "agreements"), rows.where("number % 9 > 0"), pages)
+    flows.commit_review(spark, path, known.unionByName(new), agreements, new.select("number"), base=first)
+    flows.commit_review(spark, path, known.limit(0), agreements.limit(0), new.select("number"), dry_run=True)
+    try:
+        flows.commit_review(spark, path, known.limit(0), agreements.limit(0), new.select("number"), base=first)
+    except commits.Conflict:
+        pass
+    told, state = commits.read(spark, path, "agreements"), commits.read(spark, path, "state")
+    return commits.read(spark, path, "records").select("number", "year", "kind").join(told, ["number", "year"], "left").join(state.withColumn("done", F.lit(True)), "number", "left").select("number", "year", "kind", "entry", "announced", "announced_on", "approved", "done")
+
+
+QUERIES["k1_committed_review"] = committed_review
+SQL["k1_committed_review"] = """
+    WITH r AS (SELECT o_orderkey AS number, year(o_orderdate)::INT AS year, o_orderkey % 3 = 0 AS ac, o_orderkey % 2 = 0 OR o_orderkey % 9 > 0 AS stays, o_orderkey % 9 > 0 AS seen FROM orders)
+    SELECT number, year, CASE WHEN ac THEN 'AC' ELSE 'PL' END AS kind, CASE WHEN ac AND seen AND number % 5 > 0 THEN (number % 7)::INT END AS entry,
+           CASE WHEN ac THEN coalesce(seen AND number % 4 = 0, false) END AS announced, CASE WHEN ac AND seen AND number % 4 = 0 THEN '01/02/2026' END AS announced_on, CASE WHEN ac THEN false END AS approved, true AS done
+    FROM r WHERE stays"""

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources import commits
+
+
+ROWS = "rows"
+
 
-def write_snapshot(df: DataFrame, path: str, recent: list[str] | None = None, order: list[str] | None = None) -> str:
+def write_snapshot(df: DataFrame, path: str, recent: list[str] | None = None, order: list[str] | None = None) -> int:
     """Write a new version below path and make it the current one; readers of the old
-    version aren't disturbed. recent: columns sorted by descending."""
+    version aren't disturbed, and a run that is killed leaves it current. recent:
+    columns sorted by descending."""
     from ledgerloom.operators.analytics import sort_recent
 
-    name = f"v-{uuid.uuid4().hex}"
-    (sort_recent(df, recent, order or []) if recent else df).write.parquet(f"{path}/{name}")
-    df.sparkSession.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
-    return f"{path}/{name}"
+    return commits.commit(df.sparkSession, path, {ROWS: sort_recent(df, recent, order or []) if recent else df})
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
+    return commits.read(spark, path, ROWS)
 
 
 def delete(spark: SparkSession, path: str) -> None:

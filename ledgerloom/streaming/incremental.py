@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.merge import last_wins
+from ledgerloom.sources import commits
 from ledgerloom.sources.landing import exists
 from ledgerloom.sources.sinks import delete, read_snapshot, write_snapshot
 
@@ -27,7 +28,7 @@ def read_upserted(spark: SparkSession, target: str, keys: list[str], order: list
     """The rows of the table at target, the last of each key, with the place of its first as
     __place. A table that has had no batch is an error, or with a schema, which holds
     __place, has no rows."""
-    parts = [read_snapshot(spark, f"{target}/base")] if exists(spark, f"{target}/base/_current") else []
+    parts = [read_snapshot(spark, f"{target}/base")] if commits.version(spark, f"{target}/base") is not None else []
     if exists(spark, f"{target}/log"):
         parts.append(spark.read.parquet(f"{target}/log").drop("batch"))
     if not parts:
@@ -50,6 +51,7 @@ def upsert_stream(spark: SparkSession, source: str, schema, target: str, checkpo
         last_wins(batch.withColumn(PLACE, batch[position]), keys, order, PLACE).write.mode("overwrite").parquet(_log(target, number))
         if (number + 1) % compact_every == 0:
             write_snapshot(read_upserted(own, target, keys, order), f"{target}/base")
+            commits.vacuum(own, f"{target}/base")
             # Those of the round before are in the base that readers may still hold, too.
             for old in range(number + 1 - 2 * compact_every, number + 1 - compact_every):
                 if old >= 0:
