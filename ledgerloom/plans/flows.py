@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import roster_key, squash, surname_first
+from ledgerloom.functions.text import roster_key, squash, surname_first, surname_key
 from ledgerloom.functions.values import found, leading_int, meeting_kind
 from ledgerloom.operators import extract, lookup, merge, ordered
 from ledgerloom.sources import commits
@@ -132,15 +132,31 @@ def designations(decrees: DataFrame) -> DataFrame:
     )
 
 
-def roster_after(rosters: DataFrame, decrees: DataFrame, order: str = "body") -> DataFrame:
-    """rosters (body, members) after decrees (number, ord, text), in ord's order. A decree's
-    body is the roster of the same key, else the first, by order, whose key contains it
-    or is contained in it; without one its changes have no effect. rosters are a bounded dimension."""
-    log = designations(decrees).withColumn("__d", roster_key(F.col("body"))).where("__d <> ''")
-    keyed = rosters.withColumn("__k", roster_key(F.col("body")))
-    bodies = lookup.containment_match(log.select("__d").distinct(), "__d", "__d", keyed.where("__k <> ''").select("__k", F.col(order).alias("__o")), "__k", "__o")
-    change = F.struct(F.col("designated").alias("name"), F.lit("").alias("bloc"), F.col("replaced").alias("replaced"))
+def roster_changes(rosters: DataFrame, decrees: DataFrame, order: str = "body", persons: DataFrame | None = None, unknown: str = "Sin datos") -> DataFrame:
+    """body (of the roster), ord, article, pair_no, designated, bloc, replaced: what decrees
+    (number, ord, text) change. A decree's body is the roster of the same key, else the
+    first, by order, whose key contains it or is contained in it; without one its
+    changes have no effect. bloc: that of the first of persons (name, bloc; by name) who
+    has the designated one's surname, unknown without one; empty without persons."""
+    log = designations(decrees).withColumn("__d", roster_key(F.col("body"))).where("__d <> ''").drop("body")
+    keyed = rosters.withColumn("__k", roster_key(F.col("body"))).where("__k <> ''")
+    bodies = lookup.containment_match(log.select("__d").distinct(), "__d", "__d", keyed.select("__k", F.col(order).alias("__o")), "__k", "__o")
+    own = keyed.select("body", F.col("__k").alias("matched"))
+    found = log.join(bodies, "__d").join(own, "matched")
+    surname = lambda c: surname_key(F.get(F.split(c, ","), F.lit(0)))
+    if persons is None:
+        found = found.withColumn("bloc", F.lit(""))
+    else:
+        first = merge.first_wins(persons.withColumn("__s", surname(F.col("name"))), ["__s"], ["name", "bloc"]).select("__s", "bloc")
+        found = found.withColumn("__s", surname(F.col("designated"))).join(first, "__s", "left").withColumn("bloc", F.coalesce("bloc", F.lit(unknown)))
+    return found.select("body", "ord", "article", "pair_no", "designated", "bloc", "replaced")
+
+
+def roster_after(rosters: DataFrame, decrees: DataFrame, order: str = "body", persons: DataFrame | None = None, unknown: str = "Sin datos") -> DataFrame:
+    """rosters (body, members; each body once) after the ``roster_changes`` of decrees, in
+    ord's order. A body's changes are folded in one row: a roster is a state."""
+    change = F.struct(F.col("designated").alias("name"), "bloc", "replaced")
     one = F.struct("ord", "article", "pair_no", change.alias("change"))
-    events = log.join(bodies, "__d").groupBy(F.col("matched").alias("__k")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["change"]).alias("changes"))
-    joined = keyed.join(events, "__k", "left")
+    events = roster_changes(rosters, decrees, order, persons, unknown).groupBy("body").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["change"]).alias("changes"))
+    joined = rosters.join(events, "body", "left")
     return joined.select("body", F.when(F.col("changes").isNull(), F.col("members")).otherwise(ordered.fold_roster(F.col("members"), F.col("changes"))).alias("members"))

@@ -1323,3 +1323,52 @@ SQL["k1_committed_review"] = """
     SELECT number, year, CASE WHEN ac THEN 'AC' ELSE 'PL' END AS kind, CASE WHEN ac AND seen AND number % 5 > 0 THEN (number % 7)::INT END AS entry,
            CASE WHEN ac THEN coalesce(seen AND number % 4 = 0, false) END AS announced, CASE WHEN ac AND seen AND number % 4 = 0 THEN '01/02/2026' END AS announced_on, CASE WHEN ac THEN false END AS approved, true AS done
     FROM r WHERE stays"""
+
+
+# ---- rosters in batches and as a stream
+
+
+def _designations(orders, customer):
+    """Decrees on the bodies of nations: one designates two customers, one of them for another."""
+    k, cust = F.col("o_orderkey"), as_text("o_custkey")
+    name = lambda c: F.concat(F.lit("Ana "), F.translate(c, "0123456789", "ABCDEFGHIJ"), F.lit("X"))
+    text = F.concat(F.lit("Artículo 1°- Desígnase a la señora Senadora "), name(cust), F.lit(" y al señor Senador "), name(as_text("o_orderkey")), F.lit(" en la Comisión de B"), (F.col("o_custkey") % 25).cast("string"), F.lit(", en reemplazo de la señora Senadora "), name((F.col("o_custkey") - 25).cast("string")), F.lit("."))
+    decrees = orders.where("o_orderkey % 16 = 3").select(k.cast("string").alias("number"), k.cast("int").alias("ord"), text.alias("text"))
+    surname = F.concat(F.translate(as_text("c_custkey"), "0123456789", "ABCDEFGHIJ"), F.lit("X"))
+    person = customer.select(F.concat(surname, F.lit(", Ana")).alias("name"), F.concat(F.lit("bloc "), "c_mktsegment").alias("bloc"), F.concat(F.lit("B"), (F.col("c_custkey") % 25).cast("string")).alias("body"), "c_custkey")
+    member = F.struct("c_custkey", F.struct("name", "bloc", F.when(F.col("c_custkey") % 50 < 25, "Presidente").otherwise("").alias("role")).alias("m"))
+    rosters = person.where("c_custkey <= 100").groupBy("body").agg(F.transform(F.array_sort(F.collect_list(member)), lambda x: x["m"]).alias("members"))
+    return decrees, rosters, person.select("name", "bloc")
+
+
+def _shown_rosters(df):
+    return df.select("body", joined(F.transform("members", lambda m: F.concat_ws(":", m["name"], m["bloc"], m["role"]))).alias("members"))
+
+
+@query("w8_roster_flow", None, "orders", "customer")
+def _(orders, customer):
+    """Rosters after decrees, with blocs; compared with a Python model in the tests."""
+    decrees, rosters, persons = _designations(orders, customer)
+    return _shown_rosters(flows.roster_after(rosters, decrees, persons=persons))
+
+
+def roster_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by micro-batches of a stateful stream, interrupted once; compared with the batch form in the tests."""
+    from ledgerloom.streaming.rosters import roster_stream
+
+    decrees, rosters, persons = _designations(spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    work = f"{shared_dir(spark)}/rosters-{uuid.uuid4().hex}"
+    changes, out = flows.roster_changes(rosters, decrees, persons=persons), f"{work}/out"
+    rosters.write.parquet(f"{work}/start")
+    start = spark.read.parquet(f"{work}/start")
+    # Files of a few batches, dealt by number of decree and not in its order.
+    for part in range(2):
+        changes.where(F.pmod(F.xxhash64("ord"), F.lit(2)) == part).repartition(2, "ord").write.mode("append").parquet(f"{work}/changes")
+        read = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/changes")
+        write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n}")
+        roster_stream(read, start).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/log").trigger(availableNow=True).start().awaitTermination()
+    latest = spark.read.parquet(out).groupBy("body").agg(F.max_by("members", "batch").alias("__m"))
+    return _shown_rosters(start.join(latest, "body", "left").select("body", F.coalesce("__m", "members").alias("members")))
+
+
+QUERIES["w8_roster_stream"] = roster_by_stream
