@@ -317,7 +317,7 @@ def test_lm_scores_match_a_plain_model(clashing, rows):
             n = pairs[v, w]
             full += math.log10(((n - 0.75 if n >= 2 else 0) + (count[v] - mass[v]) * p) / count[v] if count[v] else p)
         want.append((repr(i), not own, len(ws), sum(count[w] > 0 for w in ws), total, base, full))
-    found = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring.score(clashing).collect())
+    found = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring.score(clashing, order=2, discounts=lm_scoring.PRUNED).collect())
     for a, b in zip(found, sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-9) and a[6] == pytest.approx(b[6], abs=1e-3 * b[2])
 
@@ -352,7 +352,7 @@ def test_lm_of_three_words_keeps_what_was_met_once(clashing, rows):
             p = raised((before[-1], w), (count[w] + 0.1) / (total + 0.1 * (distinct + 1)))
             full += math.log10(raised((*before[-2:], w), p) if k else p)
         want.append((repr(i), len(ws), full))
-    found = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score(clashing, order=3, discounts=None).collect())
+    found = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score(clashing).collect())
     for a, b in zip(found, sorted(want), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3 * b[1])
     met = {g for g, n in grams[0].items() if n == 1}
@@ -470,6 +470,92 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(found) == 602 and sum(r.predicted == truth[r.doc_id] for r in held) > 0.97 * len(held)
 
 
+@pytest.fixture(scope="module")
+def toxic_model():
+    """Rows with three terms each, some quoted in clean ones, and a clean word that is near a term."""
+    rng = random.Random(12)
+    texts, y = [], []
+    for k in range(900):
+        w = prose(rng, 60).split()
+        for _ in range(3 if k % 3 == 0 else 0):
+            w[rng.randrange(60)] = rng.choice(["disgusting", "idiot", "Idiot!", "scum", "grumpf" + rng.choice(["en", "est", "lich", "a", "o", "ung"])])
+        if k % 3 == 1:
+            w[rng.randrange(60)] = "idiom"
+        texts.append(" ".join(w).encode())
+        y.append(float(k % 3 == 0))
+    return toxicity.ToxicityModel(texts, np.array(y))
+
+
+def test_misspelt_terms_count_and_quoted_ones_do_not(toxic_model):
+    clean = prose(random.Random(3), 80)
+    scanner = toxic_model.scanner()
+
+    def score(more):
+        text = f"{clean} {more}".encode()
+        return float(toxic_model.calibration(scanner.features([text], [scanner.hits(text)]))[0])
+
+    base = score("")
+    for one in ("idiut", "disgustung", "scvm", "scumm", "idiot", "grumpfxy", "disgastung"):
+        assert score(one) > 2 * base, one
+    assert score("idiom") == base
+    for quoted, same in (('"you idiot" he said', "you idiot he said"), ("“idiut scvm” x", "idiut scvm x"), ("« idiot » x", "idiot x"), ("„so idiot“ y", "so idiot y")):
+        assert score(quoted) < score(same), quoted
+    open_between = ('he said "hello" you idiot moron "bye"', '"hello" he said you idiot man "bye"', "“good” you idiot thing “nice”", 'he said "you idiot')
+    for text in open_between:
+        assert score(text) == pytest.approx(score(re.sub("[\"“”]", "", text)), rel=1e-2)
+
+
+def test_hits_and_features_equal_plain_ones(toxic_model):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i, *row[1:]], row
+            for j, z in enumerate(b, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != z))
+        return row[-1]
+
+    terms, stems, allowances, ordinary, _ = toxic_model.known
+    assert {"idiot", "disgusting", "scum"} <= set(terms) and any(s.startswith("grum") for s in stems) and "idiom" in ordinary
+    rng = random.Random(13)
+    some = ["idiot", "idiut", '"idiot"', "scum,", "scvm", "disgusting", "disgastung", "idiom", "plain", "grumpfxx", '"', "«", "»", "(idiot)", '"so', 'then"', "“", "”x"]
+    scanner = toxic_model.scanner()
+    for _ in range(300):
+        words = [rng.choice(some) for _ in range(rng.randint(0, 40))]
+        want = []
+        for k, w in enumerate(words):
+            token = toxicity.cleaned(w)
+            near = min((d for t in terms if (d := distance(token, t)) <= allowances[t]), default=-1)
+            if near and any(token.startswith(s) for s in stems):
+                near = 0
+            if near > 0 and token in ordinary:
+                near = -1
+            if near >= 0:
+                want.append((k, token, near))
+        found = scanner.hits(" ".join(words).encode())
+        assert [h[:3] for h in found] == want
+        row = scanner.features([" ".join(words).encode()], [found])[0]
+        free = [h for h in found if not h[3]]
+        crowd = max((sum(0 <= b[0] - a[0] < 2 * toxicity.WINDOW for b in free) for a in free), default=0)
+        assert row[1] == pytest.approx(math.log1p(sum(h[2] == 0 for h in free))) and row[3] == pytest.approx(math.log1p(len(found) - len(free))) and row[4] == pytest.approx(math.log1p(crowd))
+
+
+def test_quotations_are_followed_by_kind():
+    shown = lambda text: "".join("q" if q else "." for q in toxicity.quoted_words(text.split()))
+    assert shown('a "b c" d') == ".qq." and shown('"a" b "c"') == "q.q" and shown('a " b c " d') == ".qqqq." and shown('a "b c d') == "...."
+    assert shown("“a b” c ”d“") == "qq.." and shown("„a b“ c „d”") == "qq.q" and shown("« a b » c »d«") == "qqqq.q" and shown('a "b “c d” e" f') in (".qqqq.", "..qq..")
+    assert shown('"' + "a " * 100 + 'b" c "d"') == "." * 102 + "q" or not toxicity.quoted_words(('"' + "a " * 100 + 'b" c "d"').split())[:100].any()
+
+
+def test_lm_pairs_beyond_any_packing():
+    """Items past 2**23 and words past 2**40, which don't fit one number together."""
+    outer, inner = np.array([5, 1 << 23, 5, (1 << 23) + 1, 1 << 23, 5]), np.array([7, 3, 7, 3, 1 << 41, 2])
+    a, b, which = lm_scoring._distinct(outer, inner)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == sorted(set(zip(outer.tolist(), inner.tolist(), strict=True)))
+    assert (a[which] == outer).all() and (b[which] == inner).all()
+    small = lm_scoring._distinct(np.array([2, 1, 2]), np.array([1, 9, 1]))
+    assert [x.tolist() for x in small] == [[1, 2], [9, 1], [1, 0, 1]]
+
+
 def test_fuzzy_lexicon_matches_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
