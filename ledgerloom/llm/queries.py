@@ -36,8 +36,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract has no column for n_links; all links are sought and counted all the same."""
-    return jaccard_join.join_similar(table(spark, sf_dir, "documents"), links=True).drop("n_links")
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"), links=True)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +135,13 @@ SQL = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
         e AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-        r AS (SELECT doc_id AS x, doc_id AS z FROM documents UNION SELECT e.x, r.z FROM e JOIN r ON r.x = e.y WHERE r.z < e.x)
-        SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(z) AS component_id
-        FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
+        r AS (SELECT doc_id AS x, doc_id AS z FROM documents UNION SELECT e.x, r.z FROM e JOIN r ON r.x = e.y WHERE r.z < e.x),
+        c AS (SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(z) AS component_id
+              FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id),
+        f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(array_to_string(list_sort(k), chr(1)))) AS first FROM (SELECT doc_id, list(k) AS k FROM s GROUP BY doc_id)),
+        l AS (SELECT component_id, count(*) AS n_links FROM e JOIN f p ON p.doc_id = e.x JOIN f q ON q.doc_id = e.y JOIN c ON c.doc_id = e.x
+              WHERE e.x = p.first AND e.y = q.first AND e.x < e.y GROUP BY component_id)
+        SELECT doc_id, n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM c LEFT JOIN l USING (component_id)""",
     "op8_exact_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
