@@ -1,9 +1,13 @@
-"""A Python data source for paged searches behind a form: ``spark.read.format("paged_search")``."""
+"""A Python data source for paged searches behind a form: ``spark.read.format("paged_search")``.
+
+As a stream it gives the pages that the searches list, each once, in the order of their ids.
+"""
 
 from __future__ import annotations
 
 import html as entities
 import json
+import os
 import re
 import time
 from collections.abc import Iterator
@@ -11,9 +15,10 @@ from http.cookiejar import CookieJar
 from urllib.parse import urlencode, urljoin
 from urllib.request import HTTPCookieProcessor, Request, build_opener
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "search string, page int, html string, error string"
+ITEM_SCHEMA = "id long, url string, html string"
 
 
 class Search(InputPartition):
@@ -109,6 +114,104 @@ def _attribute(tag: str, name: str) -> str | None:
     return entities.unescape(next(g for g in found.groups() if g is not None)) if found else None
 
 
+class Item(InputPartition):
+    """A listed page."""
+
+    def __init__(self, number: int, url: str):
+        super().__init__(number)
+        self.number, self.url = number, url
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are a watermark, ``after``, and the ids above it that are done with their
+    addresses. The watermark passes an id only in the batch after its own, so that the ids
+    of a batch are those of its end that its start doesn't cover, without another listing.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        get = {k.lower(): v for k, v in options.items()}.get
+        self.search, self.item, self.state = _Reader(options), get("item"), get("state")
+        self.after, self.per_batch = int(get("after", "0")), int(get("perbatch", "1000"))
+        if not self.state:
+            raise ValueError("a stream of paged_search needs the option state")
+        if re.compile(self.item).groups != 1:
+            raise ValueError("the pattern item needs one group, the id")
+        self.known: dict | None = None
+
+    def initialOffset(self) -> dict:
+        return {"after": self.after, "done": {}}
+
+    def _listed(self) -> dict[int, str]:
+        """Addresses by id: the smallest of an id that is listed twice."""
+        found: dict[int, str] = {}
+        searches = self.search.partitions()
+        pages = (row[2] for s in searches for row in self.search._pages(s)) if searches else [self.search._open(build_opener(), self.search.url)]
+        for page in pages:
+            for tag in re.findall(r"(?is)<a\b[^>]*>", page):
+                href = _attribute(tag, "href") or ""
+                at = re.search(self.item, href)
+                if at:
+                    url, number = urljoin(self.search.url, href), int(at.group(1))
+                    found[number] = min(url, found.get(number, url))
+        return found
+
+    def _answers(self, url: str) -> bool:
+        try:
+            with build_opener().open(Request(url), timeout=self.search.timeout):
+                return True
+        except OSError:
+            return False
+
+    def _remembered(self) -> dict:
+        if self.known is None:
+            try:
+                with open(self.state, encoding="utf-8") as f:
+                    self.known = json.load(f)
+            except FileNotFoundError:
+                self.known = self.initialOffset()
+        return self.known
+
+    def latestOffset(self) -> dict:
+        known = self._remembered()
+        after, done = known["after"], known["done"]
+        listed = self._listed()
+        waiting = [n for n in sorted(listed) if n > after and str(n) not in done]
+        new: list[int] = []
+        for n in waiting:
+            if len(new) == self.per_batch:
+                break
+            if self._answers(listed[n]):
+                new.append(n)
+        if not new:
+            return known
+        # Up to the last id that is done, below all that wait; the new ones wait too.
+        passed = max([after, *(int(n) for n in done if int(n) < waiting[0])])
+        kept = {n: url for n, url in done.items() if int(n) > passed}
+        return {"after": passed, "done": kept | {str(n): listed[n] for n in new}}
+
+    def partitions(self, start: dict, end: dict) -> list[Item]:
+        # Spark has logged this end, so its batch is run until it succeeds: its ids are taken.
+        self.known = end
+        with open(f"{self.state}.new", "w", encoding="utf-8") as f:
+            json.dump(end, f)
+        os.replace(f"{self.state}.new", self.state)
+        own = {int(n): url for n, url in end["done"].items() if n not in start["done"] and int(n) > start["after"]}
+        return [Item(n, own[n]) for n in sorted(own)]
+
+    def read(self, partition: Item | None) -> Iterator[tuple]:
+        if partition is None:
+            return
+        for attempt in range(1, self.search.attempts + 1):
+            try:
+                html = self.search._open(build_opener(), partition.url)
+                break
+            except OSError:
+                if attempt == self.search.attempts:
+                    raise
+                time.sleep(self.search.retry)
+        yield partition.number, partition.url, html
+
+
 class PagedSearch(DataSource):
     """search, page (from 1), html and error of the pages of searches, a task for each.
 
@@ -120,14 +223,34 @@ class PagedSearch(DataSource):
     fails or, with rows, lists nothing, retry seconds apart: an empty listing isn't an empty
     source. errors: "fail" (default) or "keep": a row with the error, after the pages
     before it.
+
+    As a stream (``spark.readStream``) id, url and html of the pages that are listed, each
+    once. The listing is all pages of the searches, or the page url if there are none.
+    item: a pattern of links, its group the id, a number. after: ids up to this one
+    are left out. perBatch: ids of a batch, at most, the smallest first. state: a file that
+    outlives the driver, as the checkpoint does; one stream writes it. A page that doesn't
+    answer holds up no other: the watermark stays below it and each batch tries it
+    again. One that answers and then fails to be read fails its batch, which runs again,
+    whole, when the stream is started again. A listing that fails ends the stream; nothing
+    is lost. Ids that are listed late, below the watermark, aren't read.
     """
 
     @classmethod
     def name(cls) -> str:
         return "paged_search"
 
+    def _items(self) -> bool:
+        return any(k.lower() == "item" for k in self.options)
+
     def schema(self) -> str:
-        return SCHEMA
+        return ITEM_SCHEMA if self._items() else SCHEMA
 
     def reader(self, schema) -> _Reader:
+        if self._items():
+            raise ValueError("item is an option of streams")
         return _Reader(dict(self.options))
+
+    def streamReader(self, schema) -> _StreamReader:
+        if not self._items():
+            raise ValueError("a stream of paged_search needs the option item")
+        return _StreamReader(dict(self.options))
