@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, lookup, merge, ordered
 from ledgerloom.plans import dayorders, flows, people, views, workbook
-from ledgerloom.sources import commits, listings, tables, workbooks
+from ledgerloom.sources import commits, listings, tables, text_index, workbooks
 from ledgerloom.sources.shared import shared_dir
 
 QUERIES: dict = {}
@@ -1372,3 +1373,26 @@ def roster_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["w8_roster_stream"] = roster_by_stream
+
+
+# ---- text facets by an index
+
+
+def text_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by pieces of text: an index of a first load, updated by the rows that a merge changed or added."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    key, cust = F.col("o_orderkey"), as_text("o_custkey")
+    old = orders.where(key % 3 < 2).select("o_orderkey", F.concat(F.lit("Ley Nº "), cust, F.lit(" DE "), F.lower("o_orderpriority")).alias("title"), F.lit("f").alias("state"))
+    new = orders.where(key % 4 > 0).select("o_orderkey", F.when(key % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Año "), cust, F.lit(", "), F.col("o_orderpriority"))).alias("title"), F.lit("f").alias("state"))
+    text_index.update(spark, path, old, "o_orderkey", "title")
+    merged = merge.upsert_overwrite(old, new, ["o_orderkey"], ["title", "state"])
+    text_index.update(spark, path, merged.where("outcome IN ('inserted', 'updated')"), "o_orderkey", "title")
+    one = lambda needle: text_index.search(spark, path, merged, "o_orderkey", "title", needle).select("o_orderkey", F.lit(needle).alias("needle"), "title")
+    return reduce(DataFrame.unionByName, map(one, ("AÑO 1", "ley nº 14", "de 1-urgent", ", 5", "12", "4-not specified")))
+
+
+QUERIES["q1_text_index"] = text_facets
+SQL["q1_text_index"] = """
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Ley Nº ' || o_custkey || ' DE ' || lower(o_orderpriority) WHEN o_orderkey % 5 > 0 THEN 'Año ' || o_custkey || ', ' || o_orderpriority END AS title FROM orders WHERE o_orderkey % 4 > 0 OR o_orderkey % 3 < 2)
+    SELECT o_orderkey, needle, title FROM o JOIN (VALUES ('AÑO 1'), ('ley nº 14'), ('de 1-urgent'), (', 5'), ('12'), ('4-not specified')) t(needle) ON contains(lower(title), lower(needle))"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,19 +87,32 @@ def tables(spark: SparkSession, path: str, number: int | None = None) -> dict[st
 
 def read(spark: SparkSession, path: str, table: str, number: int | None = None) -> DataFrame:
     """A table in a version, the current one if none is given."""
-    folders = tables(spark, path, number).get(table)
+    folders = [f"{path}/{f}" for f in tables(spark, path, number).get(table, [])]
     if not folders:
         raise ValueError(f"no table {table} at {path}")
-    return spark.read.parquet(*(f"{path}/{f}" for f in folders))
-
-
-def commit(spark: SparkSession, path: str, replaced: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None, base: int | None = None, dry_run: bool = False) -> int | None:
+    if not any("=" in s.getPath().getName() for s in _listed(spark, folders[-1])):
+        return spark.read.parquet(*folders)
+    # Columns that are folders are found below one root at a time.
+    return reduce(DataFrame.unionByName, (spark.read.parquet(f) for f in folders))
+
+
+def commit(
+    spark: SparkSession,
+    path: str,
+    replaced: dict[str, DataFrame],
+    appended: dict[str, DataFrame] | None = None,
+    base: int | None = None,
+    dry_run: bool = False,
+    folders: dict[str, list[str]] | None = None,
+) -> int | None:
     """Write frames and make them current together; the number of the new version.
 
     replaced: tables that become these rows, whole; appended: rows added to tables.
     Other tables stay as they are. base: the version that the frames were made from; if
     another one is current by now, that is a Conflict and nothing changes. dry_run
     writes and commits nothing. Rows keep the order of their frames in their files.
+    folders: by table, columns whose values become folders, so that readers that filter by
+    them list no others.
     """
     if dry_run:
         return None
@@ -108,7 +122,7 @@ def commit(spark: SparkSession, path: str, replaced: dict[str, DataFrame], appen
     found = dict(tables(spark, path, before)) if before is not None else {}
     for table, df, kept in [*((t, d, False) for t, d in replaced.items()), *((t, d, True) for t, d in (appended or {}).items())]:
         folder = f"{DATA}/{table}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{path}/{folder}")
+        df.write.partitionBy(*(folders or {}).get(table, [])).parquet(f"{path}/{folder}")
         found[table] = [*(found.get(table, []) if kept else []), folder]
     now = version(spark, path)
     if now != before:
