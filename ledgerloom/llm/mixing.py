@@ -18,7 +18,7 @@ from ledgerloom.llm._shared import fresh, written
 MAX_MEAN = 64.0
 #: exp(-64) * 64**k / k! is below 1e-20 from here on; a sum that rounding keeps below u, under 2**-52 from 1, ends here.
 MAX_COPIES = 192
-#: With more sources the rates are joined by a shuffle.
+#: With more sources their distributions are joined by a shuffle; as many take 8 MB at a mean of 1, 80 MB at most.
 BROADCAST_SOURCES = 50_000
 #: Partitions that rows with equal keys go to, at most.
 SPREAD = 1024
@@ -30,14 +30,19 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson(mean: Column, u: Column) -> Column:
-    """The least k whose cumulative probability exceeds u."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("total"), F.lit(0).alias("k"))
+def cumulative(mean: Column) -> Column:
+    """Cumulative probabilities of a Poisson distribution from 0 on, up to the first that no draw reaches."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("totals"))
+    last = lambda s: F.element_at(s["totals"], -1)
     step = lambda s, j: F.when(
-        s["total"] <= u,
-        F.struct((s["p"] * mean / j).alias("p"), (s["total"] + s["p"] * mean / j).alias("total"), j.cast("int").alias("k")),
+        last(s) < 1.0, F.struct((s["p"] * mean / j).alias("p"), F.concat(s["totals"], F.array(last(s) + s["p"] * mean / j)).alias("totals"))
     ).otherwise(s)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES)), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES - 1)), start, step, lambda s: s["totals"])
+
+
+def inverted(totals: Column, u: Column) -> Column:
+    """The least k whose cumulative probability exceeds u."""
+    return F.size(F.filter(totals, lambda t: t <= u))
 
 
 def rates(df: DataFrame, weights: Mapping[str, float] | None, alpha: float, source_col: str, rows: float | None) -> tuple[DataFrame, int]:
@@ -71,15 +76,20 @@ def mix_sources(
     ``rows``, or that of df. A null source is a source. A row draws by its id, one
     without an id by a hash of its text, or by none if df has no text_col. Repeated rows
     draw alike. Whole texts are copied, null or empty alike. An empty table gives none.
+    df should be read from files, as rows that are alike are dealt by their place in them.
     """
-    source, rate, copies, spread = fresh(df, "mix_source", "mix_rate", "mix_copies", "mix_spread")
+    source, parts, totals, copies, spread = fresh(df, "mix_source", "mix_parts", "mix_totals", "mix_copies", "mix_spread")
     known, sources = rates(df, weights, alpha, source_col, rows)
-    known = known.toDF(source, rate)
-    joined = df.join(F.broadcast(known) if sources <= BROADCAST_SOURCES else known, df[source_col].eqNullSafe(F.col(source)), "left")
+    share = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN).cast("int"))
+    # Worked out once a source, not once a row.
+    known = known.select(F.col("source").alias(source), share.alias(parts), cumulative(F.col("rate") / share).alias(totals))
+    few = sources <= BROADCAST_SOURCES
+    joined = df.join(F.broadcast(known) if few else known, df[source_col].eqNullSafe(F.col(source)), "left")
+    # Places in a file are the same for a task that is tried again, those after a shuffle aren't.
+    joined = joined if few else written(joined, "rated")
     text = F.xxhash64(text_col) if text_col in df.columns else F.lit(0)
     own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), text.cast("string")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / MAX_MEAN).cast("int"))
-    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson(F.col(rate) / parts, uniform(seed, own, i)))
+    draws = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: inverted(F.col(totals), uniform(seed, own, i)))
     counted = joined.withColumn(copies, F.aggregate(draws, F.lit(0), lambda a, b: a + b)).where(F.col(copies) > 0)
     kept = [c for c in df.columns if c.lower() not in ("copy_no", "mix_key")]
     copied = counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("copy_no"))
