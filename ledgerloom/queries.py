@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
-from ledgerloom.operators import analytics, extract, lookup, merge, ordered
+from ledgerloom.operators import analytics, extract, geometry, lookup, merge, ordered
 from ledgerloom.plans import dayorders, flows, people, views, workbook
 from ledgerloom.sources import commits, listings, tables, text_index, workbooks
 from ledgerloom.sources.shared import shared_dir
@@ -1396,3 +1396,35 @@ QUERIES["q1_text_index"] = text_facets
 SQL["q1_text_index"] = """
     WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Ley Nº ' || o_custkey || ' DE ' || lower(o_orderpriority) WHEN o_orderkey % 5 > 0 THEN 'Año ' || o_custkey || ', ' || o_orderpriority END AS title FROM orders WHERE o_orderkey % 4 > 0 OR o_orderkey % 3 < 2)
     SELECT o_orderkey, needle, title FROM o JOIN (VALUES ('AÑO 1'), ('ley nº 14'), ('de 1-urgent'), (', 5'), ('12'), ('4-not specified')) t(needle) ON contains(lower(title), lower(needle))"""
+
+
+# ---- tables from ruling lines
+
+
+@query("s14_ruled_tables", """
+    WITH o AS (SELECT o_orderkey AS doc, o_custkey % 3 AS page, o_orderkey % 2 = 1 AS long, o_orderkey % 3 = 0 AS tall, o_orderstatus || chr(10) || o_orderpriority AS two_lines, o_custkey FROM orders)
+    SELECT doc, page, 0 AS tbl, 'senadores' AS section, 0 AS row, o_custkey || '|m1 m2|-' AS cells FROM o
+    UNION ALL SELECT doc, page, 0, 'senadores', 1, 'r1|' || two_lines || '|' FROM o
+    UNION ALL SELECT doc, page, 0, 'senadores', 2, CASE WHEN tall THEN '-' ELSE '' END || '|z|k' || doc FROM o WHERE long
+    UNION ALL SELECT doc, page, 1, 'asesores', 0, 'solo' FROM o""", "orders")
+def _(orders):
+    """Tables of two and of three rows with a cell over two columns and one over two rows, drawn piece by piece or twice; words of two lines, and outside."""
+    k, long, tall = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 1, F.col("o_orderkey") % 3 == 0
+    end, wide = F.when(long, 80.0).otherwise(60.0), F.lit(200.0) + k % 50
+    n = lambda c: c if isinstance(c, Column) else F.lit(float(c))
+    seg = lambda x0, top, x1, bottom: F.struct(n(x0).cast("double").alias("x0"), n(top).cast("double").alias("top"), n(x1).cast("double").alias("x1"), n(bottom).cast("double").alias("bottom"))
+    drawn = [
+        seg(10, 20, 110, 20), seg(110, 20.5, 310, 20.5), seg(310, 40, 10, 40), seg(F.when(tall & long, 110.0).otherwise(10.0), 60, 310, 60), seg(10, end, 310, end),
+        seg(10, 20, 10, end), seg(110, 20, 110, end), seg(wide, 40, wide, end), seg(310, 20, 310, end), seg(10, 20, 310, 80),
+        seg(50, 200, 90, 200), seg(50, 201, 90, 201), seg(50, 220, 90, 220), seg(50, 200, 50, 220), seg(90, 199, 90, 222), seg(300, 150, 300, 400),
+    ]
+    word = lambda x, top, text: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(top)).alias("top"), F.lit(x + 8.0).alias("x1"), F.lit(top + 4.0).alias("bottom"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
+    said = [
+        word(20, 25, as_text("o_custkey")), word(250, 25.4, "m2"), word(120, 26, "m1"), word(20, 45, "r1"), word(120, 50, F.col("o_orderpriority")), word(125, 42, F.col("o_orderstatus")),
+        word(120, 65, F.when(long, "z")), word(280, 65, F.when(long, F.concat(F.lit("k"), k.cast("string")))), word(60, 207, "solo"), word(400, 30, "out"), word(10, 100, "REUNIONES"), word(30, 101, "de"), word(40, 100, "Asesores"),
+    ]
+    pages = orders.select(k.alias("doc"), (F.col("o_custkey") % 3).alias("page"), F.array(*drawn).alias("drawn"), F.array(*said).alias("said"))
+    words, rulings = pages.select("doc", "page", F.inline("said")).where("text IS NOT NULL"), pages.select("doc", "page", F.inline("drawn"))
+    marks = {"asesores": r"REUNIONES\s+DE\s+ASESORES", "bicameral": r"REUNIONES\s+BICAMERAL"}
+    found = ordered.section_rows(words, geometry.ruled_tables(words, rulings), marks, "senadores")
+    return found.withColumn("cells", F.array_join("cells", "|", "-"))
