@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import roster_key, squash, surname_first, surname_key
 from ledgerloom.functions.values import found, leading_int, meeting_kind
 from ledgerloom.operators import extract, lookup, merge, ordered
+from ledgerloom.plans import workbook
 from ledgerloom.sources import commits
 
 
@@ -24,6 +25,30 @@ def incremental_records(known: DataFrame, found: DataFrame, details: DataFrame,
     return reviewed.unionByName(new, allowMissingColumns=True)
 
 
+def approved_import(known: DataFrame, rows: DataFrame, cells: str, order: str, labels: dict[str, str], columns: list[str]) -> DataFrame:
+    """known records (number, year, kind and others) after rows of approved ones were read
+    in their order, which is unique; outcome says what happened, the latest record comes first.
+
+    Rows of any kind count, those without one don't. A known record takes the listed
+    columns of the last row of its key, nulls too; an unknown one is the first row of its
+    key with these columns of the last. A number or year that isn't one is a null, and
+    nulls are equal here.
+    """
+    keys = ["number", "year", "kind"]
+    told = workbook.approved_records(rows, cells, labels)
+    kept = [c for c in known.columns if c not in keys and c not in columns and c in told.columns]
+    first = F.min_by(F.struct(*kept, F.lit(0).alias("__none")), order).alias("__first")
+    last = F.max_by(F.struct(*columns), order).alias("__last")
+    new = told.groupBy(*keys).agg(first, last).select(*keys, *(F.col(f"__first.{c}") for c in kept), *(F.col(f"__last.{c}") for c in columns))
+    return merge.upsert_overwrite(known, new, keys, columns).orderBy(F.desc("year"), F.desc("number"), "kind")
+
+
+def newest_listed(listed: DataFrame, done: DataFrame, id_col: str, after: int | None, keys: list[str]) -> DataFrame:
+    """Of the rows above ``after`` that aren't done, as taken by ascending id, the one that
+    remains of each key: that of the largest id."""
+    return merge.last_wins(merge.past_watermark(listed, done, id_col, after), keys, [id_col])
+
+
 def reviewed_agreements(known: DataFrame | None, records: DataFrame, details: DataFrame, kind: str = "AC") -> DataFrame:
     """Agreements (number, year, title, origin, entry, announced, announced_on, approved,
     approved_on, order) after records (number, year, kind, title, origin) of their kind

@@ -87,6 +87,11 @@ def records(rows: DataFrame, cells: str, labels: dict[str, str]) -> DataFrame:
     return rows.where(_cell(F.col(cells), KIND).isin(*kinds)).withColumn("r", record(F.col(cells), labels)).select(*(c for c in rows.columns if c != cells), "r.*")
 
 
+def approved_records(rows: DataFrame, cells: str, labels: dict[str, str]) -> DataFrame:
+    """The records of landed rows that name any kind, known or not, with their other columns."""
+    return rows.where(_cell(F.col(cells), KIND) != "").withColumn("r", record(F.col(cells), labels)).select(*(c for c in rows.columns if c != cells), "r.*")
+
+
 def agreements(rows: DataFrame, cells: str, kind: str = "AC") -> DataFrame:
     """The agreements of landed rows of their kind, with their other columns."""
     return rows.where(_cell(F.col(cells), KIND) == kind).withColumn("a", agreement(F.col(cells))).select(*(c for c in rows.columns if c != cells), "a.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, extract, geometry, lookup, merge, ordered
 from ledgerloom.plans import dayorders, flows, people, views, workbook
-from ledgerloom.sources import commits, listings, tables, text_index, workbooks
+from ledgerloom.sources import commits, landing, listings, tables, text_index, workbooks
 from ledgerloom.sources.shared import shared_dir
 
 QUERIES: dict = {}
@@ -1428,3 +1428,47 @@ def _(orders):
     marks = {"asesores": r"REUNIONES\s+DE\s+ASESORES", "bicameral": r"REUNIONES\s+BICAMERAL"}
     found = ordered.section_rows(words, geometry.ruled_tables(words, rulings), marks, "senadores")
     return found.withColumn("cells", F.array_join("cells", "|", "-"))
+
+
+# ---- approved records, processing order, landed texts
+
+
+@query("f2_approved_import", """
+    WITH o AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS known, o_orderkey % 5 > 0 AND (o_orderkey % 7 > 0 OR o_orderkey % 4 < 2) AS told, * FROM orders)
+    SELECT k::INT AS number, 2026 AS year, CASE k % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'PL' ELSE '??' END AS kind, CASE WHEN known THEN 'known' WHEN k % 4 < 2 THEN 'early' ELSE 'ley ' || o_orderpriority END AS extract,
+    CASE WHEN told AND k % 4 = 0 THEN o_custkey::VARCHAR END AS law, CASE WHEN told AND k % 7 = 0 THEN '07/07/2027' WHEN told AND k % 4 = 1 THEN '01/02/2026' WHEN k % 4 = 2 THEN '03/04/2026' WHEN NOT told THEN 'x' END AS archived_on,
+    CASE WHEN told AND k % 4 = 3 THEN '05/06/2026' END AS lapsed_on, CASE WHEN NOT known THEN 'inserted' WHEN NOT told THEN 'kept' WHEN k % 4 = 2 THEN 'unchanged' ELSE 'updated' END AS outcome
+    FROM o WHERE known OR told""", "orders")
+def _(orders):
+    """Rows of unknown kinds and without one, two rows of a record, records that are known, unknown, changed, unchanged and not told."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    kind = F.when(k % 3 == 0, "AC").when(k % 3 == 1, "PL").otherwise("??")
+    known = orders.where(k % 2 == 0).select(k.cast("int").alias("number"), F.lit(2026).alias("year"), kind.alias("kind"), F.lit("known").alias("extract"), none.alias("law"), F.when(k % 4 == 2, "03/04/2026").otherwise("x").alias("archived_on"), none.alias("lapsed_on"))
+    put = lambda cells, at, value: F.transform(cells, lambda c, i: F.when(i == at, value).otherwise(c))
+    early = F.struct((2 * k - 1).alias("ord"), put(put(_workbook_row(), 4, F.lit("early")), 38, F.lit("07/07/2027")).alias("cells"))
+    main = F.struct((2 * k).alias("ord"), put(_workbook_row(), 3, F.when(k % 7 == 0, " ").otherwise(kind)).alias("cells"))
+    rows = orders.where(k % 5 > 0).select(F.inline(F.when(k % 4 < 2, F.array(early, main)).otherwise(F.array(main))))
+    return flows.approved_import(known, rows, "cells", "ord", {"AC": "Agreement", "PL": "Bill"}, ["law", "archived_on", "lapsed_on"])
+
+
+@query("o3_newest_listed", """
+    SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events WHERE event_id > 100 AND event_id % 7 > 0) WHERE n = 1""", "events")
+def _(events):
+    return flows.newest_listed(cols(events, "event_id", "user_id", "event_type"), events.where("event_id % 7 = 0").select("event_id"), "event_id", 100, ["user_id", "event_type"])
+
+
+@query("s9_below_header", """
+    SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders WHERE o_orderkey <= 10 AND o_orderkey % 3 = 0) AND o_orderkey % 4 > 1""", "orders")
+def _(orders):
+    """The header stands twice in the first rows and again below; second cells that are null or blank."""
+    k = F.col("o_orderkey")
+    landed = orders.select("o_orderkey", F.when(k % 3 == 0, "ORIGEN").otherwise("S").alias("c0"), F.when(k % 4 == 0, "  ").when(k % 4 > 1, "x").alias("c1"))
+    return cols(landing.below_header(landed, "o_orderkey", "ORIGEN"), "o_orderkey")
+
+
+@query("s13_page_texts", """
+    SELECT l_orderkey, string_agg(l_returnflag || l_partkey, chr(10) ORDER BY l_linenumber, l_returnflag || l_partkey) AS text FROM lineitem WHERE l_partkey % 4 > 1 GROUP BY l_orderkey""", "lineitem")
+def _(lineitem):
+    """Documents of several pages, some empty or null."""
+    text = F.when(F.col("l_partkey") % 4 == 0, "").when(F.col("l_partkey") % 4 > 1, F.concat("l_returnflag", as_text("l_partkey")))
+    return landing.page_texts(lineitem.select("l_orderkey", "l_linenumber", text.alias("said")), "l_orderkey", "l_linenumber", "said")
