@@ -1359,7 +1359,10 @@ def roster_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     decrees, rosters, persons = _designations(spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet"))
     work = f"{shared_dir(spark)}/rosters-{uuid.uuid4().hex}"
-    changes, out = flows.roster_changes(rosters, decrees, persons=persons), f"{work}/out"
+    all_changes, out = flows.roster_changes(rosters, decrees, persons=persons), f"{work}/out"
+    # Read from the decrees once, not once a part.
+    all_changes.write.parquet(f"{work}/all")
+    changes = spark.read.schema(all_changes.schema).parquet(f"{work}/all")
     rosters.write.parquet(f"{work}/start")
     start = spark.read.parquet(f"{work}/start")
     # Files of a few batches, dealt by number of decree and not in its order.
