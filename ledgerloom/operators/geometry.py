@@ -2,7 +2,8 @@
 
 Lines, cells and words meet on a grid of square tiles: each is dealt to the tiles that
 it touches, and a crossing point or the middle of a word lies in exactly one, so that
-each pair that meets is found once, by equal keys.
+each pair that meets is found once, by equal keys. Lines, crossings and cells are each
+used twice and so written to the shared folder between, lest plans double at every step.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordered import merged_lines
+from ledgerloom.sources.shared import kept
 
 #: Lines that are closer than this are one; so far a line may end from one that it meets.
 SNAP = 3.0
@@ -56,13 +58,13 @@ def ruled_cells(rulings: DataFrame, snap: float = SNAP) -> DataFrame:
     Cells whose heights touch or overlap are of one table: tables beside one another are
     one, with the columns of both.
     """
-    lines = merged_rulings(rulings, snap)
+    lines = kept(merged_rulings(rulings, snap), "lines")
     tile = F.floor(F.col("at") / TILE)
     across = lines.where("level").select(*PAGE, F.col("at").alias("y"), F.col("low").alias("left"), F.col("high").alias("right"), tile.alias("__ty"), F.explode(_tiles(F.col("low") - snap, F.col("high") + snap)).alias("__tx"))
     down = lines.where("NOT level").select(*PAGE, F.col("at").alias("x"), F.col("low").alias("upper"), F.col("high").alias("lower"), tile.alias("__tx"), F.explode(_tiles(F.col("low") - snap, F.col("high") + snap)).alias("__ty"))
     meet = F.col("x").between(F.col("left") - snap, F.col("right") + snap) & F.col("y").between(F.col("upper") - snap, F.col("lower") + snap)
     flags = {"goes_right": F.col("right") > F.col("x") + snap, "goes_left": F.col("left") < F.col("x") - snap, "goes_down": F.col("lower") > F.col("y") + snap, "goes_up": F.col("upper") < F.col("y") - snap}
-    points = across.join(down, [*PAGE, "__tx", "__ty"]).where(meet).select(*PAGE, "x", "y", "left", "upper", *(f.alias(n) for n, f in flags.items()))
+    points = kept(across.join(down, [*PAGE, "__tx", "__ty"]).where(meet).select(*PAGE, "x", "y", "left", "upper", *(f.alias(n) for n, f in flags.items())), "points")
     # Growing frames over descending places: the nearest further one is the last.
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     on_line, on_side = Window.partitionBy(*PAGE, "y", "left").orderBy(F.desc("x")), Window.partitionBy(*PAGE, "x", "upper").orderBy(F.desc("y"))
@@ -99,7 +101,7 @@ def ruled_tables(words: DataFrame, rulings: DataFrame, snap: float = SNAP) -> Da
     """doc, page, tbl, top, rows of the tables that ruling lines draw, as ``section_rows`` takes
     them: an array of rows, each with a text for every column of the table, null where no
     cell begins."""
-    cells = cell_texts(words, ruled_cells(rulings, snap))
+    cells = cell_texts(words, kept(ruled_cells(rulings, snap), "cells"))
     wide = cells.withColumn("__cols", F.max("col").over(Window.partitionBy(*PAGE, "tbl")))
     rows = wide.groupBy(*PAGE, "tbl", "row", "__cols").agg(F.min("top").alias("top"), F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("__by"))
     filled = rows.withColumn("cells", F.transform(F.sequence(F.lit(0), F.col("__cols")), lambda c: F.try_element_at(F.col("__by"), c)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: By application, the folder that stands in for a setting that is absent.
 _OWN: dict[str, str] = {}
@@ -23,3 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
     return _OWN[context.applicationId]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, so that those who use it twice
+    neither compute it twice nor plan it twice."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,3 +88,11 @@ def test_open_shapes_and_empty_pages(spark):
     rows = geometry.ruled_tables(words, frame([*three, (0, 50, 50, 50)])).collect()
     assert [(r.tbl, r.top, r.rows) for r in rows] == [(0, 0.0, [[""]])]
     assert geometry.ruled_tables(words, frame([])).count() == 0
+
+
+def test_plans_do_not_double_at_every_step(spark):
+    """A plan of 54 windows took the driver's memory."""
+    frame = spark.createDataFrame([("d", 1, 0.0, 0.0, 50.0, 0.0)], RULED)
+    words = spark.createDataFrame([("d", 1, 1.0, 1.0, 2.0, 2.0, "w")], RULED + ", text string")
+    plan = geometry.ruled_tables(words, frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") < 6
