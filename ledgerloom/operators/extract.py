@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions import pages
 from ledgerloom.functions.html import attribute, decoded, elements, every, hrefs, let, named, tag_text, within
 from ledgerloom.functions.text import squash, strip
 from ledgerloom.functions.values import found, has_surname
@@ -98,9 +100,14 @@ def three_state(table: Column, header: str) -> Column:
         return let(F.struct(at.alias("at"), first.alias("row")), lambda p: F.when(p["at"] > 0, plain_or_null(F.get(p["row"], p["at"] - 1)["inner"])))
 
     plain_or_null = lambda h: F.when(h.isNotNull(), plain_text(h))
+    return state_of_cell(let(elements(table), of))
+
+
+def state_of_cell(text: Column) -> Column:
+    """The same of the cell's text, null without one."""
     dated = lambda c: F.struct(c.alias("cell"), found(c, r"(\d{2}-\d{2}-\d{4})").alias("date"))
     state = lambda p: F.struct(F.when(p["cell"].isNotNull(), p["date"].isNotNull()).alias("known"), F.translate(p["date"], "-", "/").alias("date"))
-    return let(let(let(elements(table), of), dated), state)
+    return let(let(text, dated), state)
 
 
 def bodies_of_page(html: Column) -> Column:
@@ -109,19 +116,24 @@ def bodies_of_page(html: Column) -> Column:
 
 
 def bodies_of(table: Column) -> Column:
-    first = F.transform(body_rows(table), lambda r: strip(F.regexp_replace(F.get(r, F.lit(0)), r"(?s)ORDEN DE GIRO:.*$", "")))
+    return bodies_of_cells(F.transform(body_rows(table), lambda r: F.get(r, F.lit(0))))
+
+
+def bodies_of_cells(texts: Column) -> Column:
+    """The same of the first cells' texts; null as none."""
+    first = F.transform(texts, lambda c: strip(F.regexp_replace(c, r"(?s)ORDEN DE GIRO:.*$", "")))
     return F.coalesce(F.filter(first, lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def law_of_page(html: Column) -> Column:
     """struct(number, date) of the table of the law that a record became; without a number both are null."""
-    return law_of(table_by_summary(html, "SANCION DE LEY"))
+    return law_of_text(plain_text(table_by_summary(html, "SANCION DE LEY")))
 
 
-def law_of(table: Column) -> Column:
+def law_of_text(text: Column) -> Column:
     parts = lambda t: F.struct(found(t, r"NUMERO DE LEY:\s*(\d+)").alias("number"), found(t, r"FECHA DE SANCION:\s*(\d{2}-\d{2}-\d{4})").alias("date"))
     dated = lambda p: F.struct(p["number"].alias("number"), F.when(p["number"].isNotNull(), F.translate(p["date"], "-", "/")).alias("date"))
-    return let(let(plain_text(table), parts), dated)
+    return let(let(text, parts), dated)
 
 
 def authors_of_page(html: Column) -> Column:
@@ -132,6 +144,39 @@ def authors_of_page(html: Column) -> Column:
     return F.coalesce(F.filter(names, lambda n: n != ""), F.array().cast("array<string>"))
 
 
+_RECORD_TEXTS = "text string, authors array<string>, bodies array<string>, law string, desk string"
+_RECORD_ARROW = pa.struct([("text", pa.string()), ("authors", pa.list_(pa.string())), ("bodies", pa.list_(pa.string())), ("law", pa.string()), ("desk", pa.string())])
+
+
+def _record_texts(html: pa.Array) -> pa.Array:
+    """Of each page its text, its authors, the first cells of the table of referrals, the text
+    of the law's table and that of the cell of the announcement; null without one."""
+    return pa.array([_texts_of_record(page or "") for page in pages.texts(html)], _RECORD_ARROW)
+
+
+def _texts_of_record(page: str) -> dict:
+    tables_of = [((pages.attribute(t, "summary") or "").upper(), t) for _, t in pages.tables(page)]
+    table = lambda text: next((t for summary, t in tables_of if text in summary), None)
+    law, desk, bodies = table("SANCION DE LEY"), table("FECHAS EN MESA DE ENTRADAS"), table("GIROS DEL EXPEDIENTE")
+    people = (a for a in pages.elements(page, ("a",)) if "/senadores/senador/" in (pages.attribute(a.tag, "href") or ""))
+    names = (pages.strip(pages.attribute(a.tag, "title") or "") or pages.plain_text(a.inner) for a in people)
+    return {
+        "text": pages.plain_text(page),
+        "authors": [n for n in names if n],
+        "bodies": [pages.plain_text(r[0]) for r in pages.row_cells(bodies, "td") if r] if bodies else [],
+        "law": pages.plain_text(law),
+        "desk": _cell_under(desk, "DADO CUENTA") if desk else None,
+    }
+
+
+def _cell_under(table: str, header: str) -> str | None:
+    """The text of the first row's cell under a header."""
+    found = pages.elements(table)
+    at = next((k for k, h in enumerate(pages.named(found, "th")) if pages.plain_text(h.inner).upper() == header), None)
+    row = next((r for r in (pages.within(found, r, "td") for r in pages.named(found, "tr")) if r), [])
+    return pages.plain_text(row[at].inner) if at is not None and at < len(row) else None
+
+
 def record_page(html: Column) -> Column:
     """What a record's page says: authors, bodies, entry, archived, archived_on, lapsed,
     lapsed_on, enacted, law, law_date, announced and announced_on. A lapsed record is
@@ -140,13 +185,10 @@ def record_page(html: Column) -> Column:
     day = lambda text, before: F.translate(found(text, before + r"\s*(\d{2}-\d{2}-\d{4})"), "-", "/")
     entry = lambda text: F.coalesce(found(text, r"D\.A\.E\.\s*(\d+/\d{4})"), found(text, r"(\d+/\d{4})\s*Tipo:"), F.lit(""))
     from_text = lambda t: F.struct(entry(t).alias("entry"), day(t, r"(?i)ENVIADO AL ARCHIVO\s*:").alias("archived"), day(t, r"(?i)EL EXPEDIENTE CADUCO EL").alias("lapsed"))
-    # Parts of the page are worked out once.
-    from_tables = lambda t: F.struct(
-        law_of(with_summary(t, "SANCION DE LEY")).alias("law"),
-        three_state(with_summary(t, "FECHAS EN MESA DE ENTRADAS"), "DADO CUENTA").alias("desk"),
-        bodies_of(with_summary(t, "GIROS DEL EXPEDIENTE")).alias("bodies"),
-    )
-    parts = F.struct(let(plain_text(html), from_text).alias("t"), let(tables(html), from_tables).alias("k"), authors_of_page(html).alias("authors"))
+    # The texts of a page are read once, by one scan in a task.
+    read = F.arrow_udf(_record_texts, _RECORD_TEXTS)(html)
+    from_tables = lambda r: F.struct(law_of_text(r["law"]).alias("law"), state_of_cell(r["desk"]).alias("desk"), bodies_of_cells(r["bodies"]).alias("bodies"))
+    parts = let(read, lambda r: F.struct(let(r["text"], from_text).alias("t"), from_tables(r).alias("k"), r["authors"].alias("authors")))
     given = lambda p: F.struct(
         p["authors"].alias("authors"),
         p["k"]["bodies"].alias("bodies"),

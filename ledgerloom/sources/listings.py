@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.html import attribute, elements, hrefs, let, named, texts
-from ledgerloom.functions.text import fold, squash, strip
+from ledgerloom.functions import pages
+from ledgerloom.functions.html import let
+from ledgerloom.functions.text import fold, strip
 from ledgerloom.functions.values import found
-from ledgerloom.operators.extract import case_link, largest_table, plain_text, row_cells, table_where, tables
+from ledgerloom.operators.extract import case_link
 
 # Fixed value: how links to bulletins are spelt.
 BULLETIN = r"descargarBoletinReunion/(\d+)"
 
 
-def tight_text(html: Column) -> Column:
-    """The texts between tags, each without white space at its ends, nothing between them."""
-    return F.array_join(F.transform(texts(html), squash), "")
-
-
 def absolute(href: Column, base: str) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
 
@@ -28,65 +26,73 @@ def under(href: Column, base: str) -> Column:
     return F.when(href.startswith("/"), F.concat(F.lit(base), href)).otherwise(href)
 
 
-def bulletin_links(pages: DataFrame, by: str, html: str, base: str) -> DataFrame:
+def bulletin_links(df: DataFrame, by: str, html: str, base: str) -> DataFrame:
     """by, id, number, url of each link to a bulletin, largest ids first. The number is the
     first cell of the link's table row, empty outside of one."""
     wanted = f"(?i){BULLETIN}"
 
-    def listed(e: Column) -> Column:
+    def listed(page: str) -> list[tuple]:
         """Links with the first cell of the innermost row around each."""
-        around = lambda a: F.try_element_at(F.filter(e, lambda r: (r["name"] == "tr") & (r["rank"] < a["rank"]) & (r["next"] > a["rank"])), F.lit(-1))
-        first = lambda r: F.get(F.filter(e, lambda c: (c["name"] == "td") & (c["rank"] > r["rank"]) & (c["rank"] < r["next"])), F.lit(0))["inner"]
-        link = lambda a: F.struct(attribute(a["tag"], "href").alias("href"), let(around(a), lambda r: F.coalesce(tight_text(first(r)), F.lit(""))).alias("number"))
-        return F.filter(F.transform(named(e, "a"), link), lambda x: F.coalesce(x["href"].rlike(wanted), F.lit(False)))
-
-    found = pages.select(by, F.explode(let(elements(F.col(html), ("table", "tr", "td", "th", "a")), listed)).alias("__l"))
-    number = F.regexp_extract("__l.href", wanted, 1).try_cast("long")
-    return found.select(by, number.alias("id"), "__l.number", absolute(F.col("__l.href"), base).alias("url")).orderBy(F.desc("id"), by)
-
-
-def decree_rows(pages: DataFrame, by: str, html: str, base: str) -> DataFrame:
+        out, rows, e = [], [], pages.elements(page, ("table", "tr", "td", "th", "a"))
+        for x in e:
+            while rows and rows[-1].next <= x.rank:
+                rows.pop()
+            if x.name == "tr":
+                rows.append(x)
+            elif x.name == "a" and re.search(f"(?a){wanted}", href := pages.attribute(x.tag, "href") or ""):
+                first = next((c.inner for c in e[rows[-1].rank + 1 : rows[-1].next] if c.name == "td"), "") if rows else ""
+                out.append((href, pages.tight_text(first)))
+        return out
+
+    found = pages.rows_of(df, by, html, listed, "__href string, number string")
+    number = F.regexp_extract("__href", wanted, 1).try_cast("long")
+    return found.select(by, number.alias("id"), "number", absolute(F.col("__href"), base).alias("url")).orderBy(F.desc("id"), by)
+
+
+def decree_rows(df: DataFrame, by: str, html: str, base: str) -> DataFrame:
     """by, row_no, number, date, topic, url of the rows of a page's largest table that have
     five cells, a number and a link in the fifth."""
-    at = lambda k: F.get(F.col("__c"), F.lit(k))
-    listed = pages.select(by, F.posexplode(row_cells(largest_table(F.col(html)), "td")).alias("row_no", "__c")).where(F.size("__c") >= 5)
-    href = F.get(hrefs(at(4)), F.lit(0))
-    return listed.select(by, "row_no", tight_text(at(3)).alias("number"), tight_text(at(0)).alias("date"), plain_text(at(1)).alias("topic"), absolute(href, base).alias("url")).where("number <> '' AND url IS NOT NULL")
+    tight = pages.tight_text
+    read = lambda page: [(k, tight(c[3]), tight(c[0]), pages.plain_text(c[1]), next(iter(pages.hrefs(c[4])), None)) for k, c in enumerate(pages.largest_rows(page)) if len(c) >= 5]
+    rows = pages.rows_of(df, by, html, read, "row_no int, number string, date string, topic string, __href string")
+    return rows.where("number <> '' AND __href IS NOT NULL").select(by, "row_no", "number", "date", "topic", absolute(F.col("__href"), base).alias("url"))
 
 
-def result_rows(pages: DataFrame, by: str, html: str, base: str, kinds: tuple[str, ...]) -> DataFrame:
+def result_rows(df: DataFrame, by: str, html: str, base: str, kinds: tuple[str, ...]) -> DataFrame:
     """by, row_no, number, year, kind, origin, date, extract, url, title of a search's results:
     rows of a page's largest table with six cells, a link and number/year in the first
     and one of the kinds in the second. A year of two digits is one after 2000; the
     extract is what follows the title's first colon, if it has one."""
-    at = lambda k: F.get(F.col("__c"), F.lit(k))
-    listed = pages.select(by, F.posexplode(row_cells(largest_table(F.col(html)), "td")).alias("row_no", "__c")).where(F.size("__c") >= 6)
-    code = tight_text(at(0))
-    part = lambda k: F.regexp_extract(code, r"^(\d+)/(\d+)", k)
-    title = tight_text(at(5))
-    extract = F.when(F.contains(title, F.lit(":")), strip(F.regexp_replace(title, r"(?s)^[^:]*:", ""))).otherwise(title)
-    rows = listed.select(
+    tight = pages.tight_text
+    read = lambda page: [(k, tight(c[0]), tight(c[1]), tight(c[2]), tight(c[4]), tight(c[5]), next(iter(pages.hrefs(c[0])), None)) for k, c in enumerate(pages.largest_rows(page)) if len(c) >= 6]
+    listed = pages.rows_of(df, by, html, read, "row_no int, __code string, kind string, origin string, date string, title string, __href string")
+    part = lambda k: F.regexp_extract("__code", r"^(\d+)/(\d+)", k)
+    extract = F.when(F.contains("title", F.lit(":")), strip(F.regexp_replace("title", r"(?s)^[^:]*:", ""))).otherwise(F.col("title"))
+    rows = listed.where(F.col("kind").isin(*kinds) & F.col("__href").isNotNull()).select(
         by, "row_no", part(1).try_cast("long").alias("number"), F.when(F.length(part(2)) == 2, F.concat(F.lit("20"), part(2))).otherwise(part(2)).try_cast("int").alias("year"),
-        tight_text(at(1)).alias("kind"), tight_text(at(2)).alias("origin"), tight_text(at(4)).alias("date"), extract.alias("extract"), absolute(F.get(hrefs(at(0)), F.lit(0)), base).alias("url"), title.alias("title"),
+        "kind", "origin", "date", extract.alias("extract"), absolute(F.col("__href"), base).alias("url"), "title",
     )
-    return rows.where(F.col("kind").isin(*kinds) & F.col("number").isNotNull() & F.col("url").isNotNull())
+    return rows.where(F.col("number").isNotNull())
 
 
-def order_rows(pages: DataFrame, by: str, html: str, base: str) -> DataFrame:
+def order_rows(df: DataFrame, by: str, html: str, base: str) -> DataFrame:
     """by, row_no, number, year, kind ('N' if none is given), cases, url of the orders of the
     day that a page lists: rows of four cells in the body of its first bordered table whose
     first has number/year. cases: struct<number, year, kind, origin, url> of each case link
     of the second cell, in order; url: the first link of the fourth, empty without one."""
-    bordered = table_where(tables(F.col(html)), "class", lambda c: c.rlike(r"(?:^|\s)table-bordered(?:\s|$)"))
-    body = F.get(named(elements(bordered, ("table", "tbody", "tr", "td", "th")), "tbody"), F.lit(0))["inner"]
-    at = lambda k: F.get(F.col("__c"), F.lit(k))
-    listed = pages.select(by, F.posexplode(row_cells(body, "td")).alias("row_no", "__c")).where(F.size("__c") >= 4)
-    code = plain_text(at(0))
+
+    def read(page: str) -> list[tuple]:
+        bordered = next((t for _, t in pages.tables(page) if re.search(r"(?a)(?:^|\s)table-bordered(?:\s|$)", pages.attribute(t, "class") or "")), "")
+        body = next((e.inner for e in pages.elements(bordered, ("table", "tbody", "tr", "td", "th")) if e.name == "tbody"), "")
+        return [(k, pages.plain_text(c[0]), pages.hrefs(c[1]), next(iter(pages.hrefs(c[3])), None)) for k, c in enumerate(pages.row_cells(body, "td")) if len(c) >= 4]
+
+    listed = pages.rows_of(df, by, html, read, "row_no int, __code string, __cases array<string>, __href string")
+    code = F.col("__code")
     case = lambda h: let(case_link(h), lambda c: F.struct(c["number"].alias("number"), c["year"].alias("year"), c["kind"].alias("kind"), c["origin"].alias("origin"), under(h, base).alias("url")))
-    cases = F.filter(F.transform(hrefs(at(1)), case), lambda c: c["number"].isNotNull())
+    cases = F.filter(F.transform("__cases", case), lambda c: c["number"].isNotNull())
     part = lambda k: found(code, r"(\d+)\s*/\s*(\d+)", k).try_cast("int")
     kind = F.coalesce(found(code, r"\((N|A)\)"), F.lit("N"))
-    url = F.coalesce(under(F.get(hrefs(at(3)), F.lit(0)), base), F.lit(""))
+    url = F.coalesce(under(F.col("__href"), base), F.lit(""))
     return listed.select(by, "row_no", part(1).alias("number"), part(2).alias("year"), kind.alias("kind"), cases.alias("cases"), url.alias("url")).where(F.col("number").isNotNull())
 
 
