@@ -127,6 +127,17 @@ def reach(base: float, score: int) -> float:
     return float(np.sqrt(max(0.0, base - 2.0 * float(score)) + 1e-9 * (base + 1.0)))
 
 
+def packed(vectors: np.ndarray) -> bytes:
+    """The integers in as few of 2, 4 or 8 bytes as hold all of them."""
+    most = max(-int(vectors.min(initial=0)) - 1, int(vectors.max(initial=0)))
+    return vectors.astype(next(t for t in ("<i2", "<i4", "<i8") if most <= np.iinfo(t).max or t == "<i8")).tobytes()
+
+
+def unpacked(blob: bytes, rows: int, size: int) -> np.ndarray:
+    width = len(blob) // (rows * size) if rows * size else 8
+    return np.frombuffer(blob, dtype=f"<i{width}").astype(np.int64).reshape(rows, size)
+
+
 def quantised(vector: Column) -> Column:
     """floor(SCALE * x) of each component as long."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
@@ -184,7 +195,7 @@ def search_top(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         ids, vectors = _matrix(table)
         own = MTree(ids, vectors, top)
         columns = [table[c].slice(0, 1) for c in tree]
-        blobs = [ids.tobytes(), vectors.tobytes(), own.centers[own.root].tobytes()]
+        blobs = [ids.tobytes(), packed(vectors), own.centers[own.root].tobytes()]
         return trimmed(pa.table([*columns, *(pa.array([x], pa.binary()) for x in blobs), pa.array([own.radii[own.root]])], names=[*tree, "ids", "vectors", "center", "radius"]))
 
     pages = written(placed.groupBy(*tree).applyInArrow(built, "size int, pivot int, block int, ids binary, vectors binary, center binary, radius double"), "pages")
@@ -241,7 +252,7 @@ def _searched(pages: DataFrame, asking: DataFrame, k: int, top: float) -> DataFr
         table = table.sort_by("vec_id")
         ids, vectors = table["vec_id"].to_numpy(), table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         least = pa.array([table["least"].to_pylist()], pa.list_(pa.int64()))
-        return pa.table([*(table[c].slice(0, 1) for c in tree), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.astype(np.int64).tobytes()], pa.binary()), least], names=[*tree, "query_ids", "query_vectors", "least"])
+        return pa.table([*(table[c].slice(0, 1) for c in tree), pa.array([ids.tobytes()], pa.binary()), pa.array([packed(vectors)], pa.binary()), least], names=[*tree, "query_ids", "query_vectors", "least"])
 
     groups = dealt.groupBy(*tree, "part").applyInArrow(gathered, "size int, pivot int, block int, query_ids binary, query_vectors binary, least array<long>")
 
@@ -249,13 +260,14 @@ def _searched(pages: DataFrame, asking: DataFrame, k: int, top: float) -> DataFr
         for batch in batches:
             for row in batch.to_pylist():
                 ids, asked = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["query_ids"], dtype=np.int64)
-                own = MTree(ids, np.frombuffer(row["vectors"], dtype=np.int64).reshape(len(ids), row["size"]), top)
-                vectors = np.frombuffer(row["query_vectors"], dtype=np.int64).reshape(len(asked), row["size"])
+                own = MTree(ids, unpacked(row["vectors"], len(ids), row["size"]), top)
+                vectors = unpacked(row["query_vectors"], len(asked), row["size"])
                 found = [(q, i, s) for q, v, least in zip(asked.tolist(), vectors, row["least"], strict=True) for s, i in own.search(q, v, k, least)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
         trimmed(None)
 
-    met = groups.join(pages.select(*tree, "ids", "vectors"), tree).select("size", "ids", "vectors", "query_ids", "query_vectors", "least")
+    # Each query is here once for each tree that it asks, far beyond what its plan lets expect: neither side is broadcast.
+    met = groups.hint("merge").join(pages.select(*tree, "ids", "vectors"), tree).select("size", "ids", "vectors", "query_ids", "query_vectors", "least")
     # Dealt in turn, so that each task has as many trees.
     return met.repartition(max(2, pages.count())).mapInArrow(searched, _FOUND)
 

@@ -640,3 +640,12 @@ def test_rows_without_ids_draw_by_their_text(spark):
     df = spark.createDataFrame([(None, f"text {k}", "s") for k in range(400)], "doc_id long, text string, source string")
     kept = mixing.mix_sources(df).select("text").distinct().count()
     assert 200 < kept < 300
+
+
+def test_topk_packs_vectors_and_broadcasts_none(spark):
+    """What queries ask of trees was broadcast by the size of the queries alone."""
+    for vectors in (np.array([[1, -32768], [32767, 0]]), np.array([[-32769, 5]]), np.array([[1 << 40, -1]]), np.array([[-(1 << 63), (1 << 63) - 1]]), np.zeros((2, 0), dtype=np.int64), np.zeros((0, 3), dtype=np.int64)):
+        assert topk_search.unpacked(topk_search.packed(vectors), *vectors.shape).tolist() == vectors.tolist()
+    assert [len(topk_search.packed(np.array([[x]]))) for x in (32767, -32768, 32768, 1 << 31)] == [2, 2, 4, 8]
+    df = spark.createDataFrame([(k, [k % 7 - 3.0, k % 5 - 2.0]) for k in range(300)], "vec_id long, embedding array<double>")
+    assert "strategy=merge" in topk_search.search_top(df)._jdf.queryExecution().optimizedPlan().toString()
