@@ -649,3 +649,18 @@ def test_topk_packs_vectors_and_broadcasts_none(spark):
     assert [len(topk_search.packed(np.array([[x]]))) for x in (32767, -32768, 32768, 1 << 31)] == [2, 2, 4, 8]
     df = spark.createDataFrame([(k, [k % 7 - 3.0, k % 5 - 2.0]) for k in range(300)], "vec_id long, embedding array<double>")
     assert "strategy=merge" in topk_search.search_top(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lm_discounts_come_from_all_counts(spark, clashing, monkeypatch):
+    """They came from a part of the n-grams by hash where a level has over FITTED."""
+    scores = lambda: sorted((repr(r.doc_id), r.n_tokens, r.train_tokens, r.score) for r in lm_scoring.score(clashing).collect())
+    whole = scores()
+    monkeypatch.setattr(lm_scoring, "FITTED", 1, raising=False)
+    assert scores() == whole
+
+
+def test_codes_of_counts():
+    counts = np.array([0, 1, 3, 4095, 4096, 4097, 10**6, 10**12])
+    found = lm_scoring._decoded(lm_scoring._coded(counts))
+    assert found[:5].tolist() == counts[:5].tolist() and (abs(found / np.maximum(counts, 1) - 1)[1:] < 4e-4).all()
+    assert lm_scoring._following(np.array([0, 0, 2, 2, 2]), np.array([1, 2, 0, 3, 9]), 3).tolist() == [[1, 1, 0], [0, 0, 0], [0, 0, 2]]
