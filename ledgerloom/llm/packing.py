@@ -31,7 +31,7 @@ from ledgerloom.llm._shared import small_batches, trimmed, written
 WINDOW = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers at once, and the bytes of a word that it remembers.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 CACHED_BYTES = 64
 #: What a tokenizer has to be like for words to be encoded one by one (fixed values).
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]

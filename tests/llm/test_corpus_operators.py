@@ -664,3 +664,11 @@ def test_codes_of_counts():
     found = lm_scoring._decoded(lm_scoring._coded(counts))
     assert found[:5].tolist() == counts[:5].tolist() and (abs(found / np.maximum(counts, 1) - 1)[1:] < 4e-4).all()
     assert lm_scoring._following(np.array([0, 0, 2, 2, 2]), np.array([1, 2, 0, 3, 9]), 3).tolist() == [[1, 1, 0], [0, 0, 0], [0, 0, 2]]
+
+
+def test_tokenizer_remembers_the_words_of_a_corpus():
+    """The memory of words was cleared at 200,000, which a partition's vocabulary passes, and all were encoded again."""
+    tokenizer = packing.WordTokenizer(TOKENIZER)
+    words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(4)).encode() for k in range(250_000)]
+    tokenizer.encode([b" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)])
+    assert tokenizer.known.keys() >= set(words)
