@@ -91,6 +91,75 @@ def test_bitmaps_cross_blocks_and_not_pieces():
     assert dict(zip(items.tolist(), counts.tolist(), strict=True)) == {1: 2}
 
 
+def test_a_shard_extends_pairs_once_a_round_and_triples_once(docs, rows, monkeypatch):
+    """The rounds in one process: a list of chunks in place of rows of chunks, of their answers in place of rows of blobs."""
+    calls = Counter()
+
+    def counted(cls, name, n):
+        made = getattr(cls, name)
+
+        def run(self, *args):
+            out = made(self, *args)
+            calls[name] += n(self)
+            return out
+
+        monkeypatch.setattr(cls, name, run)
+
+    def packed(df):
+        chunks = {}
+        for r in df.collect():
+            chunks.setdefault(r.chunk, []).append((r.id, bytes(r.text)))
+        return [tuple(map(list, zip(*sorted(x), strict=True))) for _, x in sorted(chunks.items())]
+
+    def ask(chunks, make, answer, places, before=()):
+        sent, out = [make(*c, [b[i] for b in before]) for i, c in enumerate(chunks)], [{} for _ in chunks]
+        for k in range(places):
+            own = [i for i, blobs in enumerate(sent) if k in blobs]
+            for i, blob in zip(own, answer([sent[i][k] for i in own], k) if own else [], strict=True):
+                out[i][k] = blob
+        return out
+
+    def finish(chunks, make, schema, answers):
+        return [r for i, c in enumerate(chunks) for r in make(*c, [b[i] for b in answers]).to_pylist()]
+
+    for name, f in (("packed", packed), ("ask", ask), ("finish", finish)):
+        monkeypatch.setattr(phrases._exchange, name, f)
+    counted(phrases.Shard, "read", lambda s: len(s.numbers) > 0)
+    counted(phrases.ByBlock, "extended", lambda _: 1)
+    found = phrases.candidates(docs, 2)
+    # Three rounds read numbers of words. Each extends words once; one of them extends pairs.
+    assert calls["read"] > 0 and 3 * calls["extended"] == 4 * calls["read"]
+    counts = Counter()
+    for _, text, lang, *_ in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text or "")):
+            words = re.findall("[^\x20\x09]+", piece)
+            counts.update((lang or "und", " ".join(words[i : i + k])) for k in (2, 3) for i in range(len(words) - k + 1))
+    assert sorted((r["lang"], r["phrase"], r["a"]) for r in found) == sorted((*x, a) for x, a in counts.items() if a >= 2)
+
+
+@pytest.mark.parametrize("top", [3, 2**20, 2**40])
+def test_phrase_owners_sum_exactly_whatever_the_numbers(top):
+    rng = np.random.default_rng(5)
+    near = np.unique(rng.integers(0, 4, (60, 3)), axis=0)
+    shards = [np.unique(np.where(x < 2, x, top - x), axis=0) for x in (near[:30], near[10:], near)]
+    sent = [phrases._phrases_sent(list(x.T), np.arange(len(x)) + 1, 1)[0] for x in shards]
+    total = Counter()
+    for x in shards:
+        total.update({tuple(t): k + 1 for k, t in enumerate(x.tolist())})
+    seen, read = set(), [phrases._triples_read({0: a}) for a in phrases._triple_owner(20)(sent, 0)]
+    for x, got in zip(shards, read, strict=True):
+        own = {tuple(t) for t in x.tolist()} - seen
+        seen |= own
+        assert dict(zip(zip(*(c.tolist() for c in got[:3]), strict=True), got[3].tolist(), strict=True)) == {t: total[t] for t in own if total[t] >= 20}
+
+
+def test_order_is_stable_also_for_large_numbers():
+    x = np.random.default_rng(6).integers(0, 9, 500)
+    for shift in (0, 40, 59):
+        assert (phrases._order(x << shift) == np.argsort(x, kind="stable")).all()
+    assert len(phrases._order(x[:0])) == 0
+
+
 def shingled(text, n=5):
     words = re.findall("[^\x20\x09-\x0d]+", text)
     return {hashlib.md5(" ".join(words[i : i + n]).encode()).hexdigest() for i in range(max(1, len(words) - n + 1))} if words else set()
